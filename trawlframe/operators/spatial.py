@@ -180,7 +180,9 @@ def _by_density(df: DataFrame, z: str, w: str, by: list[str]) -> DataFrame:
     Points of equal density enter the formulas only through their sums, so
     they are put together first: a third of a group at one density is one row.
     """
-    points = df.groupBy(*by, z).agg(F.sum(w).alias("_w"), F.sum(F.col(z) * F.col(w)).alias("_q"))
+    points = df.filter(F.col(z).isNotNull()).groupBy(*by, z).agg(
+        strict_sum(w).alias("_w"), strict_sum(F.col(z) * F.col(w)).alias("_q")
+    )
     run = running_totals(points, by, [F.col(z)], {"_area": F.col("_w"), "_upto": F.col("_q")})
     totals = points.groupBy(*by).agg(
         strict_sum("_w").alias("_total_area"), strict_sum("_q").alias("_total")
