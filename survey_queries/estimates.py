@@ -218,7 +218,16 @@ def cpue_weighted_fish(spark, sf_dir):
 
 # -- bootstrap ---------------------------------------------------------------
 
-_HASH = "('0x' || substr(md5({text}), 1, 15))::BIGINT"
+PRIME = 2**52 - 47
+
+
+def _draw_sql(row):
+    """The row's random number in replicate rep (fewer than 1024 of them)."""
+    digest = f"md5(concat_ws('|', '{SEED}', year, district, size_sex, {row}, 0))"
+    a, b = (f"(('0x' || substr({digest}, {i}, 13))::BIGINT % {PRIME})" for i in (1, 14))
+    return f"(({a} + (rep - 1) * {b}) % {PRIME})"
+
+
 INDEX_CTE = CRAB_CTE + f""",
 numbered AS (
   SELECT year, district, size_sex, cpue, total_area,
@@ -226,8 +235,7 @@ numbered AS (
          count(*) OVER (PARTITION BY year, district, size_sex) AS n
   FROM cpue_long),
 draws AS (
-  SELECT year, district, size_sex, rep,
-         {_HASH.format(text=f"concat_ws('|', '{SEED}', year, district, size_sex, rep, k)")} % n AS pick
+  SELECT year, district, size_sex, rep, {_draw_sql('k')} % n AS pick
   FROM numbered CROSS JOIN (SELECT unnest(range(1, {REPS + 1})) AS rep)),
 means AS (
   SELECT d.year, d.district, d.size_sex, d.rep, avg(n.cpue) AS mean_cpue, avg(n.total_area) AS mean_area
@@ -236,15 +244,13 @@ means AS (
   GROUP BY ALL)"""
 POISSON_CTE = CRAB_CTE + f""",
 drawn AS (
-  SELECT year, district, size_sex, rep, cpue, total_area,
-         {_HASH.format(text=f"concat_ws('|', '{SEED}', year, district, size_sex, rep, station)")}::DOUBLE / pow(16, 15) AS u
+  SELECT year, district, size_sex, rep, cpue, total_area, {_draw_sql('station')}::DOUBLE / {PRIME} AS u
   FROM cpue_long CROSS JOIN (SELECT unnest(range(1, {REPS + 1})) AS rep)),
 counted AS (
-  SELECT *, (SELECT count(*) FROM (SELECT unnest([
-    0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462,
-    0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253,
-    0.999998874797402, 0.9999998885745217, 0.9999999899522336, 0.9999999991683892]::DOUBLE[]) AS edge)
-    WHERE u >= edge) AS w FROM drawn),
+  SELECT *, CAST(u >= 0.36787944117144233 AS INT) + CAST(u >= 0.7357588823428847 AS INT) + CAST(u >= 0.9196986029286058 AS INT)
+    + CAST(u >= 0.9810118431238462 AS INT) + CAST(u >= 0.9963401531726563 AS INT) + CAST(u >= 0.9994058151824183 AS INT)
+    + CAST(u >= 0.9999167588507119 AS INT) + CAST(u >= 0.9999897508033253 AS INT) + CAST(u >= 0.999998874797402 AS INT)
+    + CAST(u >= 0.9999998885745217 AS INT) + CAST(u >= 0.9999999899522336 AS INT) + CAST(u >= 0.9999999991683892 AS INT) AS w FROM drawn),
 means AS (
   SELECT year, district, size_sex, rep, sum(w * cpue) / nullif(sum(w), 0) AS mean_cpue,
          sum(w * total_area) / nullif(sum(w), 0) AS mean_area

@@ -1,14 +1,17 @@
 """Bootstrap limits: stations resampled within (year, district, class).
 
 ``method='index'`` is the plain bootstrap: n draws with replacement from the n
-stations of a group, for each replicate. Draw k takes the station whose row
-number is a hash of (seed, group, replicate, k) modulo n, so a rerun, a lost
-executor or another partitioning gives the same draws.
-
-``method='poisson'`` gives each station an independent Poisson(1) count in
-each replicate instead. It is not the same resampling (the number of draws
-varies), but rows are weighted where they lie: no row numbers, no join, and
-only (group, replicate) sums are shuffled. Use it for very large groups.
+stations of a group, for each replicate. ``method='poisson'`` gives each
+station an independent Poisson(1) count in each replicate instead. It is not
+the same resampling (the number of draws varies), but rows are weighted where
+they lie: no row numbers, no join, and only (group, replicate) sums are
+shuffled. Use it for very large groups.
+
+All draws are hashes, so a rerun, a lost executor or another partitioning
+gives the same ones. A row has two md5 numbers a and b; its draw in replicate
+r is (a + r b) mod p. The rows' numbers are independent, so each replicate is
+a plain resample, and any two replicates are independent too; md5 is taken
+once for a row, not once for a draw.
 """
 
 from __future__ import annotations
@@ -20,17 +23,33 @@ from pyspark.sql import functions as F
 
 from trawlframe.functions import region_from_district, safe_div, strict_avg, strict_sum
 from trawlframe.operators.ordered import running_totals
-from trawlframe.session import attach_groups
 
 GROUP = ["year", "district", "size_sex"]
-_HEX = 15  # hex digits of a hash in use, 60 bits
+# A prime below 2**52, so that r b stays within a bigint for r below 1024.
+PRIME = 2**52 - 47
+ROUND = 1024
 
 
-def hash_number(*parts) -> Column:
-    """A 60-bit whole number from the md5 of the parts joined by '|'."""
-    text = F.concat_ws("|", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p))
-                              for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, _HEX), 16, 10).cast("bigint")
+def hash_numbers(*parts) -> tuple[Column, Column]:
+    """Two whole numbers below PRIME from the md5 of the parts joined by '|'."""
+    digest = F.md5(F.concat_ws("|", *[
+        p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts]))
+    return tuple(
+        F.conv(F.substring(digest, start, 13), 16, 10).cast("bigint") % PRIME for start in (1, 14)
+    )
+
+
+def _replicated(rows: DataFrame, reps: int, seed: int, by: list[str], row: str) -> DataFrame:
+    """Each row once for every replicate, with its random number ``_x``."""
+    last = (reps - 1) // ROUND
+    spread = rows.withColumn("_round", F.explode(F.sequence(F.lit(0), F.lit(last))))
+    a, b = hash_numbers(seed, *[F.col(c) for c in by], F.col(row), F.col("_round"))
+    spread = spread.withColumns({"_a": a, "_b": b}).withColumn(
+        "_r", F.explode(F.sequence(F.lit(0), F.least(F.lit(ROUND), reps - F.col("_round") * ROUND) - 1)))
+    return spread.withColumns({
+        "rep": (F.col("_round") * ROUND + F.col("_r") + 1).cast("int"),
+        "_x": (F.col("_a") + F.col("_r") * F.col("_b")) % PRIME,
+    }).drop("_round", "_r", "_a", "_b")
 
 
 def resampled_means(cpue: DataFrame, reps: int = 1000, seed: int = 1, by=GROUP,
@@ -38,10 +57,8 @@ def resampled_means(cpue: DataFrame, reps: int = 1000, seed: int = 1, by=GROUP,
     """Mean CPUE and mean area of every resample: one row for (group, replicate)."""
     by = list(by)
     rows = cpue.select(*by, station, "cpue", "total_area")
-    replicate = F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep")
     if method == "poisson":
-        u = hash_number(seed, *[F.col(c) for c in by], F.col("rep"), F.col(station))
-        weighted = rows.select("*", replicate).withColumn("_k", _poisson(u))
+        weighted = _replicated(rows, reps, seed, by, station).withColumn("_k", _poisson(F.col("_x")))
         return weighted.groupBy(*by, "rep").agg(
             safe_div(F.sum(F.col("_k") * F.col("cpue")), F.sum("_k")).alias("mean_cpue"),
             safe_div(F.sum(F.col("_k") * F.col("total_area")), F.sum("_k")).alias("mean_area"),
@@ -50,22 +67,18 @@ def resampled_means(cpue: DataFrame, reps: int = 1000, seed: int = 1, by=GROUP,
         raise ValueError("method is 'index' or 'poisson'")
     order = [F.col(station), F.col("cpue")]
     numbered = running_totals(rows, by, order, {"_row": F.lit(1).cast("bigint")})
-    numbered = numbered.withColumn("_row", F.col("_row") - 1)
-    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    slots = attach_groups(numbered.select(*by, "_row"), sizes, by)
-    draws = slots.select(*by, F.col("_row").alias("_k"), "_n", replicate).select(
-        *by, "rep",
-        F.pmod(hash_number(seed, *[F.col(c) for c in by], F.col("rep"), F.col("_k")),
-               F.col("_n")).alias("_row"),
-    )
-    return draws.join(numbered, [*by, "_row"]).groupBy(*by, "rep").agg(
+    numbered = numbered.withColumnsRenamed({"_row_total": "_n"}).withColumn("_row", F.col("_row") - 1)
+    draws = _replicated(numbered.select(*by, "_row", "_n"), reps, seed, by, "_row").select(
+        *by, "rep", (F.col("_x") % F.col("_n")).alias("_row"))
+    values = numbered.select(*by, "_row", "cpue", "total_area")
+    return draws.join(values, [*by, "_row"]).groupBy(*by, "rep").agg(
         strict_avg("cpue").alias("mean_cpue"), strict_avg("total_area").alias("mean_area"),
     )
 
 
 def _poisson(hashed: Column, most: int = 12) -> Column:
     """A Poisson(1) count from a uniform hash by its distribution function."""
-    u = hashed.cast("double") / float(16**_HEX)
+    u = hashed.cast("double") / float(PRIME)
     count = F.lit(most)
     for k in reversed(range(most)):
         below = sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))

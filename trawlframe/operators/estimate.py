@@ -10,7 +10,7 @@ from trawlframe.functions import (
 )
 from trawlframe.operators.ordered import weighted_quantiles
 from trawlframe.operators.prep import densify
-from trawlframe.session import attach_groups
+from trawlframe.session import attach_groups, cut_lineage
 
 REGION = ["year", "region"]
 MILLION = 1_000_000.0
@@ -176,6 +176,8 @@ def size_composition(abundance: DataFrame, region: str = "NBS", min_size: float
         .filter((F.col("size") >= min_size) & (F.col(value) != 0) & (F.col("region") == region))
         .groupBy("year", "sex", "size").agg(F.sum(value).alias("abundance_mil"))
     )
+    # One row for each class; three branches read it and the whole survey is behind it.
+    kept = cut_lineage(kept)
     by = ["year", "sex"]
     shares = attach_groups(kept, kept.groupBy(*by).agg(F.sum("abundance_mil").alias("_t")), by)
     shares = shares.withColumn("w", safe_div("abundance_mil", "_t")).drop("_t")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trawlframe.functions import inside_polygon, safe_div
-from trawlframe.session import attach_groups, same_keys_join
+from trawlframe.session import attach_groups, cut_lineage, same_keys_join
 
 
 def _pair(dlim) -> tuple[float, float, bool]:
@@ -188,6 +188,7 @@ def _candidates_anywhere(positions, geometry, n, by, polygon, side: int = 8) ->
 def influence_area(points: DataFrame, dlim, n: int, by: list[str], polygon=None,
                    x="x", y="y") -> DataFrame:
     """Every point with the area of the nodes it is nearest to (0 where none)."""
+    points = cut_lineage(points)
     near = nearest_point_grid(points, dlim, n, by, polygon, "dlim", x, y)
     areas = near.groupBy(*by, "x", "y").agg(F.sum("cell_area").alias("influence_area"))
     areas = areas.withColumnsRenamed({"x": x, "y": y})
@@ -202,6 +203,8 @@ def migrate_to_grid(points: DataFrame, value: str, dlim, n: int, by: list[str],
     Of equally near points the one with the largest station id counts.
     ``mode`` is 'value', 'rank' (the station) or 'area'.
     """
+    # The search reads the points several times; what made them runs once.
+    points = cut_lineage(points.select(*by, station, x, y, value))
     near = nearest_point_grid(points, dlim, n, by, polygon, max_dist, x, y)
     if mode == "area":
         areas = near.groupBy(*by, "x", "y").agg(F.sum("cell_area").alias("_area"))
@@ -247,7 +250,8 @@ def microstructure_index(points: DataFrame, z: str, h0: float, dlim, n: int, by:
     The nodes get the nearest point's value however far it is, unless
     ``max_dist='dlim'``.
     """
-    whole = points.filter((F.col(x) * F.col(y) * F.col(z)).isNotNull())
+    whole = cut_lineage(
+        points.filter((F.col(x) * F.col(y) * F.col(z)).isNotNull()).select(*by, station, x, y, z))
     geometry = grid_geometry(whole, dlim, n, by, x, y).drop("cell_area")
     cells = migrate_to_grid(whole, z, dlim, n, by, polygon, max_dist, station, x, y)
     reach = F.ceil(1.5 * h0 / F.least("gdx", "gdy")).cast("int")

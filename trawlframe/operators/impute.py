@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trawlframe.functions import safe_div
-from trawlframe.operators.bootstrap import hash_number
+from trawlframe.operators.bootstrap import PRIME, hash_numbers
 from trawlframe.operators.pairs import BLOCK_SERIES, best_predictors
 from trawlframe.operators.panel import gaps
+from trawlframe.session import cut_lineage
 
 
 def predictor_fits(panel: DataFrame, predictors: DataFrame, t: str, series: str,
@@ -38,6 +39,8 @@ def impute_panel(panel: DataFrame, t: str, series: str, value: str, k: int = 20,
     noise of the pooled residual spread, drawn by hash. A cell none of whose
     predictors is known stays NULL.
     """
+    # Five branches read the panel; whatever made it runs once.
+    panel = cut_lineage(panel.select(t, series, value))
     predictors = best_predictors(panel, t, series, value, k, block_series).select(
         "series", "predictor")
     fits = predictor_fits(panel, predictors, t, series, value).filter(F.col("r2").isNotNull())
@@ -64,10 +67,9 @@ def impute_panel(panel: DataFrame, t: str, series: str, value: str, k: int = 20,
 
 
 def _normal(seed: int):
-    """A standard normal number from two uniform hashes of the cell."""
-    cell = [F.col("series"), F.col("t"), F.col("imputation")]
-    u1 = (hash_number(seed, "u1", *cell) + 1).cast("double") / (16.0**15 + 1)
-    u2 = hash_number(seed, "u2", *cell).cast("double") / 16.0**15
+    """A standard normal number from the two hashes of the cell."""
+    a, b = hash_numbers(seed, F.col("series"), F.col("t"), F.col("imputation"))
+    u1, u2 = (a + 1).cast("double") / (PRIME + 1.0), b.cast("double") / float(PRIME)
     return F.sqrt(-2.0 * F.ln(u1)) * F.cos(2.0 * math.pi * u2)
 
 

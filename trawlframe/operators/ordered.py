@@ -14,15 +14,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trawlframe.functions import column, safe_div
-from trawlframe.session import attach_groups, cut_lineage, same_keys_join
+from trawlframe.session import cut_lineage, same_keys_join
 
 
 def running_totals(df: DataFrame, by: list[str], order: list[Column],
                    sums: dict[str, Column]) -> DataFrame:
     """Add running sums, in ``order`` within ``by``, up to and including each row.
 
-    ``order`` must be total within a group (end it with an id). A count of
-    rows is the sum of ``lit(1)``. NULL adds nothing.
+    Each name also gets ``<name>_total``, the sum of the whole group. ``order``
+    must be total within a group (end it with an id). A count of rows is the
+    sum of ``lit(1)``. NULL adds nothing.
     """
     values = {f"_v_{name}": F.coalesce(column(v), F.lit(0)) for name, v in sums.items()}
     rows = cut_lineage(
@@ -31,13 +32,14 @@ def running_totals(df: DataFrame, by: list[str], order: list[Column],
         .withColumn("_slice", F.spark_partition_id())
     )
     # One row for each group and slice: at most groups + slices rows in all.
-    before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    group = Window.partitionBy(*by)
+    before = group.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         rows.groupBy(*by, "_slice")
         .agg(*[F.sum(v).alias(v) for v in values])
         .select(*by, "_slice", *[
             F.coalesce(F.sum(f"_v_{n}").over(before), F.lit(0)).alias(f"_off_{n}") for n in sums
-        ])
+        ], *[F.sum(f"_v_{n}").over(group).alias(f"{n}_total") for n in sums])
     )
     within = (
         Window.partitionBy(*by, "_slice").orderBy(*order)
@@ -62,10 +64,9 @@ def quantiles(df: DataFrame, value: str, probs: list[float], by: list[str]) -> D
         .groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
     )
     ranked = running_totals(counts, by, [F.col(value)], {"_upto": F.col("_n")})
-    ranked = attach_groups(ranked, counts.groupBy(*by).agg(F.sum("_n").alias("_total")), by)
     aggregates = []
     for p in probs:
-        position = (F.col("_total") - 1) * F.lit(float(p))
+        position = (F.col("_upto_total") - 1) * F.lit(float(p))
         low, high = F.floor(position), F.ceil(position)
         aggregates += [
             F.min(F.when(F.col("_upto") > low, F.col(value))).alias(f"_lo_{_pct(p)}"),
@@ -94,8 +95,7 @@ def weighted_quantiles(df: DataFrame, value: str, weight: str, probs: list[float
         .groupBy(*by, value).agg(F.sum(weight).alias("_w"))
     )
     ranked = running_totals(points, by, [F.col(value)], {"_cum": F.col("_w")})
-    ranked = attach_groups(ranked, points.groupBy(*by).agg(F.sum("_w").alias("_total")), by)
-    ranked = ranked.withColumn("_share", safe_div("_cum", "_total"))
+    ranked = ranked.withColumn("_share", safe_div("_cum", "_cum_total"))
     step = F.struct(F.col("_share").alias("share"), F.col(value).alias("x"))
     aggregates = []
     for p in probs:

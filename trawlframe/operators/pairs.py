@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trawlframe.session import cut_lineage
+
 # Series in a block: a task holds a few block x block matrices of doubles.
 BLOCK_SERIES = 1500
 
@@ -28,9 +30,9 @@ def pack_series(panel: DataFrame, t: str, series: str, value: str) -> tuple[Data
     Periods are years or days, so their list is short; two values for one
     cell are averaged.
     """
-    cells = panel.filter(F.col(value).isNotNull()).groupBy(series, t).agg(
-        F.avg(value).alias("_v"))
-    periods = [r[0] for r in panel.select(t).distinct().orderBy(t).collect()]
+    cells = cut_lineage(panel.filter(F.col(value).isNotNull()).groupBy(series, t).agg(
+        F.avg(value).alias("_v")))
+    periods = [r[0] for r in cells.select(t).distinct().orderBy(t).collect()]
     index = F.array_position(F.lit(periods).cast(T.ArrayType(panel.schema[t].dataType)), F.col(t))
     packed = cells.groupBy(F.col(series).alias("series")).agg(
         F.collect_list((index - 1).cast("int")).alias("at"), F.collect_list("_v").alias("v"))

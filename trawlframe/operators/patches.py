@@ -46,12 +46,12 @@ def spatial_patches(df: DataFrame, x: str, y: str, z: str, w: str, by: list[str]
 
     Rows with anything missing are left out. Equal densities go by station.
     """
-    points = df.select(
+    points = cut_lineage(df.select(
         *by, station, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"),
         F.col(z).cast("double").alias("z"), F.col(w).cast("double").alias("w"),
     ).dropna(subset=["x", "y", "z", "w"]).withColumns({
         "_tx": F.floor(F.col("x") / limit), "_ty": F.floor(F.col("y") / limit),
-    })
+    }))
     positive = points.filter(F.col("z") * F.col("w") > 0)
     null = points.filter(F.col("z") * F.col("w") <= 0)
 

@@ -116,6 +116,8 @@ def spatial_pca(panel: DataFrame, t: str, series: str, value: str, by: list[str]
     component, standardised, rising with time).
     """
     by = list(by or [])
+    # Read once for the anomalies, the products, the loadings and the scores.
+    panel = cut_lineage(panel.select(*by, t, series, value))
     cells = anomaly(panel, t, value, by, out="_a").select(*by, t, series, "_a")
     shares, loadings, scores = _components(cells, by, t, series, components, placed=1)
     loadings, scores = _oriented(loadings, scores, by, t)
@@ -130,6 +132,7 @@ def standardized_pca(panel: DataFrame, t: str, series: str, value: str,
     leading components; the sign of a component is arbitrary, so it is turned
     to make its largest loading positive.
     """
+    panel = cut_lineage(panel.select(t, series, value))
     cells = z_score(panel, [series], value, "_a").select(t, series, "_a").filter(
         F.col("_a").isNotNull())
     shares, loadings, scores = _components(cells, [], t, series, components, placed=components)
@@ -150,6 +153,7 @@ def gap_pca(panel: DataFrame, t: str, series: str, value: str,
     more series are refused (use strata or districts as series then). Scores
     are sums over the values present, standardised.
     """
+    panel = cut_lineage(panel.select(t, series, value))
     cells = anomaly(panel, t, value, skip_missing=True, out="_a").select(t, series, "_a").filter(
         F.col("_a").isNotNull())
     n = cells.select(series).distinct().count()

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trawlframe.functions import (
-    STATION_AREA_NM2, log_positive, safe_div, strict_sum, weighted_mean, zero_to_null,
+    STATION_AREA_NM2, log_positive, safe_div, strict_avg, strict_sum, weighted_mean,
+    zero_to_null,
 )
 from trawlframe.operators.ordered import running_totals
-from trawlframe.session import attach_groups
 
 
 # -- area holding 95 % of the catch --------------------------------------------
@@ -22,14 +22,15 @@ def d95_members(df: DataFrame, value: str, by: list[str], station: str = "statio
     threshold, so the one crossing it is out. Ties go by station. A missing
     value anywhere in a group makes the group's shares missing.
     """
-    totals = df.groupBy(*by).agg(strict_sum(value).alias("_total"))
     order = [F.col(value).desc_nulls_last(), F.col(station)]
-    ranked = running_totals(df, by, order, {"_upto": F.col(value)})
-    ranked = attach_groups(ranked, totals, by)
+    sums = {"_upto": F.col(value), "_gap": F.col(value).isNull().cast("int")}
+    ranked = running_totals(df, by, order, sums)
+    total = F.when(F.col("_gap_total") == 0, F.col("_upto_total"))
     return ranked.withColumns({
-        "share": F.try_divide(F.col(value), F.col("_total")),
-        "cumulative_share": F.try_divide(F.col("_upto"), F.col("_total")),
-    }).withColumn("d95", F.col("cumulative_share") <= threshold).drop("_total", "_upto")
+        "share": F.try_divide(F.col(value), total),
+        "cumulative_share": F.try_divide(F.col("_upto"), total),
+    }).withColumn("d95", F.col("cumulative_share") <= threshold).drop(
+        "_upto", "_gap", "_upto_total", "_gap_total")
 
 
 def d95_area(members: DataFrame, by: list[str], area: float = STATION_AREA_NM2) -> DataFrame:
@@ -39,6 +40,10 @@ def d95_area(members: DataFrame, by: list[str], area: float = STATION_AREA_NM2)
 
 # -- centre, inertia, axes -------------------------------------------------------
 
+# Square units below which a second moment is the rounding of a zero.
+ROUNDING = 1e-13
+
+
 def _points(df: DataFrame, x, y, z, w, by) -> DataFrame:
     """x, y and the weight z w; rows with anything missing carry no weight."""
     z = F.lit(1.0) if z is None else F.col(z)
@@ -67,19 +72,41 @@ def center_of_gravity(df: DataFrame, x: str, y: str, z: str | None, w: str | Non
 def _moments(df: DataFrame, x, y, z, w, by) -> DataFrame:
     """Centre, and second moments about it divided by the total weight.
 
-    Two passes: sums of squares about zero would lose the digits that matter
-    at longitudes near -180. Only the centres travel between the passes.
+    Sums of squares about zero would lose the digits that matter at
+    longitudes near -180. The points are summed about the middle of their unit
+    square first, and the squares' sums (one row for each occupied square) are
+    then moved to the centre: the rows are read once and nothing is joined
+    back to them.
     """
-    points = _points(df, x, y, z, w, by)
-    near = attach_groups(points, _centre(points, by), list(by))
-    dx, dy, q = F.col("_x") - F.col("xcg"), F.col("_y") - F.col("ycg"), F.col("_q")
-    return near.groupBy(*by).agg(
+    tx, ty = F.col("_tx"), F.col("_ty")
+    near = _points(df, x, y, z, w, by).withColumns({
+        "_tx": F.floor("_x") + 0.5, "_ty": F.floor("_y") + 0.5})
+    dx, dy, q = F.col("_x") - tx, F.col("_y") - ty, F.col("_q")
+    squares = near.groupBy(*by, "_tx", "_ty").agg(
+        F.sum(q).alias("_n"), F.sum(q * dx).alias("_dx"), F.sum(q * dy).alias("_dy"),
+        F.sum(q * dx * dx).alias("_dxx"), F.sum(q * dy * dy).alias("_dyy"),
+        F.sum(q * dx * dy).alias("_dxy"),
+    )
+    group = Window.partitionBy(*by)
+    n = F.col("_n")
+    centred = squares.withColumns({
+        "xcg": safe_div(F.sum(n * tx + F.col("_dx")).over(group), F.sum(n).over(group)),
+        "ycg": safe_div(F.sum(n * ty + F.col("_dy")).over(group), F.sum(n).over(group)),
+    })
+    sx, sy = tx - F.col("xcg"), ty - F.col("ycg")
+    moved = {
+        "_a": F.col("_dxx") + 2.0 * sx * F.col("_dx") + sx * sx * n,
+        "_c": F.col("_dyy") + 2.0 * sy * F.col("_dy") + sy * sy * n,
+        "_b": F.col("_dxy") + sx * F.col("_dy") + sy * F.col("_dx") + sx * sy * n,
+    }
+    out = centred.groupBy(*by).agg(
         F.first("xcg", ignorenulls=True).alias("xcg"),
         F.first("ycg", ignorenulls=True).alias("ycg"),
-        safe_div(F.sum(dx * dx * q), F.sum(q)).alias("_a"),
-        safe_div(F.sum(dy * dy * q), F.sum(q)).alias("_c"),
-        safe_div(F.sum(dx * dy * q), F.sum(q)).alias("_b"),
+        *[safe_div(F.sum(m), F.sum(n)).alias(name) for name, m in moved.items()],
     )
+    # What is left of a moment that is really zero.
+    flat = {c: F.when(F.abs(c) < ROUNDING, F.lit(0.0)).otherwise(F.col(c)) for c in moved}
+    return out.withColumns(flat)
 
 
 def _with_principal(moments: DataFrame) -> DataFrame:
@@ -183,11 +210,13 @@ def _by_density(df: DataFrame, z: str, w: str, by: list[str]) -> DataFrame:
     points = df.filter(F.col(z).isNotNull()).groupBy(*by, z).agg(
         strict_sum(w).alias("_w"), strict_sum(F.col(z) * F.col(w)).alias("_q")
     )
-    run = running_totals(points, by, [F.col(z)], {"_area": F.col("_w"), "_upto": F.col("_q")})
-    totals = points.groupBy(*by).agg(
-        strict_sum("_w").alias("_total_area"), strict_sum("_q").alias("_total")
-    )
-    return attach_groups(run, totals, by)
+    run = running_totals(points, by, [F.col(z)], {
+        "_area": F.col("_w"), "_upto": F.col("_q"), "_gap": F.col("_q").isNull().cast("int")})
+    whole = F.col("_gap_total") == 0
+    return run.withColumns({
+        "_total_area": F.when(whole, F.col("_area_total")),
+        "_total": F.when(whole, F.col("_upto_total")),
+    })
 
 
 def spreading_area(df: DataFrame, z: str, w: str, by: list[str]) -> DataFrame:
@@ -257,8 +286,6 @@ def temperature_in_range(df: DataFrame, temp: str, taxon: str, cpue: str,
 
 
 def mean_bottom_temperature(temps: DataFrame, temp: str, t: str = "year") -> DataFrame:
-    from trawlframe.functions import strict_avg
-
     return temps.groupBy(t).agg(strict_avg(temp).alias("mean_bt"))
 
 
