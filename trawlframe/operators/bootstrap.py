@@ -23,8 +23,11 @@ from pyspark.sql import functions as F
 
 from trawlframe.functions import region_from_district, safe_div, strict_avg, strict_sum
 from trawlframe.operators.ordered import running_totals
+from trawlframe.session import cut_lineage
 
 GROUP = ["year", "district", "size_sex"]
+# Rows of a key and two numbers that are broadcast, after counting: about 100 MB.
+BROADCAST_VALUES = 1_000_000
 # A prime below 2**52, so that r b stays within a bigint for r below 1024.
 PRIME = 2**52 - 47
 ROUND = 1024
@@ -67,10 +70,16 @@ def resampled_means(cpue: DataFrame, reps: int = 1000, seed: int = 1, by=GROUP,
         raise ValueError("method is 'index' or 'poisson'")
     order = [F.col(station), F.col("cpue")]
     numbered = running_totals(rows, by, order, {"_row": F.lit(1).cast("bigint")})
-    numbered = numbered.withColumnsRenamed({"_row_total": "_n"}).withColumn("_row", F.col("_row") - 1)
+    numbered = cut_lineage(
+        numbered.withColumnsRenamed({"_row_total": "_n"}).withColumn("_row", F.col("_row") - 1))
     draws = _replicated(numbered.select(*by, "_row", "_n"), reps, seed, by, "_row").select(
         *by, "rep", (F.col("_x") % F.col("_n")).alias("_row"))
     values = numbered.select(*by, "_row", "cpue", "total_area")
+    # The draws are reps times as many as the rows. While the rows fit in
+    # every executor the draws stay where they are; beyond, both are shuffled
+    # on (group, row number), which spreads evenly.
+    if numbered.count() <= BROADCAST_VALUES:
+        values = F.broadcast(values)
     return draws.join(values, [*by, "_row"]).groupBy(*by, "rep").agg(
         strict_avg("cpue").alias("mean_cpue"), strict_avg("total_area").alias("mean_area"),
     )

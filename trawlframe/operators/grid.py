@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trawlframe.functions import inside_polygon, safe_div
-from trawlframe.session import attach_groups, cut_lineage, same_keys_join
+from trawlframe.session import attach_groups, cut_lineage, same_keys_join, spread
 
 
 def _pair(dlim) -> tuple[float, float, bool]:
@@ -49,13 +49,18 @@ def _node_y(iy: Column) -> Column:
     return F.col("gy0") + F.col("gdy") * iy
 
 
+def _all_nodes(geometry: DataFrame, n: int, by: list[str]) -> DataFrame:
+    """Every (ix, iy) of each group; the columns are spread before the rows unfold."""
+    cells = F.sequence(F.lit(0), F.lit(n - 1))
+    columns = spread(geometry.withColumn("ix", F.explode(cells)), *by, "ix")
+    return columns.withColumn("iy", F.explode(cells))
+
+
 def regular_grid(points: DataFrame, dlim, n: int, by: list[str], polygon=None,
                  x="x", y="y") -> DataFrame:
     """The n x n nodes (cell corners) of each group, inside the polygon if given."""
-    cells = F.sequence(F.lit(0), F.lit(n - 1))
     nodes = (
-        grid_geometry(points, dlim, n, by, x, y)
-        .withColumn("ix", F.explode(cells)).withColumn("iy", F.explode(cells))
+        _all_nodes(grid_geometry(points, dlim, n, by, x, y), n, by)
         .select(*by, "ix", "iy", _node_x(F.col("ix")).alias("x"), _node_y(F.col("iy")).alias("y"),
                 "cell_area")
     )
@@ -152,8 +157,7 @@ def _candidates_anywhere(positions, geometry, n, by, polygon, side: int = 8) ->
     coarse_lists = coarse.groupBy(*by).agg(
         F.collect_list(F.struct("_cx", "_cy", "x0", "x1", "y0", "y1")).alias("_coarse"))
 
-    cells = F.sequence(F.lit(0), F.lit(n - 1))
-    nodes = geometry.withColumn("ix", F.explode(cells)).withColumn("iy", F.explode(cells)).select(
+    nodes = _all_nodes(geometry, n, by).select(
         *by, "ix", "iy", _node_x(F.col("ix")).alias("nx"), _node_y(F.col("iy")).alias("ny"),
         "cell_area")
     if polygon is not None:

@@ -88,6 +88,12 @@ def attach_single(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return df.withColumns({name: F.lit(v).cast(types[name]) for name, v in values.items()})
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Few rows about to become many: over all shuffle partitions, not merged again."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
+
+
 def single_value(one_row: DataFrame):
     """The only value of a one-row, one-column aggregate."""
     return one_row.first()[0]
