@@ -32,8 +32,8 @@ def _gram(cells: DataFrame, by: list[str], t: str, series: str) -> DataFrame:
     )
     left = one.select(*by, "_m", "_row", F.explode("_row").alias("_l"))
     both = left.select(*by, "_m", "_l", F.explode("_row").alias("_r")).filter("_l.t <= _r.t")
-    return both.groupBy(*by, F.col("_l.t").alias("t1"), F.col("_r.t").alias("t2")).agg(
-        F.sum((F.col("_l.a") - F.col("_m")) * (F.col("_r.a") - F.col("_m"))).alias("g"))
+    return both.groupBy(*by, F.col("_l.t").alias("_t1"), F.col("_r.t").alias("_t2")).agg(
+        F.sum((F.col("_l.a") - F.col("_m")) * (F.col("_r.a") - F.col("_m"))).alias("_g"))
 
 
 def _eigen_of(gram: DataFrame, by: list[str], t_type, components: int) -> DataFrame:
@@ -46,10 +46,10 @@ def _eigen_of(gram: DataFrame, by: list[str], t_type, components: int) -> DataFr
     ])
 
     def work(frame: pd.DataFrame) -> pd.DataFrame:
-        times = np.unique(frame["t1"])
-        i, j = np.searchsorted(times, frame["t1"]), np.searchsorted(times, frame["t2"])
+        times = np.unique(frame["_t1"])
+        i, j = np.searchsorted(times, frame["_t1"]), np.searchsorted(times, frame["_t2"])
         g = np.zeros((len(times), len(times)))
-        g[i, j] = g[j, i] = frame["g"]
+        g[i, j] = g[j, i] = frame["_g"]
         values, vectors = np.linalg.eigh(g / (len(times) - 1))
         order = np.argsort(values)[::-1][:components]
         total = np.trace(g) / (len(times) - 1)

@@ -112,31 +112,31 @@ def location_pairs(df: DataFrame, value: str, by: list[str], max_dist: float,
     """
     clean = df.filter(F.col(value).isNotNull() & F.col(x).isNotNull() & F.col(y).isNotNull())
     spots = clean.groupBy(*by, F.col(x).alias("x"), F.col(y).alias("y")).agg(
-        F.count(F.lit(1)).cast("double").alias("n"), F.avg(value).alias("m"),
-        (F.var_pop(value) * F.count(F.lit(1))).alias("ss"),
+        F.count(F.lit(1)).cast("double").alias("_n"), F.avg(value).alias("_m"),
+        (F.var_pop(value) * F.count(F.lit(1))).alias("_ss"),
     ).withColumns({"_tx": F.floor(F.col("x") / max_dist), "_ty": F.floor(F.col("y") / max_dist)})
     around = F.array(F.lit(-1), F.lit(0), F.lit(1))
     left = spots.withColumn("_i", F.explode(around)).withColumn("_j", F.explode(around)).select(
         *by, (F.col("_tx") + F.col("_i")).alias("_tx"), (F.col("_ty") + F.col("_j")).alias("_ty"),
-        *[F.col(c).alias(f"{c}_a") for c in ("x", "y", "n", "m", "ss")],
+        *[F.col(c).alias(f"{c}_a") for c in ("x", "y", "_n", "_m", "_ss")],
     )
     pairs = same_keys_join(left, spots, [*by, "_tx", "_ty"], "inner")
     later = (F.col("x_a") < F.col("x")) | ((F.col("x_a") == F.col("x")) & (F.col("y_a") < F.col("y")))
     distance = F.sqrt(F.pow(F.col("x") - F.col("x_a"), 2) + F.pow(F.col("y") - F.col("y_a"), 2))
-    gap = F.col("m") - F.col("m_a")
+    gap = F.col("_m") - F.col("_m_a")
     # Sum over row pairs of (a - b)^2 / 2 from the two groups' moments.
-    halves = (F.col("n") * F.col("ss_a") + F.col("n_a") * F.col("ss")
-              + F.col("n") * F.col("n_a") * gap * gap) / 2.0
+    halves = (F.col("_n") * F.col("_ss_a") + F.col("_n_a") * F.col("_ss")
+              + F.col("_n") * F.col("_n_a") * gap * gap) / 2.0
     apart = pairs.filter(later).select(
         *by, "x_a", "y_a", F.col("x").alias("x_b"), F.col("y").alias("y_b"),
-        distance.alias("distance"), (F.col("n") * F.col("n_a")).alias("n_pairs"),
+        distance.alias("distance"), (F.col("_n") * F.col("_n_a")).alias("n_pairs"),
         halves.alias("_sum"),
     ).filter(F.col("distance") <= max_dist)
-    same = spots.filter(F.col("n") > 1).select(
+    same = spots.filter(F.col("_n") > 1).select(
         *by, F.col("x").alias("x_a"), F.col("y").alias("y_a"), F.col("x").alias("x_b"),
         F.col("y").alias("y_b"), F.lit(0.0).alias("distance"),
-        (F.col("n") * (F.col("n") - 1) / 2.0).alias("n_pairs"),
-        (F.col("n") * F.col("ss") / 2.0).alias("_sum"),
+        (F.col("_n") * (F.col("_n") - 1) / 2.0).alias("n_pairs"),
+        (F.col("_n") * F.col("_ss") / 2.0).alias("_sum"),
     )
     return apart.unionByName(same).withColumns({
         "semivariance": F.col("_sum") / F.col("n_pairs"), "n_pairs": F.col("n_pairs").cast("bigint"),
