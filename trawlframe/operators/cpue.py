@@ -71,10 +71,8 @@ def cpue_1mm_cells(catch: DataFrame, haul: DataFrame, strata: DataFrame,
     the zeros are left implicit here; :func:`cpue_long_1mm` writes them out.
     """
     effort = _effort(haul, on)
-    stations = _stratify(
-        effort.select(*STATION_KEYS).distinct(),
-        haul if fish_strata is None else fish_strata, strata,
-    )
+    fish = haul if fish_strata is None else fish_strata
+    stations = _stratify(effort.select(*STATION_KEYS).distinct(), fish, strata)
     by_haul = (
         catch.withColumn("size_sex", class_label("sex", width_bin_1mm("cw")))
         .filter(F.col("size_sex").isNotNull())
@@ -88,8 +86,7 @@ def cpue_1mm_cells(catch: DataFrame, haul: DataFrame, strata: DataFrame,
         .agg(F.sum("_s0").alias("_s0"), F.sum("_g0").alias("_g0"))
         .select(*STATION_KEYS, "size_sex", _filled(0, strict_catch).alias("num_crab"))
     )
-    # Station attributes by the exact station key; doubles compare as stored.
-    cells = cells.join(stations, STATION_KEYS).withColumn("cpue", cpue())
+    cells = _stratify(cells, fish, strata).withColumn("cpue", cpue())
     return stations, cells.select(*WIDE_KEYS, "size_sex", "num_crab", "cpue")
 
 

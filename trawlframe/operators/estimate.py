@@ -120,10 +120,11 @@ def abundance_1mm(stations: DataFrame, cells: DataFrame, stratum: str = "stratum
     the squares about the mean of all n are those about the mean of the m,
     plus m times the squared shift, plus (n - m) times the squared mean.
     """
-    strata = stations.groupBy(*by, stratum).agg(
+    # Strata and regional sums are small and each is read several times below.
+    strata = cut_lineage(stations.groupBy(*by, stratum).agg(
         F.count(F.lit(1)).alias("n_stations"),
         strict_avg("total_area").alias("total_area"),
-    )
+    ))
     caught = cells.groupBy(*by, stratum, cls).agg(
         F.count(F.lit(1)).alias("_m"),
         F.avg("cpue").alias("_mean"),
@@ -143,12 +144,12 @@ def abundance_1mm(stations: DataFrame, cells: DataFrame, stratum: str = "stratum
         F.sum("total_area").alias("_area"),
         F.min("n_stations").alias("_fewest"),
     )
-    sums = stats.groupBy(*by, cls).agg(
+    sums = cut_lineage(stats.groupBy(*by, cls).agg(
         F.struct(
             F.sum(area * F.col("abundance_mil")).alias("a"),
             F.sum(area * area * F.col("stderr_mil")).alias("e"),
         ).alias("_sums")
-    )
+    ))
     # Every class of the data appears in every region and year, at the level
     # of the result, where the table is small.
     empty = region.select(*by, F.lit(None).cast("string").alias(cls),

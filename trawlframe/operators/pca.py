@@ -89,7 +89,9 @@ def _components(cells: DataFrame, by, t, series, components: int, placed: int):
     loadings = spread.groupBy(*by, "_e.component", series).agg(
         F.sum(F.col("_a") * F.col("_e._w")).alias("loading"))
     pairs = same_keys_join(cells.select(*by, t, series, "_a"), loadings, [*by, series], "inner")
-    scores = pairs.groupBy(*by, "component", t).agg(F.sum(F.col("_a") * F.col("loading")).alias("score"))
+    # One row for each component and period, behind a pass over all cells.
+    scores = cut_lineage(pairs.groupBy(*by, "component", t).agg(
+        F.sum(F.col("_a") * F.col("loading")).alias("score")))
     return shares, loadings, scores
 
 
