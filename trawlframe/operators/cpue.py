@@ -18,7 +18,7 @@ WIDE_KEYS = [*STATION_KEYS, "district", "stratum_crab", "stratum_fish", "total_a
 
 def cpue_long(catch: DataFrame, haul: DataFrame, strata: DataFrame,
               fish_strata: DataFrame | None = None, bounds=SIZE_SEX_BOUNDS,
-              on=("year", "station"), strict_catch: bool = True,
+              on=("station", "year"), strict_catch: bool = True,
               effort_side: str = "haul") -> DataFrame:
     """CPUE of every size/sex class at every sampled station, zeros included.
 
@@ -28,6 +28,11 @@ def cpue_long(catch: DataFrame, haul: DataFrame, strata: DataFrame,
     so the joins share one partitioning. The classes are literals, hence no
     second scan to complete them.
 
+    Records of hauls that are not in the haul table have no effort and drop
+    out with the stations that have none, so the full outer join of catch and
+    hauls comes down to the hauls with their catch; ``effort_side='catch'``
+    loses the hauls without catch as well.
+
     With ``strict_catch`` a class with any missing sampling factor counts as
     0 at that station; without, the known factors are summed.
     """
@@ -45,8 +50,8 @@ def cpue_long(catch: DataFrame, haul: DataFrame, strata: DataFrame,
         catch.withColumn("_class", size_sex_class(bounds=bounds))
         .groupBy(*on).agg(*sums, *gaps)
     )
-    stations = by_haul.join(
-        _effort(haul, on), list(on), "full" if effort_side == "haul" else "left"
+    stations = _effort(haul, on).join(
+        by_haul, list(on), "left" if effort_side == "haul" else "inner"
     ).groupBy(*STATION_KEYS).agg(*[
         F.sum(f"_{kind}{i}").alias(f"_{kind}{i}") for i in range(len(labels)) for kind in "sg"
     ])
@@ -63,7 +68,7 @@ def cpue_long(catch: DataFrame, haul: DataFrame, strata: DataFrame,
 
 
 def cpue_1mm_cells(catch: DataFrame, haul: DataFrame, strata: DataFrame,
-                   fish_strata: DataFrame | None = None, on=("year", "station"),
+                   fish_strata: DataFrame | None = None, on=("station", "year"),
                    strict_catch: bool = True) -> tuple[DataFrame, DataFrame]:
     """(stations, cells): all sampled stations, and CPUE where a class was caught.
 

@@ -75,10 +75,12 @@ def nearest_point_grid(points: DataFrame, dlim, n: int, by: list[str], polygon=N
     circle, or a rectangle for a pair) unassigned; ``None`` searches as far as
     needed. Output: group, ix, iy, x, y (the position), distance, cell_area.
     """
-    positions = points.select(*by, F.col(x).alias("x"), F.col(y).alias("y")).filter(
-        F.col("x").isNotNull() & F.col("y").isNotNull()
-    ).distinct()
-    geometry = grid_geometry(points, dlim, n, by, x, y)
+    # Read for the geometry and for both passes over the candidates.
+    positions = cut_lineage(
+        points.select(*by, F.col(x).alias("x"), F.col(y).alias("y")).filter(
+            F.col("x").isNotNull() & F.col("y").isNotNull()
+        ).distinct())
+    geometry = grid_geometry(positions, dlim, n, by)
     if max_dist is None:
         candidates = _candidates_anywhere(positions, geometry, n, by, polygon)
     else:

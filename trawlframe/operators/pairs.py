@@ -22,6 +22,8 @@ from trawlframe.session import cut_lineage
 
 # Series in a block: a task holds a few block x block matrices of doubles.
 BLOCK_SERIES = 1500
+# Blocks of candidates one task of the predictor search goes through in turn.
+CANDIDATE_BLOCKS = 20
 
 
 def pack_series(panel: DataFrame, t: str, series: str, value: str) -> tuple[DataFrame, int]:
@@ -66,21 +68,23 @@ def _moments(a: pd.DataFrame, b: pd.DataFrame, periods: int):
     return cov, np.clip(r, -1.0, 1.0), n
 
 
-def _blocks(packed: DataFrame, block_series: int) -> tuple[DataFrame, int]:
+def _meet(packed: DataFrame, block_series: int, ordered: bool, per_task: int = 1):
+    """Both sides of every block pair; ``ordered`` keeps only first <= second.
+
+    The second side's blocks hold ``per_task`` times as many series.
+    """
     n = packed.count()
-    count = max(1, math.ceil(n / block_series))
-    return packed.withColumn("_own", F.pmod(F.hash("series"), F.lit(count))), count
+    firsts = max(1, math.ceil(n / block_series))
+    seconds = max(1, math.ceil(n / (block_series * per_task)))
 
+    def own(count):
+        return packed.withColumn("_own", F.pmod(F.hash("series"), F.lit(count)))
 
-def _meet(packed: DataFrame, block_series: int, ordered: bool):
-    """Both sides of every block pair; ``ordered`` keeps only first <= second."""
-    own, count = _blocks(packed, block_series)
-    every = F.sequence(F.lit(0), F.lit(count - 1))
-    upper = F.sequence(F.col("_own"), F.lit(count - 1)) if ordered else every
-    lower = F.sequence(F.lit(0), F.col("_own")) if ordered else every
-    left = own.select("*", F.col("_own").alias("_i"), F.explode(upper).alias("_j"))
+    upper = F.sequence(F.col("_own") if ordered else F.lit(0), F.lit(seconds - 1))
+    lower = F.sequence(F.lit(0), F.col("_own") if ordered else F.lit(firsts - 1))
+    left = own(firsts).select("*", F.col("_own").alias("_i"), F.explode(upper).alias("_j"))
     # New names for the same columns, so that the two sides can be told apart.
-    right = own.select("*", F.explode(lower).alias("_i"), F.col("_own").alias("_j"))
+    right = own(seconds).select("*", F.explode(lower).alias("_i"), F.col("_own").alias("_j"))
     right = right.select(*[F.col(c).alias(c) for c in right.columns])
     return left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j"))
 
@@ -147,21 +151,27 @@ def best_predictors(panel: DataFrame, t: str, series: str, value: str, k: int =
     def work(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({f.name: [] for f in schema})
-        _, r, _ = _moments(a, b, periods)
-        d = np.where(np.isnan(r), np.inf, np.round(1.0 - np.abs(r), digits))
-        width = min(most, d.shape[1])
-        picks = np.argpartition(d, width - 1, axis=1)[:, :width]
-        rows = np.repeat(np.arange(len(a)), width)
-        cols = picks.ravel()
-        keep = np.isfinite(d[rows, cols])
-        rows, cols = rows[keep], cols[keep]
+        rows = np.arange(len(a))[:, None]
+        best = np.zeros((len(a), 0), dtype=np.int64)
+        best_r, best_d = np.zeros((len(a), 0)), np.zeros((len(a), 0))
+        for start in range(0, len(b), block_series):
+            part = b.iloc[start:start + block_series]
+            _, r, _ = _moments(a, part, periods)
+            d = np.where(np.isnan(r), np.inf, np.round(1.0 - np.abs(r), digits))
+            here = np.broadcast_to(np.arange(start, start + len(part)), d.shape)
+            best, best_r, best_d = (np.hstack(p) for p in ((best, here), (best_r, r), (best_d, d)))
+            if best_d.shape[1] > most:
+                lead = np.argpartition(best_d, most - 1, axis=1)[:, :most]
+                best, best_r, best_d = best[rows, lead], best_r[rows, lead], best_d[rows, lead]
+        keep = np.isfinite(best_d)
+        target = np.broadcast_to(rows, best.shape)[keep]
         return pd.DataFrame({
-            "series": a["series"].to_numpy()[rows], "predictor": b["series"].to_numpy()[cols],
-            "r": r[rows, cols], "_d": d[rows, cols],
+            "series": a["series"].to_numpy()[target], "predictor": b["series"].to_numpy()[best[keep]],
+            "r": best_r[keep], "_d": best_d[keep],
         })
 
-    candidates = _meet(packed, block_series, ordered=False).applyInPandas(work, schema)
-    # At most 2k candidates from each block: a bounded window for each series.
+    candidates = _meet(packed, block_series, False, CANDIDATE_BLOCKS).applyInPandas(work, schema)
+    # At most 2k candidates from each task: a bounded window for each series.
     own = Window.partitionBy("series")
     ranked = candidates.withColumn(
         "_ties", F.count(F.lit(1)).over(Window.partitionBy("series", "_d"))
