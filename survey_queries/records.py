@@ -61,17 +61,17 @@ def sentinels(spark, sf_dir):
 
 @query("qc_hauls", """
 SELECT year, station, gear_temp FROM sv_haul
-WHERE haul_type = 3 AND performance >= 0 AND year >= 1993""")
+WHERE haul_type = 3 AND performance >= 0 AND year >= 1997""")
 def qc_hauls(spark, sf_dir):
-    return prep.qc_hauls(views.haul(spark, sf_dir), min_year=1993).select("year", "station", "gear_temp")
+    return prep.qc_hauls(views.haul(spark, sf_dir), min_year=1997).select("year", "station", "gear_temp")
 
 
 @query("year_filters", """
-SELECT 'range' AS rule, year, count(*) AS n FROM sv_haul WHERE year >= 1994 AND year <= 1996 GROUP BY 2
-UNION ALL SELECT 'list' AS rule, year, count(*) AS n FROM sv_haul WHERE year IN (1992, 1997) GROUP BY 2""")
+SELECT 'range' AS rule, year, count(*) AS n FROM sv_haul WHERE year >= 1997 AND year <= 1999 GROUP BY 2
+UNION ALL SELECT 'list' AS rule, year, count(*) AS n FROM sv_haul WHERE year IN (1995, 2000) GROUP BY 2""")
 def year_filters(spark, sf_dir):
     hauls = views.haul(spark, sf_dir)
-    parts = [("range", prep.years_from(hauls, 1994, 1996)), ("list", prep.years_in(hauls, [1992, 1997]))]
+    parts = [("range", prep.years_from(hauls, 1997, 1999)), ("list", prep.years_in(hauls, [1995, 2000]))]
     return prep.stack_tables(*[
         df.groupBy("year").agg(F.count(F.lit(1)).alias("n")).withColumn("rule", F.lit(rule))
         for rule, df in parts
@@ -250,14 +250,14 @@ def anti_join(spark, sf_dir):
 
 @query("full_join_indices", """
 SELECT coalesce(a.year, b.year) AS year, a.mean_bt, b.cpa
-FROM (SELECT year, round(avg(gear_temp), 6) AS mean_bt FROM sv_haul WHERE year <= 1996 GROUP BY 1) a
-FULL JOIN (SELECT year, count(*) * 401 AS cpa FROM sv_haul WHERE gear_temp < 2 AND year >= 1994 GROUP BY 1) b
+FROM (SELECT year, round(avg(gear_temp), 6) AS mean_bt FROM sv_haul WHERE year <= 1999 GROUP BY 1) a
+FULL JOIN (SELECT year, count(*) * 401 AS cpa FROM sv_haul WHERE gear_temp < 2 AND year >= 1997 GROUP BY 1) b
 ON a.year = b.year""")
 def full_join_indices(spark, sf_dir):
     hauls = views.haul(spark, sf_dir)
-    means = prep.years_from(hauls, 1900, 1996).groupBy("year").agg(
+    means = prep.years_from(hauls, 1900, 1999).groupBy("year").agg(
         F.round(F.avg("gear_temp"), 6).alias("mean_bt"))
-    cold = prep.years_from(hauls, 1994).filter(F.col("gear_temp") < 2).groupBy("year").agg(
+    cold = prep.years_from(hauls, 1997).filter(F.col("gear_temp") < 2).groupBy("year").agg(
         (F.count(F.lit(1)) * 401).alias("cpa"))
     return joins.full_by_key([means, cold], ["year"])
 
@@ -301,11 +301,11 @@ def distinct_values(spark, sf_dir):
 
 
 @query("wide_panel", """
-SELECT station, max(CASE WHEN year = 1992 THEN nbt END) AS y1992, max(CASE WHEN year = 1995 THEN nbt END) AS y1995,
-       max(CASE WHEN year = 1998 THEN nbt END) AS y1998 FROM station_wide GROUP BY 1""", WIDE_CTE)
+SELECT station, max(CASE WHEN year = 1995 THEN nbt END) AS y1995, max(CASE WHEN year = 1998 THEN nbt END) AS y1998,
+       max(CASE WHEN year = 2001 THEN nbt END) AS y2001 FROM station_wide GROUP BY 1""", WIDE_CTE)
 def wide_panel(spark, sf_dir):
-    wide = prep.to_wide(station_wide(spark, sf_dir), ["station"], "year", "nbt", [1992, 1995, 1998])
-    return wide.withColumnsRenamed({str(y): f"y{y}" for y in (1992, 1995, 1998)})
+    wide = prep.to_wide(station_wide(spark, sf_dir), ["station"], "year", "nbt", [1995, 1998, 2001])
+    return wide.withColumnsRenamed({str(y): f"y{y}" for y in (1995, 1998, 2001)})
 
 
 @query("wide_to_long", """

@@ -149,20 +149,20 @@ def difference_slope(spark, sf_dir):
 FACTOR_CTE = CPUE_CTE + """,
 levels AS (SELECT region, size_sex, year, count(*) AS n, avg(pow(cpue, 0.25)) AS estimate,
                   var_pop(pow(cpue, 0.25)) * count(*) AS ss FROM cpue_long GROUP BY 1, 2, 3),
-pooled AS (SELECT region, size_sex, sum(ss) / (sum(n) - count(*)) AS s2, max(CASE WHEN year = 1992 THEN n END) AS base_n,
-                  max(CASE WHEN year = 1992 THEN estimate END) AS base FROM levels GROUP BY 1, 2)
+pooled AS (SELECT region, size_sex, sum(ss) / (sum(n) - count(*)) AS s2, max(CASE WHEN year = 1995 THEN n END) AS base_n,
+                  max(CASE WHEN year = 1995 THEN estimate END) AS base FROM levels GROUP BY 1, 2)
 """
 
 
 @query("factor_regression", """
 SELECT l.region, l.size_sex, year, n, round(estimate, 6) AS estimate,
-       round(CASE WHEN year = 1992 THEN estimate ELSE estimate - base END, 6) AS coef,
-       round(CASE WHEN year = 1992 THEN sqrt(s2 / n) ELSE sqrt(s2 / n + s2 / base_n) END, 6) AS se_coef,
+       round(CASE WHEN year = 1995 THEN estimate ELSE estimate - base END, 6) AS coef,
+       round(CASE WHEN year = 1995 THEN sqrt(s2 / n) ELSE sqrt(s2 / n + s2 / base_n) END, 6) AS se_coef,
        round(sqrt(s2 / n), 6) AS se_mean
 FROM levels l JOIN pooled p ON l.region = p.region AND l.size_sex = p.size_sex""", FACTOR_CTE)
 def factor_regression(spark, sf_dir):
     return rounded(series.factor_regression(
-        cpue_frame(spark, sf_dir), fourth_root("cpue"), "year", ["region", "size_sex"], 1992))
+        cpue_frame(spark, sf_dir), fourth_root("cpue"), "year", ["region", "size_sex"], 1995))
 
 
 @query("factor_residuals", """

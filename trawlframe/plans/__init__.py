@@ -1,0 +1 @@
+"""Whole analyses put together from the operators."""

@@ -32,6 +32,20 @@ def build_session(app: str = "trawlframe", master: str | None = None, **conf) ->
     return builder.getOrCreate()
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    Only a local session without the setting, as in tests, gets one of its own.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        folder = tempfile.mkdtemp(prefix="trawlframe-checkpoint-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the checkpoint folder the cluster names.
 
@@ -40,15 +54,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     where a small table is measured before it is broadcast. Survives the loss
     of executors, unlike a local checkpoint.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="trawlframe-checkpoint-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(scratch_folder(df.sparkSession))
     return df.checkpoint()
 
 
