@@ -50,9 +50,9 @@ def interannual_comparison(spark, sf_dir):
 
 @query("temperature_indices", f"""
 SELECT year, mean_bt, cpa, cp_cod FROM
-  (SELECT year, round(avg(v), 6) AS mean_bt FROM pooled GROUP BY 1)
+  (SELECT year, round(avg(v), 9) AS mean_bt FROM pooled GROUP BY 1)
   FULL JOIN (SELECT year, count(*) * 401 AS cpa FROM pooled WHERE v < 2 AND station NOT IN ({EXCLUDED}) GROUP BY 1) USING (year)
-  FULL JOIN (SELECT p.year, round(avg(h.lat), 6) AS cp_cod FROM good h RIGHT JOIN pooled p ON h.year = p.year AND h.station = p.station
+  FULL JOIN (SELECT p.year, round(avg(h.lat), 9) AS cp_cod FROM good h RIGHT JOIN pooled p ON h.year = p.year AND h.station = p.station
              WHERE p.v < 2 GROUP BY 1) USING (year)""", """
 good AS (SELECT * FROM sv_haul WHERE haul_type = 3 AND performance >= 0 AND year >= 1996),
 pooled AS (SELECT year, station, gear_temp AS v FROM good WHERE gear_temp IS NOT NULL AND station IN (
@@ -62,7 +62,7 @@ def temperature_indices(spark, sf_dir):
     hauls = views.haul(spark, sf_dir)
     panel = temperature.temperature_panel(hauls, 1996, 4).filter(F.col("gear_temp").isNotNull())
     corners = excluded_stations(spark, sf_dir).select(station_key().alias("station"))
-    return rounded(temperature.temperature_indices(panel, hauls, corners, 1996, "gear_temp"))
+    return rounded(temperature.temperature_indices(panel, hauls, corners, 1996, "gear_temp"), 9)
 
 
 @query("temperature_indices_imputed")
@@ -94,7 +94,7 @@ def occupancy_lags(spark, sf_dir):
 
 
 @query("taxon_structure", """
-SELECT taxon, year, round(t.mean_temp, 6) AS mean_temp, round(d.diversity, 6) AS diversity, round(xcg, 6) AS xcg,
+SELECT taxon, year, round(t.mean_temp, 9) AS mean_temp, round(d.diversity, 6) AS diversity, round(xcg, 6) AS xcg,
        round(ycg, 6) AS ycg, round(inertia, 5) AS inertia
 FROM (SELECT taxon, year, avg(gear_temp) AS mean_temp FROM cells GROUP BY 1, 2) t
 JOIN (SELECT taxon, year, coalesce(sum(CASE WHEN p > 0 THEN -p * log2(p) END), 0) AS diversity
@@ -119,7 +119,7 @@ def taxon_structure(spark, sf_dir):
     rows = cpue_frame(spark, sf_dir).select(
         "year", "station", "lon", "lat", F.col("size_sex").alias("taxon"), "cpue")
     out = structure.taxon_structure(rows.join(temps, ["year", "station"]), "gear_temp")
-    return rounded(out["indices"], 6, inertia=5)
+    return rounded(out["indices"], 6, inertia=5, mean_temp=9)
 
 
 # -- sinks: written to the shared folder, read back --------------------------------------

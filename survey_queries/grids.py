@@ -140,7 +140,7 @@ SELECT p.year, round((g0 - ring / n_lags) / g0, 6) AS microstructure FROM (
     JOIN placed b ON b.year = a.year AND b.ix = a.ix + kx AND b.iy = a.iy + ky GROUP BY 1, 2, 3) GROUP BY 1) p
 JOIN (SELECT year, count(*) AS n_lags FROM lags WHERE kx <> 0 OR ky <> 0 GROUP BY 1) c ON c.year = p.year""",
     ANYWHERE + MIGRATED_CTE + f""",
-lags AS (SELECT year, kx, ky FROM geo CROSS JOIN range(-{N}, {N} + 1) x(kx) CROSS JOIN range(-{N}, {N} + 1) y(ky)
+lags AS (SELECT year, kx, ky FROM geo CROSS JOIN range(-{2 * N}, {2 * N} + 1) x(kx) CROSS JOIN range(-{2 * N}, {2 * N} + 1) y(ky)
   WHERE (kx = 0 AND ky = 0) OR (sqrt(kx * gdx * kx * gdx + ky * gdy * ky * gdy) >= {H0} / 2
          AND sqrt(kx * gdx * kx * gdx + ky * gdy * ky * gdy) <= 1.5 * {H0}))
 """)

@@ -250,13 +250,13 @@ def anti_join(spark, sf_dir):
 
 @query("full_join_indices", """
 SELECT coalesce(a.year, b.year) AS year, a.mean_bt, b.cpa
-FROM (SELECT year, round(avg(gear_temp), 6) AS mean_bt FROM sv_haul WHERE year <= 1999 GROUP BY 1) a
+FROM (SELECT year, round(avg(gear_temp), 9) AS mean_bt FROM sv_haul WHERE year <= 1999 GROUP BY 1) a
 FULL JOIN (SELECT year, count(*) * 401 AS cpa FROM sv_haul WHERE gear_temp < 2 AND year >= 1997 GROUP BY 1) b
 ON a.year = b.year""")
 def full_join_indices(spark, sf_dir):
     hauls = views.haul(spark, sf_dir)
     means = prep.years_from(hauls, 1900, 1999).groupBy("year").agg(
-        F.round(F.avg("gear_temp"), 6).alias("mean_bt"))
+        F.round(F.avg("gear_temp"), 9).alias("mean_bt"))
     cold = prep.years_from(hauls, 1997).filter(F.col("gear_temp") < 2).groupBy("year").agg(
         (F.count(F.lit(1)) * 401).alias("cpa"))
     return joins.full_by_key([means, cold], ["year"])
@@ -316,13 +316,13 @@ def wide_to_long(spark, sf_dir):
 
 
 @query("collapse_duplicates", """
-SELECT l_partkey, l_suppkey, round(avg(l_quantity), 6) AS l_quantity, round(avg(l_extendedprice), 4) AS l_extendedprice,
+SELECT l_partkey, l_suppkey, round(avg(l_quantity), 6) AS l_quantity, round(avg(l_extendedprice), 6) AS l_extendedprice,
        round(CASE WHEN count(d) = count(*) THEN avg(d) END, 6) AS d
 FROM (SELECT *, nullif(l_discount, 0) AS d FROM lineitem) GROUP BY 1, 2""", views=False)
 def collapse_duplicates(spark, sf_dir):
     lines = views.table(spark, sf_dir, "lineitem").select(
         "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", fx.zero_to_null("l_discount").alias("d"))
-    return rounded(prep.collapse_duplicates(lines, ["l_partkey", "l_suppkey"]), 6, l_extendedprice=4)
+    return rounded(prep.collapse_duplicates(lines, ["l_partkey", "l_suppkey"]))
 
 
 # -- aggregates ------------------------------------------------------------------
@@ -347,8 +347,8 @@ def frequency_of_missing(spark, sf_dir):
 
 
 @query("group_means", """
-SELECT year, station % 10 AS line, round(avg(nbt), 6) AS mean_skip,
-       round(CASE WHEN count(nbt) = count(*) THEN avg(nbt) END, 6) AS mean_strict, count(*) AS n,
+SELECT year, station % 10 AS line, round(avg(nbt), 9) AS mean_skip,
+       round(CASE WHEN count(nbt) = count(*) THEN avg(nbt) END, 9) AS mean_strict, count(*) AS n,
        round(CASE WHEN count(lat) = count(*) THEN stddev_samp(lat) / sqrt(count(*)) END, 6) AS se_lat,
        round(var_samp(nbt), 6) AS var_skip, round(min(nbt), 6) AS lowest, round(max(nbt), 6) AS highest
 FROM station_wide GROUP BY 1, 2""", WIDE_CTE)
@@ -356,7 +356,7 @@ def group_means(spark, sf_dir):
     return rounded(station_wide(spark, sf_dir).groupBy("year", (F.col("station") % 10).alias("line")).agg(
         F.avg("nbt").alias("mean_skip"), fx.strict_avg("nbt").alias("mean_strict"),
         F.count(F.lit(1)).alias("n"), fx.std_error("lat").alias("se_lat"),
-        F.var_samp("nbt").alias("var_skip"), F.min("nbt").alias("lowest"), F.max("nbt").alias("highest")))
+        F.var_samp("nbt").alias("var_skip"), F.min("nbt").alias("lowest"), F.max("nbt").alias("highest")), 6, mean_skip=9, mean_strict=9)
 
 
 @query("weighted_mean", """
@@ -372,12 +372,12 @@ def weighted_mean(spark, sf_dir):
 
 
 @query("quantiles", """
-SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.025), 4) AS q_2_5,
-       round(quantile_cont(l_extendedprice, 0.5), 4) AS q_50, round(quantile_cont(l_extendedprice, 0.975), 4) AS q_97_5
+SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.025), 6) AS q_2_5,
+       round(quantile_cont(l_extendedprice, 0.5), 6) AS q_50, round(quantile_cont(l_extendedprice, 0.975), 6) AS q_97_5
 FROM lineitem GROUP BY 1""", views=False)
 def quantiles(spark, sf_dir):
     return rounded(ordered.quantiles(views.table(spark, sf_dir, "lineitem"), "l_extendedprice",
-                                     [0.025, 0.5, 0.975], ["l_returnflag"]), 4)
+                                     [0.025, 0.5, 0.975], ["l_returnflag"]))
 
 
 @query("weighted_quantile", """

@@ -100,11 +100,11 @@ def pool_imputations(spark, sf_dir):
 
 
 @query("fill_from", """
-SELECT year, station, round(coalesce(nbt, avg(nbt) OVER (PARTITION BY year)), 6) AS nbt FROM station_wide""", WIDE_CTE)
+SELECT year, station, round(coalesce(nbt, avg(nbt) OVER (PARTITION BY year)), 9) AS nbt FROM station_wide""", WIDE_CTE)
 def fill_from(spark, sf_dir):
     wide = station_wide(spark, sf_dir).select("year", "station", "nbt")
     means = wide.groupBy("year").agg(F.avg("nbt").alias("mean"))
-    return rounded(series.fill_from(wide, means, ["year"], "nbt"))
+    return rounded(series.fill_from(wide, means, ["year"], "nbt"), 9)
 
 
 @query("correlate", """
@@ -330,14 +330,14 @@ def shared_years(spark, sf_dir):
 
 
 @query("prediction_grid", """
-SELECT year, round(lo + i * (hi - lo) / 99, 6) AS lat, round(lon, 6) AS lon, round(temp, 6) AS bottom_temp
+SELECT year, round(lo + i * (hi - lo) / 99, 9) AS lat, round(lon, 9) AS lon, round(temp, 9) AS bottom_temp
 FROM (SELECT DISTINCT year FROM total), range(0, 100) r(i),
      (SELECT quantile_cont(lat, 0.025) AS lo, quantile_cont(lat, 0.975) AS hi, avg(lon) AS lon, avg(nbt) AS temp FROM total)""", TOTAL_CTE)
 def prediction_grid(spark, sf_dir):
     rows = station_total(spark, sf_dir).withColumn("bottom_temp", F.col("nbt")).withColumns(
         {"logdepth": F.lit(0.0), "julian": F.lit(0.0)})
     grid = models.prediction_grid(rows, rows.select("year").distinct())
-    return rounded(grid.select("year", "lat", "lon", "bottom_temp"))
+    return rounded(grid.select("year", "lat", "lon", "bottom_temp"), 9)
 
 
 @query("predict_delta")

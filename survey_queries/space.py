@@ -132,10 +132,10 @@ def crowded_series(spark, sf_dir):
 
 
 @query("anomaly", """
-SELECT year, station, round(nbt - avg(nbt) OVER (PARTITION BY year), 6) AS anomaly FROM station_wide""", WIDE_CTE)
+SELECT year, station, round(nbt - avg(nbt) OVER (PARTITION BY year), 9) AS anomaly FROM station_wide""", WIDE_CTE)
 def anomaly(spark, sf_dir):
     return rounded(pn.anomaly(station_wide(spark, sf_dir), "year", "nbt", skip_missing=True).select(
-        "year", "station", "anomaly"))
+        "year", "station", "anomaly"), 9)
 
 
 @query("z_score", """
@@ -299,17 +299,17 @@ def shannon_diversity(spark, sf_dir):
 
 
 @query("temperature_of_occupancy", """
-SELECT year, round(avg(nbt), 6) AS raw_temp,
+SELECT year, round(avg(nbt), 9) AS raw_temp,
        round(sum(nbt * w) / sum(CASE WHEN nbt IS NOT NULL THEN w END), 6) AS occupied_temp,
        round(sum(nbt * ln(w)) / sum(CASE WHEN nbt IS NOT NULL THEN ln(w) END), 6) AS log_occupied_temp
 FROM (SELECT year, nbt, nullif(total_cpue, 0) AS w FROM total) GROUP BY 1""", TOTAL_CTE)
 def temperature_of_occupancy(spark, sf_dir):
     return rounded(spatial.temperature_of_occupancy(
-        station_total(spark, sf_dir), "nbt", "total_cpue", ["year"]))
+        station_total(spark, sf_dir), "nbt", "total_cpue", ["year"]), 6, raw_temp=9)
 
 
 @query("temperature_in_range", """
-SELECT c.size_sex, c.year, round(avg(h.gear_temp), 6) AS mean_temp
+SELECT c.size_sex, c.year, round(avg(h.gear_temp), 9) AS mean_temp
 FROM cpue_long c JOIN sv_haul h ON h.year = c.year AND h.station = c.station
 JOIN (SELECT size_sex, station FROM cpue_long GROUP BY 1, 2 HAVING sum(cpue) > 0) k
   ON k.size_sex = c.size_sex AND k.station = c.station GROUP BY 1, 2""", CPUE_CTE)
@@ -317,7 +317,7 @@ def temperature_in_range(spark, sf_dir):
     temps = views.haul(spark, sf_dir).select("year", "station", "gear_temp")
     cells = cpue_frame(spark, sf_dir).select("year", "station", "size_sex", "cpue")
     return rounded(spatial.temperature_in_range(
-        cells.join(temps, ["year", "station"]), "gear_temp", "size_sex", "cpue"))
+        cells.join(temps, ["year", "station"]), "gear_temp", "size_sex", "cpue"), 9)
 
 
 def _temps(spark, sf_dir):
@@ -330,9 +330,9 @@ temps AS (SELECT year, station, gear_temp FROM sv_haul WHERE haul_type = 3 AND p
 """
 
 
-@query("mean_bottom_temperature", "SELECT year, round(avg(gear_temp), 6) AS mean_bt FROM temps GROUP BY 1", TEMPS_CTE)
+@query("mean_bottom_temperature", "SELECT year, round(avg(gear_temp), 9) AS mean_bt FROM temps GROUP BY 1", TEMPS_CTE)
 def mean_bottom_temperature(spark, sf_dir):
-    return rounded(spatial.mean_bottom_temperature(_temps(spark, sf_dir), "gear_temp"))
+    return rounded(spatial.mean_bottom_temperature(_temps(spark, sf_dir), "gear_temp"), 9)
 
 
 @query("cold_pool_area", f"""
@@ -342,12 +342,12 @@ def cold_pool_area(spark, sf_dir):
 
 
 @query("cold_pool_center", """
-SELECT t.year, round(avg(h.lat), 6) AS cp_cod FROM temps t LEFT JOIN (SELECT year, station, lat FROM sv_haul
+SELECT t.year, round(avg(h.lat), 9) AS cp_cod FROM temps t LEFT JOIN (SELECT year, station, lat FROM sv_haul
   WHERE haul_type = 3 AND performance >= 0) h ON h.year = t.year AND h.station = t.station
 WHERE t.gear_temp < 2 GROUP BY 1""", TEMPS_CTE)
 def cold_pool_center(spark, sf_dir):
     return rounded(spatial.cold_pool_center(
-        _temps(spark, sf_dir), prep.qc_hauls(views.haul(spark, sf_dir)), "gear_temp"))
+        _temps(spark, sf_dir), prep.qc_hauls(views.haul(spark, sf_dir)), "gear_temp"), 9)
 
 
 @query("imputed_position_join", """

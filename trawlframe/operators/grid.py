@@ -271,7 +271,9 @@ def microstructure_index(points: DataFrame, z: str, h0: float, dlim, n: int, by:
     # Every lag of the ring counts in the mean, also one without any pair.
     ring_size = with_lags(geometry).filter(ring).groupBy(*by).agg(F.count(F.lit(1)).alias("_n_lags"))
     zero = (F.col("kx") == 0) & (F.col("ky") == 0)
-    shifted = with_lags(attach_groups(cells, geometry, by)).filter(ring | zero)
+    # Lags wider than the grid have no pair; they only count above.
+    on_grid = (F.abs("kx") < n) & (F.abs("ky") < n)
+    shifted = with_lags(attach_groups(cells, geometry, by)).filter((ring | zero) & on_grid)
     g = _products(shifted, cells, by)
     sums = g.groupBy(*by).agg(
         F.sum(F.when(zero, F.col("g"))).alias("_g0"),
