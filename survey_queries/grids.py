@@ -149,16 +149,56 @@ def microstructure_index(spark, sf_dir):
         _points(spark, sf_dir), "total_cpue", H0, DLIM, N, ["year"]))
 
 
+LIMIT = 1.47
+
+# The rule is sequential, so the SQL is a recursion over the rank within each
+# group, with the patches' sums as a list.
+PATCH_CTE = CPUE_CTE + f""",
+pts AS (SELECT year, size_sex, station, lon AS x, lat AS y, cpue AS z, area_swept AS w, cpue * area_swept AS q,
+    CASE WHEN cpue * area_swept > 0 THEN row_number() OVER (PARTITION BY year, size_sex ORDER BY cpue DESC, station) END AS rn
+  FROM cpue_long),
+grow AS (
+  SELECT year, size_sex, rn, station, 1 AS patch, [{{'q': q, 'qx': q * x, 'qy': q * y}}] AS st FROM pts WHERE rn = 1
+  UNION ALL
+  SELECT year, size_sex, rn, station, CASE WHEN near < {LIMIT} THEN k ELSE len(st) + 1 END AS patch,
+         CASE WHEN near < {LIMIT}
+              THEN list_transform(st, lambda s, i: CASE WHEN i = k THEN {{'q': s.q + q, 'qx': s.qx + q * x, 'qy': s.qy + q * y}} ELSE s END)
+              ELSE list_append(st, {{'q': q, 'qx': q * x, 'qy': q * y}}) END AS st
+  FROM (SELECT *, list_min(ds) AS near, list_position(ds, list_min(ds)) AS k FROM (
+    SELECT p.*, g.st, list_transform(g.st, lambda s: sqrt((s.qx / s.q - p.x) * (s.qx / s.q - p.x) + (s.qy / s.q - p.y) * (s.qy / s.q - p.y))) AS ds
+    FROM grow g JOIN pts p ON p.year = g.year AND p.size_sex = g.size_sex AND p.rn = g.rn + 1))),
+centres AS (SELECT p.year, p.size_sex, patch, sum(q * x) / sum(q) AS cx, sum(q * y) / sum(q) AS cy
+  FROM grow g JOIN pts p ON p.year = g.year AND p.size_sex = g.size_sex AND p.station = g.station GROUP BY 1, 2, 3),
+empty AS (SELECT p.year, p.size_sex, p.station, min(CASE WHEN d < {LIMIT} THEN {{'d': d, 'patch': patch}} END) AS best
+  FROM (SELECT p.*, c.patch, sqrt((p.x - cx) * (p.x - cx) + (p.y - cy) * (p.y - cy)) AS d
+        FROM pts p LEFT JOIN centres c ON c.year = p.year AND c.size_sex = p.size_sex WHERE p.rn IS NULL) p GROUP BY 1, 2, 3),
+assigned AS (
+  SELECT p.year, p.size_sex, p.station, p.x, p.y, p.z, p.w, p.q, coalesce(g.patch, e.best.patch, 0) AS patch FROM pts p
+  LEFT JOIN grow g ON g.year = p.year AND g.size_sex = p.size_sex AND g.station = p.station
+  LEFT JOIN empty e ON e.year = p.year AND e.size_sex = p.size_sex AND e.station = p.station)
+"""
+
+
 def _patches(spark, sf_dir):
     return patches.spatial_patches(cpue_frame(spark, sf_dir), "lon", "lat", "cpue", "area_swept",
-                                   ["year", "size_sex"], limit=1.5)
+                                   ["year", "size_sex"], limit=LIMIT)
 
 
-@query("spatial_patches")
+@query("spatial_patches", """
+SELECT year, size_sex, station, CAST(patch AS INT) AS patch FROM assigned""",
+       PATCH_CTE)
 def spatial_patches(spark, sf_dir):
-    return _patches(spark, sf_dir)
+    return _patches(spark, sf_dir).select("year", "size_sex", "station", "patch")
 
 
-@query("patch_summary")
+@query("patch_summary", """
+SELECT year, size_sex, CAST(patch AS INT) AS patch, round(xg, 6) AS xg, round(yg, 6) AS yg, round(share, 4) AS pabun, round(parea, 6) AS parea,
+       count_if(share >= 10 AND patch > 0) OVER (PARTITION BY year, size_sex) AS n_patches_over,
+       CAST(max(CASE WHEN share >= 10 AND patch > 0 THEN patch END) OVER (PARTITION BY year, size_sex) AS INT) AS max_patch_over
+FROM (SELECT year, size_sex, patch, sum(q * x) / nullif(sum(q), 0) AS xg, sum(q * y) / nullif(sum(q), 0) AS yg,
+             100 * sum(q) / sum(sum(q)) OVER (PARTITION BY year, size_sex) AS share,
+             sum(w) / sum(sum(w)) OVER (PARTITION BY year, size_sex) AS parea
+      FROM assigned GROUP BY 1, 2, 3)""", PATCH_CTE)
 def patch_summary(spark, sf_dir):
-    return patches.patch_summary(_patches(spark, sf_dir), ["year", "size_sex"])
+    out = patches.patch_summary(_patches(spark, sf_dir), ["year", "size_sex"], digits=4)
+    return rounded(out, 6, pabun=4)

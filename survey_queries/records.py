@@ -10,7 +10,7 @@ from survey_queries.registry import query
 from trawlframe import functions as fx
 from trawlframe.operators import joins, ordered, prep
 from trawlframe.operators import panel as pn
-from trawlframe.sources import null_sentinels, rename_all
+from trawlframe.sources import drop_row_numbers, null_sentinels, rename_all
 
 WIDE_CTE = """
 station_wide AS (
@@ -48,6 +48,51 @@ def rename_query(spark, sf_dir):
     return rename_all(frame, ["id", "survey_year", "area_name"])
 
 
+@query("drop_row_numbers", """
+SELECT s_name AS name, s_nationkey AS nation, s_acctbal AS balance FROM supplier""", views=False)
+def row_numbers(spark, sf_dir):
+    table = views.table(spark, sf_dir, "supplier").withColumnsRenamed(
+        {"s_suppkey": "_c0", "s_name": "name", "s_nationkey": "nation", "s_acctbal": "balance"})
+    return drop_row_numbers(table)
+
+
+@query("choose_columns", """
+SELECT year AS survey_year, station, lat AS mid_lat, lon AS mid_lon FROM sv_haul""")
+def choose_columns(spark, sf_dir):
+    kept = views.haul(spark, sf_dir).drop("gear_temp", "haul_type", "performance", "stratum_fish")
+    return kept.withColumnsRenamed({"year": "survey_year", "lat": "mid_lat", "lon": "mid_lon"}).select(
+        "survey_year", "station", "mid_lat", "mid_lon")
+
+
+@query("sort_two_keys", """
+SELECT station, year, gear_temp FROM sv_haul ORDER BY station, year DESC""")
+def sort_two_keys(spark, sf_dir):
+    return views.haul(spark, sf_dir).select("station", "year", "gear_temp").orderBy(
+        "station", F.desc("year"))
+
+
+@query("normal_ci", """
+SELECT year, round(m, 9) AS estimate, round(m - 1.959963984540054::DOUBLE * s, 6) AS lower, round(m + 1.959963984540054::DOUBLE * s, 6) AS upper,
+       round(m - 1.96 * s, 6) AS lower_196
+FROM (SELECT year, avg(nbt) AS m, stddev_samp(nbt) / sqrt(count(*)) AS s FROM station_wide WHERE nbt IS NOT NULL GROUP BY 1)""", WIDE_CTE)
+def normal_ci(spark, sf_dir):
+    stats = station_wide(spark, sf_dir).filter(F.col("nbt").isNotNull()).groupBy("year").agg(
+        F.avg("nbt").alias("estimate"), fx.std_error("nbt").alias("se"))
+    low, high = fx.normal_ci("estimate", "se")
+    low_196, _ = fx.normal_ci("estimate", "se", z=1.96)
+    return rounded(stats.select("year", "estimate", low.alias("lower"), high.alias("upper"),
+                                low_196.alias("lower_196")), 6, estimate=9)
+
+
+@query("group_and_back", """
+SELECT year, station, count(*) AS n, min(cw) AS smallest, max(cw) AS largest, sum(cw) AS total FROM sv_catch
+WHERE cw IS NOT NULL GROUP BY 1, 2""")
+def group_and_back(spark, sf_dir):
+    return views.catch(spark, sf_dir).filter(F.col("cw").isNotNull()).groupBy("year", "station").agg(
+        F.count(F.lit(1)).alias("n"), F.min("cw").alias("smallest"), F.max("cw").alias("largest"),
+        F.sum("cw").alias("total"))
+
+
 @query("null_sentinels", """
 SELECT l_returnflag, count(*) AS n_rows, count(nullif(l_tax, 0)) AS n_tax, count(nullif(l_discount, 0)) AS n_discount,
        round(avg(nullif(l_tax, 0)), 6) AS mean_tax FROM lineitem GROUP BY 1""", views=False)

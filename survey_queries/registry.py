@@ -21,7 +21,7 @@ def query(name: str, sql: str | None = None, ctes: str = "", views: bool = True)
         QUERIES[name] = function
         if sql is not None:
             parts = [p for p in ((VIEWS_SQL if views else ""), ctes) if p]
-            ORACLES[name] = ("WITH " + ",\n".join(parts) + "\n" if parts else "") + sql
+            ORACLES[name] = ("WITH RECURSIVE " + ",\n".join(parts) + "\n" if parts else "") + sql
         return function
 
     return register

@@ -350,6 +350,15 @@ def cold_pool_center(spark, sf_dir):
         _temps(spark, sf_dir), prep.qc_hauls(views.haul(spark, sf_dir)), "gear_temp"), 9)
 
 
+@query("latitude_center", """
+SELECT year, round(sum(lat * total_cpue) / sum(total_cpue), 6) AS mean_lat, round(avg(CASE WHEN total_cpue > 0 THEN 1.0 ELSE 0.0 END), 9) AS mean_presence
+FROM total GROUP BY 1""", TOTAL_CTE)
+def latitude_center(spark, sf_dir):
+    rows = station_total(spark, sf_dir).withColumn(
+        "present", F.when(F.col("total_cpue") > 0, 1.0).otherwise(0.0))
+    return rounded(spatial.latitude_center(rows, "lat", "total_cpue", "present", ["year"]), 6, mean_presence=9)
+
+
 @query("imputed_position_join", """
 SELECT t.year, t.station, t.gear_temp, h.lat FROM sv_haul h RIGHT JOIN temps t ON h.year = t.year AND h.station = t.station""", TEMPS_CTE)
 def imputed_position_join(spark, sf_dir):

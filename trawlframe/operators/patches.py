@@ -140,7 +140,8 @@ def _grower(keys: list[str], limit: float):
     return run
 
 
-def patch_summary(patches: DataFrame, by: list[str], min_share: float = 10.0) -> DataFrame:
+def patch_summary(patches: DataFrame, by: list[str], min_share: float = 10.0,
+                  digits: int = 2) -> DataFrame:
     """Centre, share of abundance (%) and of area of each patch.
 
     ``n_patches_over`` counts the patches holding ``min_share`` % or more,
@@ -162,5 +163,5 @@ def patch_summary(patches: DataFrame, by: list[str], min_share: float = 10.0) ->
         F.max(F.when(over, F.col("patch"))).alias("max_patch_over"),
     )
     return attach_groups(each, counts, by).select(
-        *by, "patch", "xg", "yg", F.round("_share", 2).alias("pabun"), "parea",
+        *by, "patch", "xg", "yg", F.round("_share", digits).alias("pabun"), "parea",
         "n_patches_over", "max_patch_over")

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 __all__ = [
     "CATCH_SCHEMA", "HAUL_SCHEMA", "STRATA_SCHEMA", "read_table", "write_table",
-    "null_sentinels", "rename_all", "write_imputations", "read_imputations",
+    "null_sentinels", "rename_all", "drop_row_numbers", "write_imputations", "read_imputations",
 ]
 
 
@@ -72,6 +72,11 @@ def rename_all(df: DataFrame, names: list[str]) -> DataFrame:
     return df.toDF(*names)
 
 
+def drop_row_numbers(df: DataFrame, names=("", "_c0", "X", "...1")) -> DataFrame:
+    """Drop the unnamed row-number column that a CSV written elsewhere may carry."""
+    return df.drop(*[c for c in df.columns if c in names])
+
+
 def write_imputations(df: DataFrame, path: str, mode: str = "error") -> None:
     """Keep completed data sets, one folder for each imputation."""
     write_table(df, path, partition_by=["imputation"], mode=mode)
