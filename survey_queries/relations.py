@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from survey_queries import views
-from survey_queries.estimates import CPUE_CTE, cpue_frame, rounded
+from survey_queries.estimates import CPUE_CTE, PRIME, cpue_frame, rounded
 from survey_queries.records import WIDE_CTE, station_wide
 from survey_queries.registry import query
 from survey_queries.space import TOTAL_CTE, station_total
@@ -65,28 +65,39 @@ def best_predictors(spark, sf_dir):
     return rounded(pairs.best_predictors(catch_panel(spark, sf_dir), "year", "station", "v", K))
 
 
-@query("impute_panel", """
-SELECT m.year, m.station, round(sum(r2 * (intercept + slope * x)) / sum(r2), 5) AS v,
-       count(x) AS n_predictors
-FROM missing m LEFT JOIN parts p ON p.year = m.year AND p.series = m.station GROUP BY 1, 2""", PREDICTOR_CTE + """,
-fits AS (SELECT p.series, p.predictor, regr_slope(y.v, x.v) AS slope, regr_intercept(y.v, x.v) AS intercept,
-                regr_r2(y.v, x.v) AS r2
+IMPUTE_CTE = PREDICTOR_CTE + """,
+fits AS (SELECT *, greatest(1 - r2, 0) * var_y AS rv FROM (
+  SELECT p.series, p.predictor, regr_slope(y.v, x.v) AS slope, regr_intercept(y.v, x.v) AS intercept,
+         regr_r2(y.v, x.v) AS r2, var_samp(y.v) AS var_y
   FROM predictors p JOIN known x ON x.station = p.predictor JOIN known y ON y.station = p.series AND y.year = x.year
-  GROUP BY 1, 2 HAVING regr_r2(y.v, x.v) IS NOT NULL),
+  GROUP BY 1, 2 HAVING regr_r2(y.v, x.v) IS NOT NULL)),
 missing AS (SELECT y.year, s.station FROM (SELECT DISTINCT year FROM known) y
   CROSS JOIN (SELECT DISTINCT station FROM known) s
   WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.year = y.year AND k.station = s.station)),
-parts AS (SELECT k.year, f.series, f.slope, f.intercept, f.r2, k.v AS x FROM fits f JOIN known k ON k.station = f.predictor)
-""")
+parts AS (SELECT k.year, f.series, f.slope, f.intercept, f.r2, f.rv, k.v AS x FROM fits f JOIN known k ON k.station = f.predictor),
+guess AS (SELECT m.year, m.station, sum(r2 * (intercept + slope * x)) / sum(r2) AS v, sqrt(sum(r2 * rv) / sum(r2)) AS sd,
+                 count(x) AS n_predictors
+  FROM missing m LEFT JOIN parts p ON p.year = m.year AND p.series = m.station GROUP BY 1, 2)
+"""
+
+
+@query("impute_panel", """
+SELECT year, station, round(v, 5) AS v, n_predictors FROM guess""", IMPUTE_CTE)
 def impute_panel(spark, sf_dir):
     return rounded(impute.impute_panel(catch_panel(spark, sf_dir), "year", "station", "v", K), 5)
 
 
-@query("impute_panel_multiple")
+@query("impute_panel_multiple", f"""
+SELECT imputation, year, station, round(v, 5) AS v FROM known CROSS JOIN (SELECT unnest(range(1, 6))::INT AS imputation)
+UNION ALL
+SELECT imputation, year, station, round(v + coalesce(sd, 0) * sqrt(-2 * ln((a + 1)::DOUBLE / ({PRIME} + 1)::DOUBLE)) * cos(2 * pi() * (b::DOUBLE / {PRIME}::DOUBLE)), 5)
+FROM (SELECT *, ('0x' || substr(digest, 1, 13))::BIGINT % {PRIME} AS a, ('0x' || substr(digest, 14, 13))::BIGINT % {PRIME} AS b
+      FROM (SELECT *, md5(concat_ws('|', '7', station, year, imputation)) AS digest
+            FROM guess CROSS JOIN (SELECT unnest(range(1, 6))::INT AS imputation)))""", IMPUTE_CTE)
 def impute_panel_multiple(spark, sf_dir):
     observed = catch_panel(spark, sf_dir)
     copies = impute.impute_panel(observed, "year", "station", "v", K, m=5, seed=7)
-    return impute.complete_panels(observed, copies, "year", "station", "v")
+    return rounded(impute.complete_panels(observed, copies, "year", "station", "v"), 5)
 
 
 @query("pool_imputations", """
@@ -254,23 +265,65 @@ def complete_cells(spark, sf_dir):
         "value", fourth_root("cpue"))
 
 
+# The leading eigenvector of the periods x periods matrix by repeated
+# multiplication, written as a recursion.
+PCA_CTE = CPUE_CTE + """,
+complete AS (SELECT c.size_sex, c.year, c.station, pow(c.cpue, 0.25) AS v FROM cpue_long c
+  WHERE c.station IN (SELECT station FROM cpue_long GROUP BY 1
+                      HAVING count(DISTINCT year) = (SELECT count(DISTINCT year) FROM cpue_long))
+    AND (c.size_sex, c.station) IN (SELECT (size_sex, station) FROM cpue_long GROUP BY size_sex, station HAVING sum(cpue) > 0)),
+anom AS (SELECT size_sex, year, station, v - avg(v) OVER (PARTITION BY size_sex, year) AS a FROM complete),
+dev AS (SELECT *, a - avg(a) OVER (PARTITION BY size_sex, station) AS d FROM anom),
+gram AS (SELECT p.size_sex, p.year AS t1, q.year AS t2, sum(p.d * q.d) AS g FROM dev p
+  JOIN dev q ON p.size_sex = q.size_sex AND p.station = q.station GROUP BY 1, 2, 3),
+mat AS (SELECT size_sex, list(row ORDER BY t1) AS m FROM (
+  SELECT size_sex, t1, list(g ORDER BY t2) AS row FROM gram GROUP BY 1, 2) GROUP BY 1),
+power AS (
+  SELECT size_sex, m, 0 AS i, list_transform(range(1, len(m) + 1), lambda k: (k * k)::DOUBLE) AS u FROM mat
+  UNION ALL
+  SELECT size_sex, m, i + 1, list_transform(v, lambda e: e / sqrt(list_dot_product(v, v))) FROM (
+    SELECT size_sex, m, i, list_transform(m, lambda row: list_dot_product(row, u)) AS v FROM power WHERE i < 2000)),
+lead AS (SELECT size_sex, m, u, list_dot_product(u, list_transform(m, lambda row: list_dot_product(row, u))) AS lambda1
+  FROM power WHERE i = 2000),
+years AS (SELECT size_sex, list_sort(list(DISTINCT year)) AS ys FROM dev GROUP BY 1),
+vec AS (SELECT l.size_sex, unnest(y.ys) AS year, unnest(l.u) AS u, l.lambda1 FROM lead l JOIN years y ON y.size_sex = l.size_sex),
+load0 AS (SELECT d.size_sex, d.station, sum(d.d * v.u) / sqrt(max(v.lambda1)) AS loading FROM dev d
+  JOIN vec v ON v.size_sex = d.size_sex AND v.year = d.year GROUP BY 1, 2),
+score0 AS (SELECT a.size_sex, a.year, sum(a.a * l.loading) AS score FROM anom a
+  JOIN load0 l ON l.size_sex = a.size_sex AND l.station = a.station GROUP BY 1, 2),
+turn AS (SELECT size_sex, CASE WHEN regr_slope(score, year) < 0 THEN -1 ELSE 1 END AS s, avg(score) AS m, stddev_samp(score) AS sd
+  FROM score0 GROUP BY 1)
+"""
+
+
 def _spatial(spark, sf_dir):
     return pca.spatial_pca(complete_cells(spark, sf_dir), "year", "station", "value", ["size_sex"])
 
 
+@query("spatial_pca_first_share", """
+SELECT l.size_sex, round(lambda1 / (n - 1), 6) AS eigenvalue, round(lambda1 / trace, 6) AS share FROM lead l
+JOIN (SELECT size_sex, sum(CASE WHEN t1 = t2 THEN g END) AS trace, count(DISTINCT t1) AS n FROM gram GROUP BY 1) t
+  ON t.size_sex = l.size_sex""", PCA_CTE)
+def spatial_pca_first_share(spark, sf_dir):
+    shares = _spatial(spark, sf_dir)["shares"]
+    return rounded(shares.filter(F.col("component") == 1).drop("component"))
+
+
 @query("spatial_pca_shares")
 def spatial_pca_shares(spark, sf_dir):
     return _spatial(spark, sf_dir)["shares"]
 
 
-@query("spatial_pca_loadings")
+@query("spatial_pca_loadings", """
+SELECT l.size_sex, station, round(loading * s, 6) AS loading FROM load0 l JOIN turn t ON t.size_sex = l.size_sex""", PCA_CTE)
 def spatial_pca_loadings(spark, sf_dir):
-    return _spatial(spark, sf_dir)["loadings"]
+    return rounded(_spatial(spark, sf_dir)["loadings"])
 
 
-@query("spatial_pca_scores")
+@query("spatial_pca_scores", """
+SELECT c.size_sex, year, round(s * (score - m) / sd, 5) AS pc FROM score0 c JOIN turn t ON t.size_sex = c.size_sex""", PCA_CTE)
 def spatial_pca_scores(spark, sf_dir):
-    return _spatial(spark, sf_dir)["scores"]
+    return rounded(_spatial(spark, sf_dir)["scores"], 5)
 
 
 @query("gap_pca")

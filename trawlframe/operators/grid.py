@@ -177,11 +177,12 @@ def _candidates_anywhere(positions, geometry, n, by, polygon, side: int = 8) ->
         return F.sqrt(dx * dx + dy * dy)
 
     slack = 1.0 + 1e-12
-    near = attach_groups(nodes, coarse_lists, by).withColumn(
+    list_bytes = side * side * 64
+    near = attach_groups(nodes, coarse_lists, by, list_bytes).withColumn(
         "_bound", F.array_min(F.transform("_coarse", ends)) * slack
     ).withColumn("_tile", F.explode(F.filter("_coarse", lambda b: begins(b) <= F.col("_bound"))))
     near = near.select(*by, "ix", "iy", "nx", "ny", "cell_area", "_bound", "_tile._cx", "_tile._cy")
-    near = attach_groups(near, fine_lists, [*by, "_cx", "_cy"]).withColumn(
+    near = attach_groups(near, fine_lists, [*by, "_cx", "_cy"], list_bytes).withColumn(
         "_bound", F.least(F.col("_bound"), F.array_min(F.transform("_fine", ends)) * slack)
     ).withColumn("_tile", F.explode(F.filter("_fine", lambda b: begins(b) <= F.col("_bound"))))
     near = near.select(*by, "ix", "iy", "nx", "ny", "cell_area", "_tile._fx", "_tile._fy")

@@ -26,7 +26,7 @@ def predictor_fits(panel: DataFrame, predictors: DataFrame, t: str, series: str,
         F.regr_slope("_y", "_x").alias("slope"), F.regr_intercept("_y", "_x").alias("intercept"),
         F.regr_r2("_y", "_x").alias("r2"), F.count(F.lit(1)).alias("n"),
         F.var_samp("_y").alias("_var_y"),
-    ).withColumn("residual_var", (1.0 - F.col("r2")) * F.col("_var_y")).drop("_var_y")
+    ).withColumn("residual_var", F.greatest(1.0 - F.col("r2"), F.lit(0.0)) * F.col("_var_y")).drop("_var_y")
 
 
 def impute_panel(panel: DataFrame, t: str, series: str, value: str, k: int = 20, m: int = 0,

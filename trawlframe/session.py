@@ -8,9 +8,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Side tables with at most this many rows are broadcast, after counting them.
-# A row is a handful of numbers, so this is a few tens of MB at the most.
-BROADCAST_ROWS = 200_000
+# Side tables up to this size are broadcast, after counting their rows.
+BROADCAST_BYTES = 32 * 1024 * 1024
+# A row of group statistics: a few keys and numbers.
+ROW_BYTES = 160
 
 
 def build_session(app: str = "trawlframe", master: str | None = None, **conf) -> SparkSession:
@@ -73,18 +74,20 @@ def same_keys_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return left.join(renamed, condition, how).drop(*[f"_right_{k}" for k in keys])
 
 
-def attach_groups(df: DataFrame, stats: DataFrame, by: list[str]) -> DataFrame:
+def attach_groups(df: DataFrame, stats: DataFrame, by: list[str],
+                  row_bytes: int = ROW_BYTES) -> DataFrame:
     """Put one row of group statistics beside every row of its group.
 
     This replaces a window over the whole group, which would send each group
     to one task. The statistics are already aggregated map-side; they are
     materialised and counted, broadcast when few, and joined by key when many
     (many groups spread well, and the adaptive skew join splits a hot one).
+    ``row_bytes`` is the size of one row, for statistics that hold arrays.
     """
     if not by:
         return attach_single(df, stats)
     stats = cut_lineage(stats)
-    if stats.count() <= BROADCAST_ROWS:
+    if stats.count() * row_bytes <= BROADCAST_BYTES:
         stats = F.broadcast(stats)
     return same_keys_join(df, stats, by)
 
