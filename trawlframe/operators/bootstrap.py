@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 
 from trawlframe.functions import region_from_district, safe_div, strict_avg, strict_sum
 from trawlframe.operators.ordered import running_totals
-from trawlframe.session import cut_lineage
+from trawlframe.session import attach_groups, cut_lineage, spread
 
 GROUP = ["year", "district", "size_sex"]
-# Rows of a key and two numbers that are broadcast, after counting: about 100 MB.
+# Rows of three numbers that are broadcast, after counting: tens of MB.
 BROADCAST_VALUES = 1_000_000
 # A prime below 2**52, so that r b stays within a bigint for r below 1024.
 PRIME = 2**52 - 47
@@ -43,13 +43,16 @@ def hash_numbers(*parts) -> tuple[Column, Column]:
 
 
 def _replicated(rows: DataFrame, reps: int, seed: int, by: list[str], row: str) -> DataFrame:
-    """Each row once for every replicate, with its random number ``_x``."""
+    """Each row once for every replicate, with its random number ``_x``.
+
+    The work is ``reps`` times the rows, so the rows are spread evenly first.
+    """
     last = (reps - 1) // ROUND
-    spread = rows.withColumn("_round", F.explode(F.sequence(F.lit(0), F.lit(last))))
+    many = spread(rows, *by, row).withColumn("_round", F.explode(F.sequence(F.lit(0), F.lit(last))))
     a, b = hash_numbers(seed, *[F.col(c) for c in by], F.col(row), F.col("_round"))
-    spread = spread.withColumns({"_a": a, "_b": b}).withColumn(
+    many = many.withColumns({"_a": a, "_b": b}).withColumn(
         "_r", F.explode(F.sequence(F.lit(0), F.least(F.lit(ROUND), reps - F.col("_round") * ROUND) - 1)))
-    return spread.withColumns({
+    return many.withColumns({
         "rep": (F.col("_round") * ROUND + F.col("_r") + 1).cast("int"),
         "_x": (F.col("_a") + F.col("_r") * F.col("_b")) % PRIME,
     }).drop("_round", "_r", "_a", "_b")
@@ -68,21 +71,27 @@ def resampled_means(cpue: DataFrame, reps: int = 1000, seed: int = 1, by=GROUP,
         )
     if method != "index":
         raise ValueError("method is 'index' or 'poisson'")
-    order = [F.col(station), F.col("cpue")]
-    numbered = running_totals(rows, by, order, {"_row": F.lit(1).cast("bigint")})
-    numbered = cut_lineage(
-        numbered.withColumnsRenamed({"_row_total": "_n"}).withColumn("_row", F.col("_row") - 1))
-    draws = _replicated(numbered.select(*by, "_row", "_n"), reps, seed, by, "_row").select(
-        *by, "rep", (F.col("_x") % F.col("_n")).alias("_row"))
-    values = numbered.select(*by, "_row", "cpue", "total_area")
+    # One position for each row of the table, group after group. A draw is then
+    # a single number to look up, and a group is known by its first position.
+    order = [*[F.col(c) for c in by], F.col(station), F.col("cpue")]
+    placed = cut_lineage(
+        running_totals(rows, [], order, {"_pos": F.lit(1).cast("bigint")}).drop("_pos_total"))
+    groups = placed.groupBy(*by).agg(
+        F.min("_pos").alias("_start"), F.count(F.lit(1)).alias("_n"))
+    slots = attach_groups(placed.select(*by, "_pos"), groups, by).withColumn(
+        "_row", F.col("_pos") - F.col("_start"))
+    draws = _replicated(slots.drop("_pos"), reps, seed, by, "_row").select(
+        "_start", "rep", (F.col("_start") + F.col("_x") % F.col("_n")).alias("_pos"))
+    values = placed.select("_pos", "cpue", "total_area")
     # The draws are reps times as many as the rows. While the rows fit in
     # every executor the draws stay where they are; beyond, both are shuffled
-    # on (group, row number), which spreads evenly.
-    if numbered.count() <= BROADCAST_VALUES:
+    # on the position, which spreads evenly.
+    if placed.count() <= BROADCAST_VALUES:
         values = F.broadcast(values)
-    return draws.join(values, [*by, "_row"]).groupBy(*by, "rep").agg(
-        strict_avg("cpue").alias("mean_cpue"), strict_avg("total_area").alias("mean_area"),
-    )
+    means = draws.join(values, "_pos").groupBy("_start", "rep").agg(
+        strict_avg("cpue").alias("mean_cpue"), strict_avg("total_area").alias("mean_area"))
+    return means.join(groups.select(*by, "_start"), "_start").select(
+        *by, "rep", "mean_cpue", "mean_area")
 
 
 def _poisson(hashed: Column, most: int = 12) -> Column:
