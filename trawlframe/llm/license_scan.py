@@ -196,11 +196,14 @@ def scan_licenses(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     gate = "licen[sc]e|cc by|cc0|public domain|all rights reserved|creative commons|wtfpl"
     empty_base = F.array().cast("array<struct<first:int,end:int,label:string>>")
     empty_found = F.array().cast("array<struct<first:int,end:int,label:string,priority:int,confidence:double>>")
-    base = F.flatten(F.array(*[
-        F.when(F.contains(F.col("_words"), F.lit(f" {phrase} ")),
-               F.transform(_places(F.col("_words"), F.lit(f"(?<= ){phrase}(?= )")),
-                           lambda p, label=label: F.struct(p["first"], p["end"], F.lit(label).alias("label"))))
-        .otherwise(empty_base) for phrase, label in BASE_PHRASES.items()]))
+
+    def places_of(phrase, label):
+        found = _places(F.col("_words"), F.lit(f"(?<= ){phrase}(?= )"))
+        labelled = F.transform(found, lambda p: F.struct(
+            p["first"].alias("first"), p["end"].alias("end"), F.lit(label).alias("label")))
+        return F.when(F.contains(F.col("_words"), F.lit(f" {phrase} ")), labelled).otherwise(empty_base)
+
+    base = F.flatten(F.array(*[places_of(*item) for item in BASE_PHRASES.items()]))
     return (
         docs.select(F.col(id_column), words_text(F.col(text_column)).alias("_words"))
         .withColumn("_due", F.col("_words").rlike(gate))
