@@ -1,4 +1,6 @@
 """Imports the modules that register queries."""
 
-from trawlframe.llm import q_licenses, q_quality, q_tokens, q_urls  # noqa: F401
+from trawlframe.llm import (  # noqa: F401
+    q_fingerprints, q_licenses, q_quality, q_tokens, q_urls,
+)
 from trawlframe.llm.registry import ORACLES, QUERIES  # noqa: F401
