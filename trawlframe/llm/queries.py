@@ -1,6 +1,6 @@
 """Imports the modules that register queries."""
 
 from trawlframe.llm import (  # noqa: F401
-    q_fingerprints, q_licenses, q_neighbours, q_quality, q_tokens, q_urls,
+    q_fingerprints, q_licenses, q_neighbours, q_pii, q_quality, q_tokens, q_urls,
 )
 from trawlframe.llm.registry import ORACLES, QUERIES  # noqa: F401
