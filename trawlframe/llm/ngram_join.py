@@ -384,6 +384,26 @@ def _long_list_pairs(entries: DataFrame, labels: DataFrame) -> DataFrame:
             .agg(F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b")))
 
 
+def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row of each group of near duplicates, that with the smallest id, and all other rows.
+
+    Rows are told apart by their place in the table, so repeated rows and null ids are
+    groups like any other (null comes last). All columns stay. The rows to leave out are
+    broadcast if their number is within the size bound, else joined.
+    """
+    placed = docs.withColumn("_place", F.monotonically_increasing_id())
+    found = near_duplicates(placed.select("_place", text_column), "_place", text_column).where("n_shingles > 0")
+    grouped = cut_lineage(found.select("_place", F.col("component_id").alias("_group")))
+    crowded = grouped.groupBy("_group").count().where("count > 1").select("_group")
+    members = cut_lineage(grouped.join(crowded, "_group")
+                          .join(placed.select("_place", F.col(id_column).alias("_id")), "_place"))
+    # Nulls are greater than any id here.
+    rank = F.struct(F.col("_id").isNull().alias("unknown"), F.col("_id").alias("id"), F.col("_place").alias("place"))
+    stay = members.groupBy("_group").agg(F.min(rank).alias("first")).select(F.col("first.place").alias("_place"))
+    leave = cut_lineage(members.select("_place").join(stay, "_place", "left_anti"))
+    return placed.join(_small(leave, 16), "_place", "left_anti").drop("_place")
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """id, n_shingles and component_id of every row.
 

@@ -145,6 +145,21 @@ def score_statistics(statistics: DataFrame, model: Discriminant) -> DataFrame:
     return statistics.withColumn("score", score("x"))
 
 
+def keep_good(docs: DataFrame, model: Discriminant, threshold: float, text_column: str = "text") -> DataFrame:
+    """The rows whose text scores at least ``threshold``, with all their columns; one narrow pass."""
+    at = docs.columns.index(text_column)
+
+    def work(batches):
+        for batch in batches:
+            texts = batch.column(at)
+            scores = np.empty(batch.num_rows)
+            for a, b, data, bounds in text_bytes(texts.fill_null("")):
+                scores[a:b] = model.scores(_statistics(data, bounds))
+            yield batch.filter(pa.array(scores >= threshold))
+
+    return docs.mapInArrow(work, docs.schema)
+
+
 def settled_labels(labels: DataFrame, label: str, id_column: str = "doc_id") -> DataFrame:
     """id and ``label`` of documents whose label is known and not contradicted by a second row."""
     return (labels.where(F.col(label).isNotNull() & F.col(id_column).isNotNull())
