@@ -11,21 +11,21 @@ from trawlframe.session import cut_lineage
 def components(links: DataFrame) -> DataFrame:
     """node and label, the smallest node it reaches, of every node in ``links`` (a, b: long).
 
-    Each round takes the smallest label among a node's neighbours and then the label
-    of that label, so chains halve; it ends when nothing changes. All state stays in
-    tables; a crowded node is a key of a join, which adaptive execution splits.
+    In each round every label moves to the smallest of its neighbours' labels, and the
+    links are rewritten to the new labels; those within one label go, and when none is
+    left the labels are final. A label moves unless it is the smallest around, so long
+    chains shrink by a share each round. All state stays in tables; a crowded node is a
+    key of a join, which adaptive execution splits.
     """
     both = cut_lineage(links.select("a", "b").union(links.select("b", "a")).where("a != b").distinct())
-    labels = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
-                         .select("node", F.least("node", "m").alias("label")))
-    while True:
-        near = (both.join(labels.select(F.col("node").alias("b"), "label"), "b")
-                .groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m")))
-        hopped = (labels.join(near, "node")
-                  .select("node", F.col("label").alias("old"), F.least("label", "m").alias("label")))
-        jumps = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        jumped = cut_lineage(hopped.join(jumps, "label", "left").select(
-            "node", "old", F.least("label", F.coalesce("next", "label")).alias("label")))
-        labels = jumped.select("node", "label")
-        if jumped.where("old != label").isEmpty():
-            return labels
+    labels = both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node"))
+    while not both.isEmpty():
+        moves = cut_lineage(both.groupBy("a").agg(F.min("b").alias("m"))
+                            .select(F.col("a").alias("label"), F.least("a", "m").alias("to")))
+        labels = cut_lineage(labels.join(moves, "label", "left")
+                             .select("node", F.coalesce("to", "label").alias("label")))
+        sides = [moves.select(F.col("label").alias(c), F.col("to").alias(f"to_{c}")) for c in "ab"]
+        both = cut_lineage(both.join(sides[0], "a").join(sides[1], "b")
+                           .select(F.col("to_a").alias("a"), F.col("to_b").alias("b"))
+                           .where("a != b").distinct())
+    return labels

@@ -152,7 +152,7 @@ def _frequent(summaries: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def _prefix_entries(docs: DataFrame, keys: np.ndarray, counts: np.ndarray, buckets: int) -> DataFrame:
     """Inverted-list entries of the prefixes, packed by bucket of the shingle.
 
-    Shingles are ordered by (frequent, hash); two sets with a Jaccard similarity of
+    Shingles are ordered by their count if frequent, else first, and by hash; two sets with a Jaccard similarity of
     0.75 share one among the first n - ceil(0.75 n) + 1 of each. A set that the task
     has seen is not entered again. A frequent shingle's entries spread over several
     buckets by set, and are marked, if it has many.
@@ -179,13 +179,12 @@ def _prefix_entries(docs: DataFrame, keys: np.ndarray, counts: np.ndarray, bucke
                 known.add(key)
                 n = len(found)
                 spread = np.ones(n, np.int64)
-                often = np.zeros(n, bool)
+                times = np.zeros(n, np.int64)
                 if len(keys):
                     at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
                     often = keys[at] == found
-                    spread = np.where(often, shares[at], 1)
-                order = np.concatenate([np.flatnonzero(~often), np.flatnonzero(often)])
-                order = order[:n - (3 * n + 3) // 4 + 1]
+                    times, spread = np.where(often, counts[at], 0), np.where(often, shares[at], 1)
+                order = np.argsort(times, kind="stable")[:n - (3 * n + 3) // 4 + 1]
                 shingle, spread = found[order], spread[order]
                 # The sign of the size marks entries of a shingle that lie in several buckets.
                 bucket = (mixed(shingle) >> np.uint64(32)).astype(np.int64)
@@ -312,7 +311,8 @@ def _linked(overlap: Column, size_a: Column, size_b: Column) -> Column:
 def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b, size_a, size_b and the overlap of their whole sets."""
     sides = [sets.select(F.col("class").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "ab"]
-    joined = pairs.select("a", "b").join(sides[0], "a").join(sides[1], "b")
+    pairs = cut_lineage(pairs.select("a", "b").distinct())
+    joined = sides[0].join(_small(pairs, 32), "a").join(sides[1], "b")
     return cut_lineage(joined.select(
         "a", "b", (F.octet_length("set_a") / 8).cast("long").alias("size_a"),
         (F.octet_length("set_b") / 8).cast("long").alias("size_b"), _overlap("set_a", "set_b").alias("overlap")))
@@ -365,7 +365,11 @@ def _settled_by_pivot(pairs: DataFrame, compared: DataFrame) -> DataFrame:
 
 
 def _long_list_pairs(entries: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of classes of one long list that are in different components and could link."""
+    """Pairs of classes in different components that share enough long lists to link.
+
+    Pairs that share a short list too have been judged by both; for the others the
+    long lists must hold all the prefix entries needed.
+    """
     labelled = (entries.join(labels.select(F.col("node").alias("class"), "label"), "class", "left")
                 .withColumn("label", F.coalesce("label", "class")))
     mixed_lists = (labelled.groupBy("shingle").agg(F.min("label").alias("x"), F.max("label").alias("y"))
@@ -378,17 +382,21 @@ def _long_list_pairs(entries: DataFrame, labels: DataFrame) -> DataFrame:
         F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b")))
     near = ((F.col("label_a") < F.col("label_b"))
             & (4 * F.col("size_a") >= 3 * F.col("size_b")) & (4 * F.col("size_b") >= 3 * F.col("size_a"))
-            & (7 * most >= 3 * (F.col("size_a") + F.col("size_b"))))
+            & (7 * most >= 3 * (F.col("size_a") + F.col("size_b")))
+            & (F.least("entries_a", "entries_b") >= _needed(F.col("size_a"), F.col("size_b"))))
     return (a.join(b, "shingle").where(near)
             .groupBy(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
-            .agg(F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b")))
+            .agg(F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"),
+                 F.count(F.lit(1)).alias("shared"))
+            .where(F.col("shared") >= _needed(F.col("size_a"), F.col("size_b"))))
 
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row of each group of near duplicates, that with the smallest id, and all other rows.
 
     Rows are told apart by their place in the table, so repeated rows and null ids are
-    groups like any other (null comes last). All columns stay. The rows to leave out are
+    groups like any other (null comes last); ``docs`` must come in the same order each
+    time it is read, as files do, and not straight from a shuffle. All columns stay. The rows to leave out are
     broadcast if their number is within the size bound, else joined.
     """
     placed = docs.withColumn("_place", F.monotonically_increasing_id())
@@ -440,25 +448,29 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     for c in "ab":
         pairs = pairs.join(held.select(F.col("class").alias(c), F.col("held").alias(f"held_{c}")), c, "left")
     in_long_lists = F.least(F.coalesce("held_a", F.lit(0)), F.coalesce("held_b", F.lit(0)))
-    pairs = cut_lineage(
-        pairs.where(F.col("shared") + in_long_lists >= _needed(F.col("size_a"), F.col("size_b")))
-        .select("a", "b"))
+    needed = _needed(F.col("size_a"), F.col("size_b"))
+    pairs = cut_lineage(pairs.where(F.col("shared") + in_long_lists >= needed)
+                        .select("a", "b", (F.col("shared") >= needed).alias("enough")))
 
     sets = _sets_of(texts, pairs.select(F.col("a").alias("class")).union(pairs.select("b"))
                     .union(entries.select("class")))
     stars = cut_lineage(_pivots(entries))
     firsts = stars.groupBy("a").agg(F.max_by("b", F.struct("times", "b")).alias("b"))
-    compared = _compare(firsts, sets)
-    links = _links(compared).union(_links(_compare(pairs, sets)))
+    # First what is most likely to link; then only pairs whose components still differ.
+    compared = _compare(firsts.union(pairs.where("enough").select("a", "b")), sets)
+    links = _links(compared)
     labels = components(links)
-    if not entries.isEmpty():
-        others = _crossing(stars.select("a", "b").join(firsts, ["a", "b"], "left_anti"), labels)
-        links = links.union(_links(_compare(others, sets)))
+    rest = stars.select("a", "b").union(pairs.where("not enough").select("a", "b"))
+    more = _links(_compare(_crossing(rest, labels).join(compared, ["a", "b"], "left_anti"), sets))
+    if not more.isEmpty():
+        links = links.union(more)
         labels = components(links)
+    if not entries.isEmpty():
         asked = cut_lineage(_settled_by_pivot(_long_list_pairs(entries, labels), compared))
-        links = (links.union(asked.where("answer").select("a", "b"))
-                 .union(_links(_compare(asked.where("answer is null"), sets))))
-        labels = components(links)
+        more = (asked.where("answer").select("a", "b")
+                .union(_links(_compare(asked.where("answer is null"), sets))))
+        if not more.isEmpty():
+            labels = components(links.union(more))
 
     placed = rows.join(labels.select(F.col("node").alias("class"), "label"), "class", "left").select(
         "id", "n", F.coalesce("label", "class").alias("label"))
