@@ -136,7 +136,7 @@ def test_frequent_items_are_all_found(monkeypatch):
     monkeypatch.setattr(ngram_join, "COUNTERS", 50)
     monkeypatch.setattr(ngram_join, "BUFFER", 100)
     r = np.random.default_rng(1)
-    stream = np.concatenate([np.repeat(np.arange(20, dtype=np.uint64), 100), r.integers(100, 10**9, 3000).astype(np.uint64)])
+    stream = np.concatenate([np.repeat(np.arange(20, dtype=np.uint64), 160), r.integers(100, 10**9, 3000).astype(np.uint64)])
     r.shuffle(stream)
     parts = []
     for half in np.array_split(stream, 7):
