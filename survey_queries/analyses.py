@@ -70,7 +70,7 @@ def temperature_indices_imputed(spark, sf_dir):
     hauls = views.haul(spark, sf_dir)
     panel = temperature.temperature_panel(hauls, None, 5)
     corners = excluded_stations(spark, sf_dir).select(station_key().alias("station"))
-    pooled = temperature.imputed_panel(panel, k=200, m=5)
+    pooled = temperature.imputed_panel(panel, k=200, m=100)
     return temperature.temperature_indices(pooled.filter(F.col("mean").isNotNull()), hauls, corners)
 
 
@@ -125,12 +125,18 @@ def taxon_structure(spark, sf_dir):
 # -- sinks: written to the shared folder, read back --------------------------------------
 
 @query("write_table", """
-SELECT year, count(*) AS n, round(sum(cpue), 2) AS cpue FROM cpue_long GROUP BY 1""", CPUE_CTE)
+SELECT fmt, year, count(*) AS n, round(sum(cpue), 2) AS cpue
+FROM cpue_long CROSS JOIN (VALUES ('csv'), ('parquet')) AS f(fmt) GROUP BY 1, 2""", CPUE_CTE)
 def write_table_query(spark, sf_dir):
+    """The same table as CSV and as Parquet by year, both read back."""
     path = f"{scratch_folder(spark)}/cpue-{uuid.uuid4()}"
-    write_table(cpue_frame(spark, sf_dir), path, partition_by=["year"])
-    return read_table(spark, path).groupBy("year").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.sum("cpue"), 2).alias("cpue"))
+    cpue = cpue_frame(spark, sf_dir)
+    write_table(cpue, path, partition_by=["year"])
+    write_table(cpue, f"{path}.csv", "csv")
+    back = {"parquet": read_table(spark, path), "csv": read_table(spark, f"{path}.csv", cpue.schema)}
+    parts = [df.groupBy(F.lit(fmt).alias("fmt"), "year").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("cpue"), 2).alias("cpue")) for fmt, df in back.items()]
+    return parts[0].unionByName(parts[1])
 
 
 @query("write_imputations", """

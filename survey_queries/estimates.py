@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from survey_queries import views
@@ -9,7 +11,7 @@ from survey_queries.registry import query
 from trawlframe.functions import area_swept, region_from_district, size_sex_class, strict_sum
 from trawlframe.operators import bootstrap, cpue, estimate, joins, prep
 
-REPS = 50
+REPS = 1000
 SEED = 1
 
 CLASS_SQL = """CASE WHEN sex = 1 AND cw > 31 AND cw <= 60 THEN 'male31to60'
@@ -221,21 +223,28 @@ def cpue_weighted_fish(spark, sf_dir):
 PRIME = 2**52 - 47
 
 
-def _draw_sql(row):
-    """The row's random number in replicate rep (fewer than 1024 of them)."""
+def _hash_sql(row):
+    """The two whole numbers of a row, from which all its draws follow (up to 1024 of them)."""
     digest = f"md5(concat_ws('|', '{SEED}', year, district, size_sex, {row}, 0))"
-    a, b = (f"(('0x' || substr({digest}, {i}, 13))::BIGINT % {PRIME})" for i in (1, 14))
-    return f"(({a} + (rep - 1) * {b}) % {PRIME})"
+    return ", ".join(f"(('0x' || substr({digest}, {i}, 13))::BIGINT % {PRIME}) AS {name}"
+                     for i, name in ((1, "ha"), (14, "hb")))
+
+
+DRAW = f"((ha + (rep - 1) * hb) % {PRIME})"
+POISSON_STEPS = " + ".join(
+    f"CAST(u >= {sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))!r}::DOUBLE AS INT)"
+    for k in range(bootstrap.MOST))
 
 
 INDEX_CTE = CRAB_CTE + f""",
-numbered AS (
+ranked AS (
   SELECT year, district, size_sex, cpue, total_area,
          row_number() OVER (PARTITION BY year, district, size_sex ORDER BY station, cpue) - 1 AS k,
          count(*) OVER (PARTITION BY year, district, size_sex) AS n
   FROM cpue_long),
+numbered AS (SELECT *, {_hash_sql('k')} FROM ranked),
 draws AS (
-  SELECT year, district, size_sex, rep, {_draw_sql('k')} % n AS pick
+  SELECT year, district, size_sex, rep, {DRAW} % n AS pick
   FROM numbered CROSS JOIN (SELECT unnest(range(1, {REPS + 1})) AS rep)),
 means AS (
   SELECT d.year, d.district, d.size_sex, d.rep, avg(n.cpue) AS mean_cpue, avg(n.total_area) AS mean_area
@@ -243,14 +252,11 @@ means AS (
        AND n.size_sex = d.size_sex AND n.k = d.pick
   GROUP BY ALL)"""
 POISSON_CTE = CRAB_CTE + f""",
+hashed AS (SELECT year, district, size_sex, cpue, total_area, {_hash_sql('station')} FROM cpue_long),
 drawn AS (
-  SELECT year, district, size_sex, rep, cpue, total_area, {_draw_sql('station')}::DOUBLE / {PRIME} AS u
-  FROM cpue_long CROSS JOIN (SELECT unnest(range(1, {REPS + 1})) AS rep)),
-counted AS (
-  SELECT *, CAST(u >= 0.36787944117144233 AS INT) + CAST(u >= 0.7357588823428847 AS INT) + CAST(u >= 0.9196986029286058 AS INT)
-    + CAST(u >= 0.9810118431238462 AS INT) + CAST(u >= 0.9963401531726563 AS INT) + CAST(u >= 0.9994058151824183 AS INT)
-    + CAST(u >= 0.9999167588507119 AS INT) + CAST(u >= 0.9999897508033253 AS INT) + CAST(u >= 0.999998874797402 AS INT)
-    + CAST(u >= 0.9999998885745217 AS INT) + CAST(u >= 0.9999999899522336 AS INT) + CAST(u >= 0.9999999991683892 AS INT) AS w FROM drawn),
+  SELECT year, district, size_sex, rep, cpue, total_area, {DRAW}::DOUBLE / {PRIME} AS u
+  FROM hashed CROSS JOIN (SELECT unnest(range(1, {REPS + 1})) AS rep)),
+counted AS (SELECT *, {POISSON_STEPS} AS w FROM drawn),
 means AS (
   SELECT year, district, size_sex, rep, sum(w * cpue) / nullif(sum(w), 0) AS mean_cpue,
          sum(w * total_area) / nullif(sum(w), 0) AS mean_area

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from survey_queries import views
@@ -10,7 +12,8 @@ from survey_queries.registry import query
 from trawlframe import functions as fx
 from trawlframe.operators import joins, ordered, prep
 from trawlframe.operators import panel as pn
-from trawlframe.sources import drop_row_numbers, null_sentinels, rename_all
+from trawlframe.session import scratch_folder
+from trawlframe.sources import drop_row_numbers, null_sentinels, read_table, rename_all, write_table
 
 WIDE_CTE = """
 station_wide AS (
@@ -35,8 +38,12 @@ def station_wide(spark, sf_dir):
 @query("read_table", """
 SELECT year, count(*) AS n_rows, count(cw) AS n_cw, sum(cw) AS cw_sum, count(sex) AS n_sex,
        sum(sample_factor) AS factor_sum FROM sv_catch GROUP BY 1""")
-def read_table(spark, sf_dir):
-    return views.catch(spark, sf_dir).groupBy("year").agg(
+def read_table_query(spark, sf_dir):
+    """The records written as CSV with NA, read with their stated schema."""
+    path = f"{scratch_folder(spark)}/catch-{uuid.uuid4()}.csv"
+    records = views.catch(spark, sf_dir)
+    write_table(records, path, "csv")
+    return read_table(spark, path, records.schema).groupBy("year").agg(
         F.count(F.lit(1)).alias("n_rows"), F.count("cw").alias("n_cw"), F.sum("cw").alias("cw_sum"),
         F.count("sex").alias("n_sex"), F.sum("sample_factor").alias("factor_sum"),
     )
@@ -295,14 +302,13 @@ def anti_join(spark, sf_dir):
 
 @query("full_join_indices", """
 SELECT coalesce(a.year, b.year) AS year, a.mean_bt, b.cpa
-FROM (SELECT year, round(avg(gear_temp), 9) AS mean_bt FROM sv_haul WHERE year <= 1999 GROUP BY 1) a
-FULL JOIN (SELECT year, count(*) * 401 AS cpa FROM sv_haul WHERE gear_temp < 2 AND year >= 1997 GROUP BY 1) b
+FROM (SELECT year, round(avg(gear_temp), 9) AS mean_bt FROM sv_haul GROUP BY 1) a
+FULL JOIN (SELECT year, count(*) * 401 AS cpa FROM sv_haul WHERE gear_temp < 2 GROUP BY 1) b
 ON a.year = b.year""")
 def full_join_indices(spark, sf_dir):
     hauls = views.haul(spark, sf_dir)
-    means = prep.years_from(hauls, 1900, 1999).groupBy("year").agg(
-        F.round(F.avg("gear_temp"), 9).alias("mean_bt"))
-    cold = prep.years_from(hauls, 1997).filter(F.col("gear_temp") < 2).groupBy("year").agg(
+    means = hauls.groupBy("year").agg(F.round(F.avg("gear_temp"), 9).alias("mean_bt"))
+    cold = hauls.filter(F.col("gear_temp") < 2).groupBy("year").agg(
         (F.count(F.lit(1)) * 401).alias("cpa"))
     return joins.full_by_key([means, cold], ["year"])
 
@@ -345,12 +351,15 @@ def distinct_values(spark, sf_dir):
     return views.haul(spark, sf_dir).select("year", "haul_type", "performance").distinct()
 
 
-@query("wide_panel", """
-SELECT station, max(CASE WHEN year = 1995 THEN nbt END) AS y1995, max(CASE WHEN year = 1998 THEN nbt END) AS y1998,
-       max(CASE WHEN year = 2001 THEN nbt END) AS y2001 FROM station_wide GROUP BY 1""", WIDE_CTE)
+PANEL_YEARS = list(range(1995, 2002))
+
+
+@query("wide_panel", f"""
+SELECT station, {", ".join(f"max(CASE WHEN year = {y} THEN nbt END) AS y{y}" for y in PANEL_YEARS)}
+FROM station_wide GROUP BY 1""", WIDE_CTE)
 def wide_panel(spark, sf_dir):
-    wide = prep.to_wide(station_wide(spark, sf_dir), ["station"], "year", "nbt", [1995, 1998, 2001])
-    return wide.withColumnsRenamed({str(y): f"y{y}" for y in (1995, 1998, 2001)})
+    wide = prep.to_wide(station_wide(spark, sf_dir), ["station"], "year", "nbt", PANEL_YEARS)
+    return wide.withColumnsRenamed({str(y): f"y{y}" for y in PANEL_YEARS})
 
 
 @query("wide_to_long", """

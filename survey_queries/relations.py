@@ -16,6 +16,8 @@ from trawlframe.operators import impute, models, pairs, panel, pca, prep, series
 from trawlframe.session import cut_lineage
 
 K = 20
+# Copies of each imputed panel.
+COPIES = 100
 
 DISTRICT_CTE = CPUE_CTE + """,
 district_panel AS (SELECT year AS t, district || '|' || size_sex AS series, avg(cpue) AS value FROM cpue_long GROUP BY 1, 2)
@@ -88,15 +90,15 @@ def impute_panel(spark, sf_dir):
 
 
 @query("impute_panel_multiple", f"""
-SELECT imputation, year, station, round(v, 5) AS v FROM known CROSS JOIN (SELECT unnest(range(1, 6))::INT AS imputation)
+SELECT imputation, year, station, round(v, 5) AS v FROM known CROSS JOIN (SELECT unnest(range(1, {COPIES + 1}))::INT AS imputation)
 UNION ALL
 SELECT imputation, year, station, round(v + coalesce(sd, 0) * sqrt(-2 * ln((a + 1)::DOUBLE / ({PRIME} + 1)::DOUBLE)) * cos(2 * pi() * (b::DOUBLE / {PRIME}::DOUBLE)), 5)
 FROM (SELECT *, ('0x' || substr(digest, 1, 13))::BIGINT % {PRIME} AS a, ('0x' || substr(digest, 14, 13))::BIGINT % {PRIME} AS b
       FROM (SELECT *, md5(concat_ws('|', '7', station, year, imputation)) AS digest
-            FROM guess CROSS JOIN (SELECT unnest(range(1, 6))::INT AS imputation)))""", IMPUTE_CTE)
+            FROM guess CROSS JOIN (SELECT unnest(range(1, {COPIES + 1}))::INT AS imputation)))""", IMPUTE_CTE)
 def impute_panel_multiple(spark, sf_dir):
     observed = catch_panel(spark, sf_dir)
-    copies = impute.impute_panel(observed, "year", "station", "v", K, m=5, seed=7)
+    copies = impute.impute_panel(observed, "year", "station", "v", K, m=COPIES, seed=7)
     return rounded(impute.complete_panels(observed, copies, "year", "station", "v"), 5)
 
 

@@ -43,12 +43,9 @@ def hash_numbers(*parts) -> tuple[Column, Column]:
 
 
 def _replicated(rows: DataFrame, reps: int, seed: int, by: list[str], row: str) -> DataFrame:
-    """Each row once for every replicate, with its random number ``_x``.
-
-    The work is ``reps`` times the rows, so the rows are spread evenly first.
-    """
+    """Each row once for every replicate, with its random number ``_x``."""
     last = (reps - 1) // ROUND
-    many = spread(rows, *by, row).withColumn("_round", F.explode(F.sequence(F.lit(0), F.lit(last))))
+    many = rows.withColumn("_round", F.explode(F.sequence(F.lit(0), F.lit(last))))
     a, b = hash_numbers(seed, *[F.col(c) for c in by], F.col(row), F.col("_round"))
     many = many.withColumns({"_a": a, "_b": b}).withColumn(
         "_r", F.explode(F.sequence(F.lit(0), F.least(F.lit(ROUND), reps - F.col("_round") * ROUND) - 1)))
@@ -60,7 +57,12 @@ def _replicated(rows: DataFrame, reps: int, seed: int, by: list[str], row: str)
 
 def resampled_means(cpue: DataFrame, reps: int = 1000, seed: int = 1, by=GROUP,
                     method: str = "index", station: str = "station") -> DataFrame:
-    """Mean CPUE and mean area of every resample: one row for (group, replicate)."""
+    """Mean CPUE and mean area of every resample: one row for (group, replicate).
+
+    ``method='poisson'`` weights rows where they lie. A Poisson replicate in which a
+    group draws no row at all (e to the minus n of them for n stations) is NULL, and
+    the limits are those of the group's other replicates.
+    """
     by = list(by)
     rows = cpue.select(*by, station, "cpue", "total_area")
     if method == "poisson":
@@ -80,7 +82,8 @@ def resampled_means(cpue: DataFrame, reps: int = 1000, seed: int = 1, by=GROUP,
         F.min("_pos").alias("_start"), F.count(F.lit(1)).alias("_n"))
     slots = attach_groups(placed.select(*by, "_pos"), groups, by).withColumn(
         "_row", F.col("_pos") - F.col("_start"))
-    draws = _replicated(slots.drop("_pos"), reps, seed, by, "_row").select(
+    # Few rows become ``reps`` times as many, so they are spread evenly first.
+    draws = _replicated(spread(slots.drop("_pos"), *by, "_row"), reps, seed, by, "_row").select(
         "_start", "rep", (F.col("_start") + F.col("_x") % F.col("_n")).alias("_pos"))
     values = placed.select("_pos", "cpue", "total_area")
     # The draws are reps times as many as the rows. While the rows fit in
@@ -94,7 +97,11 @@ def resampled_means(cpue: DataFrame, reps: int = 1000, seed: int = 1, by=GROUP,
         *by, "rep", "mean_cpue", "mean_area")
 
 
-def _poisson(hashed: Column, most: int = 12) -> Column:
+# A Poisson(1) count beyond this has less room than one step of the hash.
+MOST = 18
+
+
+def _poisson(hashed: Column, most: int = MOST) -> Column:
     """A Poisson(1) count from a uniform hash by its distribution function."""
     u = hashed.cast("double") / float(PRIME)
     count = F.lit(most)
@@ -107,8 +114,8 @@ def _poisson(hashed: Column, most: int = 12) -> Column:
 def _limits(means: DataFrame, value: Column, by) -> DataFrame:
     # A group has one value for each replicate, so the exact percentile is bounded.
     ends = F.percentile(value, F.array(F.lit(0.025), F.lit(0.975)))
-    return means.groupBy(*by).agg(F.avg(value).alias("_mean"), ends.alias("_ends")).select(
-        *by, "_mean", F.col("_ends")[0].alias("_lwr"), F.col("_ends")[1].alias("_upp"),
+    return means.groupBy(*by).agg(ends.alias("_ends")).select(
+        *by, F.col("_ends")[0].alias("_lwr"), F.col("_ends")[1].alias("_upp"),
         region_from_district().alias("region"),
     )
 

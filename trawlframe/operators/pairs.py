@@ -41,29 +41,37 @@ def pack_series(panel: DataFrame, t: str, series: str, value: str) -> tuple[Data
     return packed, len(periods)
 
 
-def _matrix(frame: pd.DataFrame, periods: int) -> tuple[np.ndarray, np.ndarray]:
-    """Values centred on each series' mean (0 where missing), and the mask of values."""
+def _matrix(frame: pd.DataFrame, periods: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values centred on each series' mean (0 where missing), the mask of values, largest size."""
     x = np.zeros((len(frame), periods))
     mask = np.zeros_like(x)
+    size = np.zeros(len(frame))
     for i, (at, v) in enumerate(zip(frame["at"], frame["v"])):
         values = np.asarray(v, dtype=float)
         x[i, at] = values - values.mean()
         mask[i, at] = 1.0
-    return x, mask
+        size[i] = np.abs(values).max(initial=0.0)
+    return x, mask, size
+
+
+def _rounding(x: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The variance that rounding alone can leave to a series, whatever its unit."""
+    eps = np.finfo(float).eps
+    return np.maximum(1e-12 * (x * x).sum(1), x.shape[1] * np.square(8 * eps * size))
 
 
 def _moments(a: pd.DataFrame, b: pd.DataFrame, periods: int):
     """Covariance sum, correlation and number of shared periods of all pairs."""
-    xa, ma = _matrix(a, periods)
-    xb, mb = _matrix(b, periods)
+    xa, ma, size_a = _matrix(a, periods)
+    xb, mb, size_b = _matrix(b, periods)
     n = ma @ mb.T
     with np.errstate(divide="ignore", invalid="ignore"):
         sa, sb = xa @ mb.T, ma @ xb.T
         cov = xa @ xb.T - sa * sb / n
         va = (xa * xa) @ mb.T - sa * sa / n
         vb = ma @ (xb * xb).T - sb * sb / n
-        flat = (va <= 1e-12 * np.maximum(1.0, (xa * xa).sum(1))[:, None]) | (
-            vb <= 1e-12 * np.maximum(1.0, (xb * xb).sum(1))[None, :])
+        # Constant but for rounding: of the sums here, or of the values before centring.
+        flat = ((va <= _rounding(xa, size_a)[:, None]) | (vb <= _rounding(xb, size_b)[None, :]))
         r = np.where(flat | (n < 2), np.nan, cov / np.sqrt(va * vb))
     return cov, np.clip(r, -1.0, 1.0), n
 

@@ -44,13 +44,18 @@ def spatial_patches(df: DataFrame, x: str, y: str, z: str, w: str, by: list[str]
                     merge_single_null_patch: bool = True) -> DataFrame:
     """Patch number of every point (0: without density and near no patch).
 
-    Rows with anything missing are left out. Equal densities go by station.
+    Rows with anything missing are left out; every other row is returned, equal
+    ones too. Equal densities go by station. Points with a density but no area
+    weigh nothing, so they move no centre and are placed last, like those
+    without density. A block without a gap as wide as the limit is worked in
+    order by one task, since each point depends on those before it.
     """
     points = cut_lineage(df.select(
         *by, station, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"),
         F.col(z).cast("double").alias("z"), F.col(w).cast("double").alias("w"),
     ).dropna(subset=["x", "y", "z", "w"]).withColumns({
         "_tx": F.floor(F.col("x") / limit), "_ty": F.floor(F.col("y") / limit),
+        "_row": F.monotonically_increasing_id(),
     }))
     positive = points.filter(F.col("z") * F.col("w") > 0)
     null = points.filter(F.col("z") * F.col("w") <= 0)
@@ -91,12 +96,12 @@ def _place_null(null, centres, by, station, limit, merge_single) -> DataFrame:
         *by, "patch", "cx", "cy",
         (F.col("_cx") + F.col("_i")).alias("_tx"), (F.col("_cy") + F.col("_j")).alias("_ty"),
     )
-    point = [*by, station, "x", "y", "z", "w"]
+    point = [*by, station, "x", "y", "z", "w", "_row"]
     pairs = same_keys_join(null, near, [*by, "_tx", "_ty"])
     distance = F.sqrt(F.pow(F.col("x") - F.col("cx"), 2) + F.pow(F.col("y") - F.col("cy"), 2))
     placed = pairs.groupBy(*point).agg(F.min(F.when(
         distance < limit, F.struct(distance.alias("d"), F.col("patch")))).alias("_best"))
-    placed = placed.select(*point, F.coalesce(F.col("_best.patch"), F.lit(0)).alias("patch"))
+    placed = placed.select(*point[:-1], F.coalesce(F.col("_best.patch"), F.lit(0)).alias("patch"))
     if merge_single:
         return placed
     alone = placed.groupBy(*by).agg(F.count_if(F.col("patch") == 0).alias("_alone"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+from operator import add
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trawlframe.functions import (
@@ -10,6 +13,7 @@ from trawlframe.functions import (
     zero_to_null,
 )
 from trawlframe.operators.ordered import running_totals
+from trawlframe.session import attach_single, same_keys_join
 
 
 # -- area holding 95 % of the catch --------------------------------------------
@@ -40,8 +44,9 @@ def d95_area(members: DataFrame, by: list[str], area: float = STATION_AREA_NM2)
 
 # -- centre, inertia, axes -------------------------------------------------------
 
-# Square units below which a second moment is the rounding of a zero.
-ROUNDING = 1e-13
+# Squares along the larger extent of the data, and the part of a sum's terms that is rounding.
+SQUARES = 1024
+ROUNDING = 1e-15
 
 
 def _points(df: DataFrame, x, y, z, w, by) -> DataFrame:
@@ -73,40 +78,47 @@ def _moments(df: DataFrame, x, y, z, w, by) -> DataFrame:
     """Centre, and second moments about it divided by the total weight.
 
     Sums of squares about zero would lose the digits that matter at
-    longitudes near -180. The points are summed about the middle of their unit
-    square first, and the squares' sums (one row for each occupied square) are
-    then moved to the centre: the rows are read once and nothing is joined
-    back to them.
+    longitudes near -180. The points are summed about the middle of a square
+    first, and the squares' sums (one row for each occupied square) are then
+    moved to the centre of their group, which is joined back to the squares
+    alone. Squares are a small part of the data's extent, so the unit of x and
+    y does not matter. A moment that only rounding keeps from zero, measured
+    by the sum of its terms' sizes, is zero.
     """
+    points = _points(df, x, y, z, w, by)
+    extent = points.agg(F.greatest(F.max("_x") - F.min("_x"), F.max("_y") - F.min("_y"))).first()[0]
+    width = F.lit(float(extent or SQUARES) / SQUARES)
     tx, ty = F.col("_tx"), F.col("_ty")
-    near = _points(df, x, y, z, w, by).withColumns({
-        "_tx": F.floor("_x") + 0.5, "_ty": F.floor("_y") + 0.5})
+    near = points.withColumns({
+        "_tx": (F.floor(F.col("_x") / width) + 0.5) * width,
+        "_ty": (F.floor(F.col("_y") / width) + 0.5) * width})
     dx, dy, q = F.col("_x") - tx, F.col("_y") - ty, F.col("_q")
     squares = near.groupBy(*by, "_tx", "_ty").agg(
         F.sum(q).alias("_n"), F.sum(q * dx).alias("_dx"), F.sum(q * dy).alias("_dy"),
         F.sum(q * dx * dx).alias("_dxx"), F.sum(q * dy * dy).alias("_dyy"),
         F.sum(q * dx * dy).alias("_dxy"),
     )
-    group = Window.partitionBy(*by)
     n = F.col("_n")
-    centred = squares.withColumns({
-        "xcg": safe_div(F.sum(n * tx + F.col("_dx")).over(group), F.sum(n).over(group)),
-        "ycg": safe_div(F.sum(n * ty + F.col("_dy")).over(group), F.sum(n).over(group)),
-    })
+    centres = squares.groupBy(*by).agg(
+        safe_div(F.sum(n * tx + F.col("_dx")), F.sum(n)).alias("xcg"),
+        safe_div(F.sum(n * ty + F.col("_dy")), F.sum(n)).alias("ycg"))
+    centred = same_keys_join(squares, centres, by) if by else attach_single(squares, centres)
     sx, sy = tx - F.col("xcg"), ty - F.col("ycg")
-    moved = {
-        "_a": F.col("_dxx") + 2.0 * sx * F.col("_dx") + sx * sx * n,
-        "_c": F.col("_dyy") + 2.0 * sy * F.col("_dy") + sy * sy * n,
-        "_b": F.col("_dxy") + sx * F.col("_dy") + sy * F.col("_dx") + sx * sy * n,
+    terms = {
+        "_a": [F.col("_dxx"), 2.0 * sx * F.col("_dx"), sx * sx * n],
+        "_c": [F.col("_dyy"), 2.0 * sy * F.col("_dy"), sy * sy * n],
+        "_b": [F.col("_dxy"), sx * F.col("_dy"), sy * F.col("_dx"), sx * sy * n],
     }
     out = centred.groupBy(*by).agg(
         F.first("xcg", ignorenulls=True).alias("xcg"),
         F.first("ycg", ignorenulls=True).alias("ycg"),
-        *[safe_div(F.sum(m), F.sum(n)).alias(name) for name, m in moved.items()],
+        *[safe_div(F.sum(reduce(add, t)), F.sum(n)).alias(name) for name, t in terms.items()],
+        *[safe_div(F.sum(reduce(add, map(F.abs, t))), F.sum(n)).alias(f"{name}_size")
+          for name, t in terms.items()],
     )
-    # What is left of a moment that is really zero.
-    flat = {c: F.when(F.abs(c) < ROUNDING, F.lit(0.0)).otherwise(F.col(c)) for c in moved}
-    return out.withColumns(flat)
+    flat = {c: F.when(F.abs(c) <= ROUNDING * F.abs(f"{c}_size"), F.lit(0.0)).otherwise(F.col(c))
+            for c in terms}
+    return out.withColumns(flat).drop(*[f"{c}_size" for c in terms])
 
 
 def _with_principal(moments: DataFrame) -> DataFrame:

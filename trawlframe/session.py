@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,13 +35,14 @@ def build_session(app: str = "trawlframe", master: str | None = None, **conf) ->
 def scratch_folder(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only a local session without the setting, as in tests, gets one of its own.
+    Only a local session without the setting, as in tests, gets one: ``_scratch`` in
+    its warehouse.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        folder = tempfile.mkdtemp(prefix="trawlframe-checkpoint-")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
