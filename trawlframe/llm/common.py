@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trawlframe.session import scratch_folder
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Characters of text that one step of a Python worker holds as arrays.
 CHUNK_CHARS = 1_000_000
@@ -25,6 +28,17 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder, read again.
+
+    For loops: unlike a checkpoint, a table carries no constraints of the plan that
+    made it, which would multiply from round to round.
+    """
+    path = f"{scratch_folder(df.sparkSession).rstrip('/')}/table-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def slices(sizes: list[int], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of neighbouring rows whose sizes add up to ``limit`` or hold one row."""
     start, total = 0, 0

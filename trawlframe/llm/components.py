@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trawlframe.session import cut_lineage
+from trawlframe.llm.common import written
 
 
 def _ranked(column: str) -> Column:
@@ -22,17 +22,17 @@ def components(links: DataFrame) -> DataFrame:
     state stays in tables; a crowded node is a key of a join, which adaptive execution
     splits.
     """
-    both = cut_lineage(links.select("a", "b").union(links.select("b", "a")).where("a != b").distinct())
+    both = written(links.select("a", "b").union(links.select("b", "a")).where("a != b").distinct())
     labels = both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node"))
     while not both.isEmpty():
         first = both.groupBy("a").agg(F.min(_ranked("b")).alias("m"))
-        moves = cut_lineage(first.select(
+        moves = written(first.select(
             F.col("a").alias("label"), F.least(_ranked("a"), F.col("m"))["id"].alias("to")))
-        labels = cut_lineage(labels.join(moves, "label", "left")
-                             .select("node", F.coalesce("to", "label").alias("label")))
+        labels = written(labels.join(moves, "label", "left")
+                         .select("node", F.coalesce("to", "label").alias("label")))
         sides = [moves.select(F.col("label").alias(c), F.col("to").alias(f"to_{c}")) for c in "ab"]
-        both = cut_lineage(both.join(sides[0], "a").join(sides[1], "b")
-                           .select(F.col("to_a").alias("a"), F.col("to_b").alias("b"))
-                           .where("a != b").distinct())
+        both = written(both.join(sides[0], "a").join(sides[1], "b")
+                       .select(F.col("to_a").alias("a"), F.col("to_b").alias("b"))
+                       .where("a != b").distinct())
     least = labels.groupBy("label").agg(F.min("node").alias("least"))
     return labels.join(least, "label").select("node", F.col("least").alias("label"))

@@ -29,6 +29,8 @@ SHINGLE = 5
 COUNTERS, FREQUENT = 1 << 17, 16
 # Lists up to this length are met pair by pair; longer ones through pivots.
 SHORT_LIST = 64
+# Classes of a component, and classes asking for it, that meet in one group.
+BLOCK = 256
 # Entries a task holds before it hands them on.
 BUFFER = 1_000_000
 BUCKETS_PER_PARTITION = 4
@@ -345,50 +347,106 @@ def _pivots(entries: DataFrame) -> DataFrame:
             .groupBy(F.col("class").alias("a"), F.col("pivot").alias("b")).agg(F.count(F.lit(1)).alias("times")))
 
 
-def _settled_by_pivot(pairs: DataFrame, compared: DataFrame) -> DataFrame:
-    """Adds ``answer`` where a pivot that both sets were compared with decides, else null.
+def _open_questions(labelled: DataFrame) -> DataFrame:
+    """class, size, target: classes that may link to a member of a larger component.
 
-    With overlaps p and q of two sets with their pivot, their own overlap is at most
-    min(p, q) + min(size - p, size - q) and at least p + q - size of the pivot.
+    ``labelled`` has the entries of lists that hold more than one label, with the
+    number of classes of each label. A component stands in a list once, with its
+    range of sizes, so a class meets a crowd of copies as one. It must share as many
+    lists with the component as its least demanding member could need.
     """
-    known = compared.select("a", F.col("b").alias("pivot"), "overlap", F.col("size_b").alias("pivot_size"))
-    best = known.groupBy("a").agg(F.max_by(F.struct("pivot", "overlap", "pivot_size"), "overlap").alias("k"))
-    sides = [best.select(F.col("a").alias(c), F.col("k").alias(f"k_{c}")) for c in "ab"]
-    joined = pairs.join(sides[0], "a", "left").join(sides[1], "b", "left")
-    p, q = F.col("k_a.overlap"), F.col("k_b.overlap")
-    most = F.least(p, q) + F.least(F.col("size_a") - p, F.col("size_b") - q)
-    least = p + q - F.col("k_a.pivot_size")
-    sizes = F.col("size_a"), F.col("size_b")
-    answer = (F.when(F.col("k_a.pivot") != F.col("k_b.pivot"), None)
-              .when(~_linked(most, *sizes), False).when(_linked(F.greatest(least, F.lit(0)), *sizes), True))
-    return joined.withColumn("answer", answer).drop("k_a", "k_b")
+    heads = labelled.groupBy("shingle", F.col("label").alias("target"), F.col("crowd").alias("target_crowd")).agg(
+        F.min("size").alias("low"), F.max("size").alias("high"))
+    size = F.col("size")
+    larger = F.struct("crowd", "label") < F.struct("target_crowd", "target")
+    met = (labelled.join(heads, "shingle")
+           .where(larger & (4 * F.col("high") >= 3 * size) & (4 * size >= 3 * F.col("low")))
+           .groupBy("class", "size", "target")
+           .agg(F.count(F.lit(1)).alias("shared"), F.min("low").alias("low"), F.max("high").alias("high")))
+    low = F.greatest("low", _ceil(3 * size, 4))
+    high = F.least("high", F.floor(4 * size / 3))
+    # Between its ends the need is not lower, but for one by rounding.
+    return met.where(F.col("shared") >= F.least(_needed(size, low), _needed(size, high)) - 1).select(
+        "class", "size", "target")
+
+
+def _block_links(key, members: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
+    """One link of each asking class to a block of one component's members, if it has any.
+
+    The overlap with a pivot that both were compared with answers first: two sets
+    share at most min(p, q) + min(size - p, size - q) and at least p + q - size of
+    the pivot, for overlaps p and q with it. Only then the sets are compared.
+    """
+    out = []
+    sets = [np.frombuffer(x, np.uint64) for x in members["shingles"]]
+    sizes = np.array([len(x) for x in sets], np.int64)
+    pivots, overlaps = members["pivot"].to_numpy(), members["overlap"].to_numpy(float)
+    for row in asking.itertuples(index=False):
+        own = np.frombuffer(row.shingles, np.uint64)
+        n = len(own)
+        alike = np.flatnonzero((4 * sizes >= 3 * n) & (3 * sizes <= 4 * n))
+        if not len(alike):
+            continue
+        both = sizes[alike] + n
+        most, least = np.minimum(sizes[alike], n).astype(float), np.zeros(len(alike))
+        if row.pivot == row.pivot:  # else it was compared with none
+            same = pivots[alike] == row.pivot
+            q = overlaps[alike]
+            most = np.where(same, np.minimum(row.overlap, q) + np.minimum(n - row.overlap, sizes[alike] - q), most)
+            least = np.where(same, row.overlap + q - row.pivot_size, least)
+        certain = alike[100 * least >= 75 * (both - least)]
+        if len(certain):
+            out.append((row.cls, members["cls"].iloc[int(certain[0])]))
+            continue
+        for i in alike[100 * most >= 75 * (both - most)]:
+            common = len(np.intersect1d(own, sets[i], assume_unique=True))
+            if 100 * common >= 75 * (n + sizes[i] - common):
+                out.append((row.cls, members["cls"].iloc[int(i)]))
+                break
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def _long_list_pairs(entries: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of classes in different components that share enough long lists to link.
+def _links_across(entries: DataFrame, labels: DataFrame, compared: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) through long lists between components, at least one of each two that link.
 
-    Pairs that share a short list too have been judged by both; for the others the
-    long lists must hold all the prefix entries needed.
+    Members of the target and the classes that ask meet in blocks of both, so sets
+    travel once for each block and not once for each pair, and no component or crowd of
+    questions meets in one task.
     """
-    labelled = (entries.join(labels.select(F.col("node").alias("class"), "label"), "class", "left")
+    labelled = (entries.select("shingle", "class", "size")
+                .join(labels.select(F.col("node").alias("class"), "label"), "class", "left")
                 .withColumn("label", F.coalesce("label", "class")))
+    crowds = labelled.select("class", "label").distinct().groupBy("label").agg(F.count(F.lit(1)).alias("crowd"))
     mixed_lists = (labelled.groupBy("shingle").agg(F.min("label").alias("x"), F.max("label").alias("y"))
                    .where("x != y").select("shingle"))
-    held = labelled.groupBy("class").agg(F.count(F.lit(1)).alias("entries"))
-    rows = cut_lineage(labelled.join(mixed_lists, "shingle").join(held, "class"))
-    a = rows.select("shingle", *[F.col(c).alias(f"{c}_a") for c in ("class", "label", "size", "place", "entries")])
-    b = rows.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("class", "label", "size", "place", "entries")])
-    most = (F.least("place_a", "place_b") + F.least(
-        F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b")))
-    near = ((F.col("label_a") < F.col("label_b"))
-            & (4 * F.col("size_a") >= 3 * F.col("size_b")) & (4 * F.col("size_b") >= 3 * F.col("size_a"))
-            & (7 * most >= 3 * (F.col("size_a") + F.col("size_b")))
-            & (F.least("entries_a", "entries_b") >= _needed(F.col("size_a"), F.col("size_b"))))
-    return (a.join(b, "shingle").where(near)
-            .groupBy(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
-            .agg(F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"),
-                 F.count(F.lit(1)).alias("shared"))
-            .where(F.col("shared") >= _needed(F.col("size_a"), F.col("size_b"))))
+    labelled = cut_lineage(labelled.join(mixed_lists, "shingle", "left_semi").join(crowds, "label"))
+    asked = cut_lineage(_open_questions(labelled))
+    blocks = cut_lineage(
+        asked.groupBy("target").agg(F.count(F.lit(1)).alias("asking")).join(
+            crowds.withColumnRenamed("label", "target"), "target")
+        .select("target", _ceil(F.col("asking"), BLOCK).cast("int").alias("asking_blocks"),
+                _ceil(F.col("crowd"), BLOCK).cast("int").alias("member_blocks")))
+    best = (compared.groupBy(F.col("a").alias("class"))
+            .agg(F.max_by(F.struct(F.col("b").alias("pivot"), "overlap", F.col("size_b").alias("pivot_size")),
+                          "overlap").alias("k")).select("class", "k.*"))
+
+    keys = ["target", "member_block", "asking_block"]
+
+    def side(rows: DataFrame, own: str, other: str) -> DataFrame:
+        number = F.pmod(F.xxhash64("cls"), F.col(f"{own}_blocks")).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1))
+        placed = (rows.join(blocks, "target").join(sets, "class").join(best, "class", "left")
+                  .withColumnRenamed("class", "cls").withColumns({f"{own}_block": number, f"{other}_block": every}))
+        # New names for the same columns, so that the two sides can be told apart.
+        return placed.select(*[F.col(c).alias(c) for c in (
+            *keys, "cls", "shingles", "pivot", "overlap", "pivot_size")])
+
+    everyone = entries.select("class").distinct().join(
+        labels.select(F.col("node").alias("class"), "label"), "class", "left").select(
+        "class", F.coalesce("label", "class").alias("target"))
+    return (side(everyone, "member", "asking").groupBy(*keys)
+            .cogroup(side(asked.select("class", "target"), "asking", "member").groupBy(*keys))
+            .applyInPandas(_block_links, "a long, b long"))
 
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -466,9 +524,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         links = links.union(more)
         labels = components(links)
     if not entries.isEmpty():
-        asked = cut_lineage(_settled_by_pivot(_long_list_pairs(entries, labels), compared))
-        more = (asked.where("answer").select("a", "b")
-                .union(_links(_compare(asked.where("answer is null"), sets))))
+        more = cut_lineage(_links_across(entries, labels, compared, sets))
         if not more.isEmpty():
             labels = components(links.union(more))
 
