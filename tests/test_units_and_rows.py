@@ -56,3 +56,31 @@ def test_equal_points_without_density_all_come_back(frame):
     assert sorted((r.station, r.patch) for r in got.collect()) == [(1, 1), (2, 0), (2, 0), (3, 1), (3, 1)]
     shares = {r.patch: r.parea for r in patch_summary(got, ["g"]).collect()}
     assert shares == {0: pytest.approx(0.4), 1: pytest.approx(0.6)}
+
+
+def test_components_of_many_series_with_gaps(spark):
+    """More series than a matrix over all of them could hold, with four patterns of gaps."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from trawlframe.operators.pca import gap_pca
+
+    wide = spark.range(20000).select(
+        "id", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("t")).where("id % 4 = 0 or t <> id % 4")
+    panel = wide.withColumn("v", F.sin(F.col("id") * 0.7 + F.col("t")) + 0.3 * F.col("t") * (F.col("id") % 5))
+    out = gap_pca(panel, "t", "id", "v")
+    loadings = {r.id: r.loading for r in out["loadings"].collect()}
+    assert len(loadings) == 20000
+    assert math.isclose(sum(v * v for v in loadings.values()), 1, rel_tol=1e-9)
+    shares = [r.share for r in out["shares"].orderBy("component").collect()]
+    assert len(shares) == 5 and shares == sorted(shares, reverse=True)
+    few = panel.where("id < 60")
+    values = np.full((6, 60), np.nan)
+    for r in few.collect():
+        values[r.t, r.id] = r.v
+    values -= np.nanmean(values, axis=1, keepdims=True)
+    cov = np.array([[np.cov(values[k, i], values[k, j])[0, 1] if (k := ~np.isnan(values[:, i] * values[:, j])).sum() > 1
+                     else 0.0 for j in range(60)] for i in range(60)])
+    sizes = np.sort(np.abs(np.linalg.eigvalsh(cov)))[::-1]
+    got = [r.share for r in gap_pca(few, "t", "id", "v")["shares"].orderBy("component").collect()]
+    assert got == pytest.approx(list(sizes[:5] / sizes.sum()))

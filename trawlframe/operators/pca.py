@@ -16,12 +16,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trawlframe.functions import safe_div
-from trawlframe.operators.pairs import pairwise_cov
+from trawlframe.operators.pairs import _matrix, pack_series
 from trawlframe.operators.panel import anomaly, z_score
 from trawlframe.session import attach_groups, cut_lineage, same_keys_join
 
-# A covariance matrix of series with gaps is decomposed whole.
-MAX_GAP_SERIES = 5000
+# Rows of the matrix that stands for the covariances of series with gaps.
+MAX_PATTERN_ROWS = 8192
 
 
 def _gram(cells: DataFrame, by: list[str], t: str, series: str) -> DataFrame:
@@ -147,53 +147,100 @@ def standardized_pca(panel: DataFrame, t: str, series: str, value: str,
     return {"shares": shares, "loadings": turned, "scores": scores}
 
 
+def _pattern_products(packed: DataFrame, periods: int) -> DataFrame:
+    """pattern, place, total: sums over the series of x x', one matrix for each pattern."""
+    def work(batches):
+        sums: dict[str, np.ndarray] = {}
+        for frame in batches:
+            x = _matrix(frame, periods)[0]
+            for pattern, rows in frame.groupby("pattern").indices.items():
+                own = x[rows].T @ x[rows]
+                sums[pattern] = sums[pattern] + own if pattern in sums else own
+        for pattern, total in sums.items():
+            yield pd.DataFrame({"pattern": pattern, "place": np.arange(periods * periods),
+                                "total": total.ravel()})
+
+    return (packed.mapInPandas(work, "pattern string, place int, total double")
+            .groupBy("pattern", "place").agg(F.sum("total").alias("total")))
+
+
+def _pattern_spectrum(products: dict[str, np.ndarray], periods: int, components: int):
+    """All non-zero eigenvalues, largest size first, and the leading components' weights.
+
+    With B the values of all series, laid out by pattern and period, the covariances
+    are B K B' for the coefficients K. If B'B = L L', they share their non-zero
+    eigenvalues with L'K L, and an eigenvector u of that gives the loadings B w with
+    w = K L u / eigenvalue.
+    """
+    names = sorted(products)
+    masks = np.zeros((len(names), periods))
+    for i, name in enumerate(names):
+        masks[i, [int(k) for k in name.split(",")]] = 1.0
+    size = len(names) * periods
+    form, root = np.zeros((size, size)), np.zeros((size, size))
+    for i, name in enumerate(names):
+        at = slice(i * periods, (i + 1) * periods)
+        values, vectors = np.linalg.eigh(products[name].reshape(periods, periods))
+        root[at, at] = vectors * np.sqrt(np.clip(values, 0, None))
+        for j in range(len(names)):
+            shared = masks[i] * masks[j]
+            n = shared.sum()
+            if n > 1:
+                form[at, j * periods:(j + 1) * periods] = (np.diag(shared) - np.outer(shared, shared) / n) / (n - 1)
+    values, vectors = np.linalg.eigh(root.T @ form @ root)
+    order = np.argsort(np.abs(values))[::-1]
+    leading = [k for k in order[:components] if values[k] != 0]
+    w = [(form @ root @ vectors[:, k] / values[k]).reshape(len(names), periods) for k in leading]
+    none = np.zeros(periods)
+    return values[order], {name: [x[i] for x in w] or [none] for i, name in enumerate(names)}
+
+
 def gap_pca(panel: DataFrame, t: str, series: str, value: str,
             components: int = 5) -> dict[str, DataFrame]:
     """PCA of anomalies with missing values, from pairwise covariances.
 
-    The matrix of at most ``MAX_GAP_SERIES`` series is decomposed whole, so
-    more series are refused (use strata or districts as series then). Scores
-    are sums over the values present, standardised.
+    The covariance of two series is a form in their values whose coefficients depend
+    on the two patterns of periods alone. So the matrix over all series has the
+    eigenvalues of a small one, of (patterns x periods) rows, made from the sums of
+    products between periods within each pattern. Those sums are taken map-side, and
+    series by series the loadings follow; the number of series is not limited.
+    The small matrix is: ``MAX_PATTERN_ROWS`` rows, beyond which the call is refused
+    (many periods with a pattern of gaps for each series). Scores are sums over the
+    values present, standardised.
     """
     panel = cut_lineage(panel.select(t, series, value))
     cells = anomaly(panel, t, value, skip_missing=True, out="_a").select(t, series, "_a").filter(
         F.col("_a").isNotNull())
-    n = cells.select(series).distinct().count()
-    if n > MAX_GAP_SERIES:
-        raise ValueError(f"{n} series with gaps; at most {MAX_GAP_SERIES} can be decomposed")
-    cov = pairwise_cov(cells, t, series, "_a")
+    packed, periods = pack_series(cells, t, series, "_a")
+    packed = cut_lineage(packed.withColumn("pattern", F.array_join(F.array_sort("at"), ",")))
+    patterns = packed.select("pattern").distinct()
+    if patterns.count() * periods > MAX_PATTERN_ROWS:
+        raise ValueError(f"more patterns of gaps than {MAX_PATTERN_ROWS} / {periods} periods")
+    products = {}
+    for row in _pattern_products(packed, periods).collect():
+        products.setdefault(row["pattern"], np.zeros(periods * periods))[row["place"]] = row["total"]
+    eigen, weights = _pattern_spectrum(products, periods, components)
+
+    def load(batches):
+        for frame in batches:
+            x = _matrix(frame, periods)[0]
+            w = np.array([weights[p][0] for p in frame["pattern"]]).reshape(len(frame), periods)
+            yield pd.DataFrame({"component": 1, series: frame["series"], "loading": (x * w).sum(axis=1)})
+
     kind = cells.schema[series].dataType
     schema = T.StructType([
-        T.StructField("component", T.IntegerType()), T.StructField("eigenvalue", T.DoubleType()),
-        T.StructField("share", T.DoubleType()), T.StructField(series, kind),
+        T.StructField("component", T.IntegerType()), T.StructField(series, kind),
         T.StructField("loading", T.DoubleType()),
     ])
-
-    def work(frame: pd.DataFrame) -> pd.DataFrame:
-        names = np.unique(np.concatenate([frame["series"], frame["other"]]))
-        i, j = np.searchsorted(names, frame["series"]), np.searchsorted(names, frame["other"])
-        c = np.zeros((len(names), len(names)))
-        c[i, j] = c[j, i] = frame["cov"]
-        # Pairwise covariances may have negative eigenvalues; singular values
-        # are their sizes, and the shares refer to those.
-        values, vectors = np.linalg.eigh(c)
-        size = np.abs(values)
-        order = np.argsort(size)[::-1][:components]
-        return pd.concat([
-            pd.DataFrame({
-                "component": c0 + 1, "eigenvalue": size[k], "share": size[k] / size.sum(),
-                series: names, "loading": vectors[:, k],
-            })
-            for c0, k in enumerate(order)
-        ])
-
-    eigen = cut_lineage(
-        cov.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(work, schema))
-    first = eigen.filter(F.col("component") == 1).select("component", series, "loading")
+    first = cut_lineage(packed.mapInPandas(load, schema))
+    total = float(np.abs(eigen).sum())
+    shares = panel.sparkSession.createDataFrame(
+        [(k + 1, float(abs(v)), float(abs(v)) / total) for k, v in enumerate(eigen[:components])],
+        "component int, eigenvalue double, share double")
     scores = same_keys_join(cells, first, [series], "inner").groupBy("component", t).agg(
         F.sum(F.col("_a") * F.col("loading")).alias("score"))
     loadings, scores = _oriented(first, scores, [], t)
     return {
-        "shares": eigen.select("component", "eigenvalue", "share").distinct(),
+        "shares": shares,
         "loadings": loadings.drop("component"), "scores": scores.drop("component"),
     }
