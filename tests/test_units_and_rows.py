@@ -84,3 +84,19 @@ def test_components_of_many_series_with_gaps(spark):
     sizes = np.sort(np.abs(np.linalg.eigvalsh(cov)))[::-1]
     got = [r.share for r in gap_pca(few, "t", "id", "v")["shares"].orderBy("component").collect()]
     assert got == pytest.approx(list(sizes[:5] / sizes.sum()))
+
+
+def test_default_origin_and_corner_stations(frame):
+    from trawlframe.functions.scalars import project_nm, projection_origin
+    from trawlframe.plans.temperature import temperature_indices
+
+    df = frame("lon double, lat double", (-170.0, 55.0), (-168.0, 57.0), (None, 54.0))
+    assert projection_origin(df, "lon", "lat") == (-170.0, 54.0)
+    x, y = project_nm("lon", "lat", "mean", *projection_origin(df, "lon", "lat"))
+    assert df.select(x.alias("x"), y.alias("y")).first().y == pytest.approx(60)
+    assert projection_origin(df.limit(0), "lon", "lat") == (0.0, 0.0)
+
+    pooled = frame("year int, station string, mean double", (2000, "QP2625", 1.0), (2000, "A-01", 1.0), (2000, "A-02", 3.0))
+    hauls = frame("year int, station string, lat double, haul_type int, performance double",
+                  (2000, "QP2625", 60.0, 3, 0.0), (2000, "A-01", 58.0, 3, 0.0))
+    assert temperature_indices(pooled, hauls).first().cpa == 401

@@ -183,6 +183,15 @@ def project_nm(lon, lat, mode, lon0: float, lat0: float) -> tuple[Column, Column
     return (lon - lon0) * 60.0 * _cosine(mode, lat, lat0), (lat - lat0) * 60.0
 
 
+def projection_origin(df, lon, lat) -> tuple[float, float]:
+    """The default origin of a projection: the least longitude and latitude of the data.
+
+    NULLs are passed over; without any position the origin is (0, 0).
+    """
+    least = df.agg(F.min(column(lon)), F.min(column(lat))).first()
+    return tuple(0.0 if v is None else float(v) for v in least)
+
+
 def unproject_nm(x, y, mode, lon0: float, lat0: float) -> tuple[Column, Column]:
     """Degrees from nautical miles; the inverse of :func:`project_nm`."""
     x, y = column(x), column(y)

@@ -42,12 +42,15 @@ def imputed_panel(panel: DataFrame, k: int = 20, m: int = 100, seed: int = 1) ->
     return pool_imputations(complete, "year", "station", "gear_temp")
 
 
-def temperature_indices(pooled: DataFrame, hauls: DataFrame, corners: DataFrame,
+def temperature_indices(pooled: DataFrame, hauls: DataFrame, corners: DataFrame | None = None,
                         min_year: int | None = None, value: str = "mean") -> DataFrame:
     """Mean bottom temperature, cold-pool area and cold-pool centre by year.
 
-    The corner stations are left out of the area and stay in the centre.
+    The corner stations, CORNER_STATIONS unless others are given, are left out of the
+    area and stay in the centre.
     """
+    if corners is None:
+        corners = hauls.sparkSession.createDataFrame([(s,) for s in CORNER_STATIONS], "station string")
     positions = qc_hauls(hauls, min_year=min_year).withColumn("station", station_key())
     return full_by_key([
         mean_bottom_temperature(pooled, value),
