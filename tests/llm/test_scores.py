@@ -101,3 +101,49 @@ def test_odd_tables(docs):
     assert len(rows) == len(ODD)
     assert all(r.n_known == 0 and r.train_tokens == 0 and r.held_out and math.isfinite(r.score) for r in rows)
     check_base([(0, None)], score_documents(docs(None), training()).collect())
+
+
+def tree_scores(rows):
+    """Score of each text by plain dictionaries, contexts and successors counted from 2 on."""
+    texts = [(k, tokens(t)) for k, t in rows]
+    counts = collections.Counter(w for k, t in texts if trains(k) for w in t)
+    total, after = sum(counts.values()), collections.defaultdict(collections.Counter)
+    for k, t in texts:
+        for i in range(len(t) if trains(k) else 0):
+            for depth in (1, 2):
+                if i >= depth:
+                    after[tuple(t[i - depth:i])][t[i]] += 1
+    kept = {}
+
+    def probability(context, word):
+        if not context:
+            return (counts[word] + 0.5) / (total + 0.5 * (len(counts) + 1))
+        p = probability(context[1:], word)
+        if context in kept:
+            n, successors = kept[context]
+            p *= 1 - sum(c - 0.75 for c in successors.values()) / n
+            p += (successors[word] - 0.75) / n if word in successors else 0
+        return p
+
+    for context in sorted(after, key=len):
+        n = sum(after[context].values())
+        successors = {w: c for w, c in after[context].items() if c >= 2}
+        shorter = {w: probability(context[1:], w) for w in successors}
+        gain = sum(c / n * math.log(c / n / shorter[w]) for w, c in successors.items())
+        rest, rest_shorter = (max(1e-12, 1 - x) for x in (sum(successors.values()) / n, sum(shorter.values())))
+        if n >= 2 and n * (gain + rest * math.log(rest / rest_shorter)) >= 20:
+            kept[context] = n, successors
+    return {k: sum(math.log10(probability(tuple(t[max(0, i - 2):i]), w)) for i, w in enumerate(t)) for k, t in texts}
+
+
+@pytest.mark.parametrize("bound", [1 << 20, 32])
+def test_rare_contexts_are_kept_whatever_is_in_memory(docs, monkeypatch, bound):
+    for name in ("COMMON_WORDS", "SYMBOLS", "CONTEXTS", "SUCCESSORS"):
+        monkeypatch.setattr(suffix_tree, name, min(bound, 1 << 16))
+    if bound == 32:
+        monkeypatch.setattr(suffix_tree, "FILTER_BITS", 4096, raising=False)  # so full that most is looked up
+        monkeypatch.setattr(suffix_tree, "BUFFER", 500)
+    phrase = " ".join(f"seldom{i}" for i in range(12))
+    rows = list(enumerate(ODD + [prose(i) + (f" {phrase} end" if i % 25 == 0 else "") for i in range(150)] + [phrase]))
+    got = {r.doc_id: r.score for r in score_documents(docs(*rows).repartition(4), training()).collect()}
+    assert got == pytest.approx(tree_scores(rows), abs=1e-6)

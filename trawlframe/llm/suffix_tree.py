@@ -1,10 +1,10 @@
 """Scores of texts by a probabilistic suffix tree over words.
 
-Words are counted exactly, wherever they occur. Frequent words are the symbols of the
-tree; contexts of one and two symbols are kept where the words after them are
-distributed unlike those after the shorter context. A word's probability comes from
-the longest kept context it follows, smoothed towards the shorter ones and, at last,
-towards the counts of all words.
+Words, and contexts of one and two words, are counted exactly, wherever they occur.
+Contexts are kept where the words after them are distributed unlike those after the
+shorter context. A word's probability comes from the longest kept context it follows,
+smoothed towards the shorter ones and, at last, towards the counts of all words. What
+is frequent is looked up from memory, all else in tables bucketed by hash.
 """
 
 from __future__ import annotations
@@ -26,14 +26,20 @@ from trawlframe.session import cut_lineage
 END = np.uint64(0x5DEECE66D1234567)
 # A word is looked up from memory if it makes up this part of all, so at most so many are.
 COMMON_WORDS = 1 << 20
-# A symbol, or a context, makes up this part of all words; a kept successor this part.
+# What is looked up from memory: a symbol, or a context of symbols, makes up this part of
+# all words; a successor this part.
 SYMBOLS, CONTEXTS, SUCCESSORS = 1 << 16, 1 << 16, 1 << 20
-# Divergence, times the context's count, from which a context is kept; taken off each count.
+# Bits of the filter that tells most items without an entry in the tables.
+FILTER_BITS = 1 << 27
+# Divergence, times the context's count, from which a context is kept; taken off each count;
+# occurrences from which a context or a successor counts, in a corpus of any size.
 DIVERGENCE, DISCOUNT, LEAST_COUNT = 20.0, 0.75, 2
 # Distinct items a task gathers before it hands them on.
 BUFFER = 2_000_000
 BUCKETS_PER_PARTITION = 4
 _SYMBOL_BITS = np.int64(17)
+# Tell the keys of contexts and of the words after them apart.
+_PAIR, _SHORTER, _LONGER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -173,37 +179,239 @@ def _context_key(second: np.ndarray, first: np.ndarray) -> np.ndarray:
     return second << _SYMBOL_BITS | first
 
 
-def _count_contexts(texts: DataFrame, words: Broadcast, buckets: int) -> DataFrame:
-    """bucket, contexts, totals, keys, counts: frequent contexts and their frequent successors.
+def _before(hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word before each token, word before that) within a text, 0 if there is none."""
+    def before(k):
+        out = np.zeros(len(hashes), np.uint64)
+        if len(hashes) > k:
+            out[k:] = np.where(rows[k:] == rows[:-k], hashes[:-k], np.uint64(0))
+        return out
+
+    return before(1), before(2)
+
+
+def _pair_key(first: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mixed(mixed(first + _PAIR) + word)
+
 
-    Only symbols make contexts, so the pairs and triples that are shuffled follow the
-    input with the share of common words. All successors of a context are in its bucket.
+def _item_keys(second: np.ndarray, first: np.ndarray, word: np.ndarray) -> list[np.ndarray]:
+    """Keys of the contexts of one and two words, and of the word after each."""
+    longer = mixed(_pair_key(second, first) + _LONGER)
+    return [mixed(first + _SHORTER), _pair_key(first, word), longer, mixed(longer + word)]
+
+
+def _summed_items(seconds, firsts, words, counts):
+    """Distinct (second, first, word), ascending by pair, their counts, and where pairs begin."""
+    pairs = _pair_key(firsts, words)
+    order = np.lexsort((seconds, pairs))
+    seconds, firsts, words, counts, pairs = (c[order] for c in (seconds, firsts, words, counts, pairs))
+    new_pair = np.concatenate([[True], pairs[1:] != pairs[:-1]])
+    at = np.flatnonzero(new_pair | np.concatenate([[True], seconds[1:] != seconds[:-1]]))
+    return seconds[at], firsts[at], words[at], np.add.reduceat(counts, at), np.flatnonzero(new_pair[at])
+
+
+def _count_contexts(texts: DataFrame, buckets: int) -> DataFrame:
+    """second, first, word, n: words after one (second is 0) and two words, from LEAST_COUNT on.
+
+    A pair of words and all triples ending in it are in one bucket, so triples alone are
+    shuffled, each task's distinct ones once.
     """
+    def packed(parts):
+        seconds, firsts, words, counts, starts = _summed_items(
+            *(np.concatenate(c) for c in zip(*parts)))
+        bucket = (_pair_key(firsts[starts], words[starts]) >> np.uint64(20)) % np.uint64(buckets)
+        order = np.argsort(bucket, kind="stable")
+        runs = np.diff(starts, append=len(seconds))
+        items = np.argsort(np.repeat(bucket, runs), kind="stable")
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket[order])) + 1, [len(order)]])
+        ends = np.concatenate([[0], np.cumsum(runs[order])])[edges]
+        cut = [(c, e) for c, e in ((firsts[starts][order], edges), (words[starts][order], edges),
+                                   (runs[order].astype(np.uint32), edges), (seconds[items], ends),
+                                   (counts[items].astype(np.uint32), ends))]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(bucket[order][edges[:-1]].astype(np.int32)),
+             *(pa.array([c[x:y].tobytes() for x, y in zip(e[:-1], e[1:])], pa.binary()) for c, e in cut)],
+            ["bucket", "firsts", "words", "runs", "seconds", "counts"])
+
     def gather(batches):
-        model = words.value
-        found = _Gatherer(buckets, lambda keys: mixed(keys >> np.uint64(_SYMBOL_BITS)) >> np.uint64(20))
+        parts, size = [], 0
         for batch in batches:
             for _, _, hashes, rows in _tokens(batch.column(0)):
-                _, _, symbols, first, second = _states(model, hashes, rows)
-                for known, longer in ((first > 0, np.zeros_like(second)), (second > 0, second)):
-                    keys = _context_key(longer[known], first[known]) << _SYMBOL_BITS | symbols[known]
-                    yield from found.add(keys.view(np.uint64))
-        yield from found.flush()
+                first, second = _before(hashes, rows)
+                known = first > 0
+                parts.append((second[known], first[known], hashes[known], np.ones(known.sum(), np.int64)))
+                size += len(parts[-1][0])
+                if size > BUFFER:
+                    yield packed(parts)
+                    parts, size = [], 0
+        if size:
+            yield packed(parts)
 
     def merge(key, rows: pd.DataFrame) -> pd.DataFrame:
-        total = words.value.total
-        keys, counts = _summed(np.frombuffer(b"".join(rows["keys"]), np.int64),
-                               np.frombuffer(b"".join(rows["counts"]), np.int32).astype(np.int64))
-        contexts, sums = _summed(keys >> _SYMBOL_BITS, counts)
-        often = sums >= max(LEAST_COUNT, -(-total // CONTEXTS))
-        contexts, sums = contexts[often], sums[often]
-        kept = ((keys & ((1 << 17) - 1)) > 0) & (counts >= max(LEAST_COUNT, -(-total // SUCCESSORS)))
-        kept &= np.isin(keys >> _SYMBOL_BITS, contexts)
-        return pd.DataFrame({name: [c.tobytes()] for name, c in (
-            ("contexts", contexts), ("totals", sums), ("keys", keys[kept]), ("counts", counts[kept]))})
+        def column(name, kind):
+            return np.frombuffer(b"".join(rows[name]), kind)
+
+        runs = column("runs", np.uint32)
+        seconds, firsts, words, counts, starts = _summed_items(
+            column("seconds", np.uint64), np.repeat(column("firsts", np.uint64), runs),
+            np.repeat(column("words", np.uint64), runs), column("counts", np.uint32).astype(np.int64))
+        sums = np.add.reduceat(counts, starts)
+        pair, triple = starts[sums >= LEAST_COUNT], (counts >= LEAST_COUNT) & (seconds > 0)
+        return pd.DataFrame({
+            "second": np.concatenate([np.zeros(len(pair), np.uint64), seconds[triple]]).view(np.int64),
+            "first": np.concatenate([firsts[pair], firsts[triple]]).view(np.int64),
+            "word": np.concatenate([words[pair], words[triple]]).view(np.int64),
+            "n": np.concatenate([sums[sums >= LEAST_COUNT], counts[triple]])})
+
+    return (texts.mapInArrow(gather, "bucket int, firsts binary, words binary, runs binary, seconds binary, counts binary")
+            .groupBy("bucket").applyInPandas(merge, "second long, first long, word long, n long"))
+
+
+def _kept_contexts(items: DataFrame, by: list[str]) -> DataFrame:
+    """by, total, weight: contexts whose divergence from their suffix counts.
+
+    ``items`` has n, total and predicted, the probability by the suffix, of each
+    successor. What these leave over is compared as one.
+    """
+    own = F.col("n") / F.col("total")
+    sums = items.groupBy(*by).agg(
+        F.first("total").alias("total"), F.sum(own * F.log(own / F.col("predicted"))).alias("gain"),
+        F.greatest(1 - F.sum("n") / F.first("total"), F.lit(1e-12)).alias("rest"),
+        F.greatest(1 - F.sum("predicted"), F.lit(1e-12)).alias("rest_predicted"),
+        (1 - F.sum(F.col("n") - DISCOUNT) / F.first("total")).alias("weight"))
+    divergence = F.col("gain") + F.col("rest") * F.log(F.col("rest") / F.col("rest_predicted"))
+    return sums.where(F.col("total") * divergence >= DIVERGENCE).select(*by, "total", "weight")
+
+
+def _model(counted: DataFrame, items: DataFrame, total: int, distinct: int) -> DataFrame:
+    """second, first, word, total, n, own, gain: kept contexts (word null) and their successors.
+
+    second is 0 for contexts of one word. ``own`` is the weight of a context's suffix, or
+    a successor's part; ``gain`` what the row adds to the log10 probability of a text for
+    each time it is met, so that a successor's row comes on top of its context's.
+    """
+    def often(batches):
+        for batch in batches:
+            for keys, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                keys, counts = np.frombuffer(keys, np.int64), np.frombuffer(counts, np.int64)
+                enough = counts >= LEAST_COUNT
+                yield pa.RecordBatch.from_arrays([pa.array(c[enough]) for c in (keys, counts)], ["hash", "count"])
+
+    words = counted.select("keys", "counts").mapInArrow(often, "hash long, count long")
+    base = (F.col("count") + 0.5) / (total + 0.5 * (distinct + 1))
+    part = (F.col("n") - DISCOUNT) / F.col("total")
+    # A word is followed as often as it occurs, a pair of words too.
+    pairs = (items.where("second = 0").drop("second")
+             .join(words.select(F.col("hash").alias("word"), base.alias("predicted")), "word")
+             .join(words.select(F.col("hash").alias("first"), F.col("count").alias("total")), "first"))
+    pairs = cut_lineage(pairs)
+    short = cut_lineage(_kept_contexts(pairs, ["first"]))
+    smoothed = F.col("weight") * F.col("predicted") + part
+    pairs = cut_lineage(pairs.join(short.drop("total"), "first", "left").withColumn(
+        "smoothed", F.coalesce(smoothed, "predicted")))
+    triples = (items.where("second <> 0")
+               .join(pairs.select("first", "word", F.col("smoothed").alias("predicted")), ["first", "word"])
+               .join(pairs.select(F.col("first").alias("second"), F.col("word").alias("first"),
+                                  F.col("n").alias("total")), ["second", "first"]))
+    triples = cut_lineage(triples)
+    long = cut_lineage(_kept_contexts(triples, ["second", "first"]))
+    triples = triples.join(long.drop("total"), ["second", "first"]).withColumn("smoothed", smoothed)
+
+    def contexts(kept):
+        return kept.withColumns({"word": F.lit(None).cast("long"), "n": F.col("total"), "own": F.col("weight"),
+                                 "gain": F.log10("weight")})
+
+    def successors(kept):
+        return kept.withColumns({"own": part, "gain": F.log10(F.col("smoothed") / F.col("predicted") / F.col("weight"))})
+
+    none = F.lit(0).cast("long")
+    parts = (contexts(short).withColumn("second", none), contexts(long),
+             successors(pairs.where("weight is not null")).withColumn("second", none), successors(triples))
+    names = ["second", "first", "word", "total", "n", "own", "gain"]
+    one, *others = (p.select(*names) for p in parts)
+    for other in others:
+        one = one.unionByName(other)
+    return cut_lineage(one)
+
+
+def _columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+    """The batch of a model, and which rows are contexts; their word is 0."""
+    out = {name: batch.column(name).fill_null(0).to_numpy(zero_copy_only=False) for name in batch.schema.names}
+    out |= {name: out[name].view(np.uint64) for name in ("second", "first", "word")}
+    return out | {"context": batch.column("word").is_null().to_numpy(zero_copy_only=False)}
+
+
+def _in_memory(words: Words, rows: dict[str, np.ndarray]):
+    """(is it frequent enough to be looked up from memory, number of the context, symbol) of each row.
+
+    If a context, or a successor, is, then so is that of its suffix, if kept.
+    """
+    symbols = {}
+    for name in ("second", "first", "word"):
+        common, at = words.find(rows[name])
+        symbols[name] = np.where(common, words.symbols[at] if len(words.symbols) else 0, 0).astype(np.int64)
+    known = (symbols["first"] > 0) & ((symbols["second"] > 0) | (rows["second"] == 0))
+    known &= rows["total"] >= max(LEAST_COUNT, -(-words.total // CONTEXTS))
+    known &= rows["context"] | ((symbols["word"] > 0) & (
+        rows["n"] >= max(LEAST_COUNT, -(-words.total // SUCCESSORS))))
+    return known, _context_key(symbols["second"], symbols["first"]), symbols["word"]
 
-    return (texts.mapInArrow(gather, PACKED).groupBy("bucket")
-            .applyInPandas(merge, "contexts binary, totals binary, keys binary, counts binary"))
+
+def _pack_gains(model: DataFrame, words: Broadcast, buckets: int) -> DataFrame:
+    """bucket, keys, gains, bits: rows of the model that are not in memory, by bucket of their key.
+
+    ``bits`` is the bucket's share of the filter.
+    """
+    size = max(8, FILTER_BITS // buckets // 8 * 8)
+
+    def pack(batches):
+        for batch in batches:
+            rows = _columns(batch)
+            known, _, _ = _in_memory(words.value, rows)
+            keys = _item_keys(rows["second"], rows["first"], rows["word"])
+            keys = np.where(rows["second"] == 0, np.where(rows["context"], keys[0], keys[1]),
+                            np.where(rows["context"], keys[2], keys[3]))[~known]
+            if len(keys):
+                gains = rows["gain"][~known]
+                bucket = ((keys >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
+                order = np.argsort(bucket, kind="stable")
+                edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket[order])) + 1, [len(order)]])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(bucket[order][edges[:-1]]),
+                     *(pa.array([c[order][x:y].tobytes() for x, y in zip(edges[:-1], edges[1:])], pa.binary())
+                       for c in (keys, gains))], ["bucket", "keys", "gains"])
+
+    def merge(key, rows: pd.DataFrame) -> pd.DataFrame:
+        keys = np.frombuffer(b"".join(rows["keys"]), np.uint64)
+        gains = np.frombuffer(b"".join(rows["gains"]), np.float64)
+        order = np.argsort(keys)
+        bits = np.zeros(size, bool)
+        bits[mixed(keys) % np.uint64(size)] = True
+        return pd.DataFrame({"bucket": [key[0]], "keys": [keys[order].tobytes()],
+                             "gains": [gains[order].tobytes()], "bits": [np.packbits(bits).tobytes()]})
+
+    return (model.mapInArrow(pack, "bucket int, keys binary, gains binary").groupBy("bucket")
+            .applyInPandas(merge, "bucket int, keys binary, gains binary, bits binary"))
+
+
+@dataclass
+class Filter:
+    """Whether a key may have an entry in the tables: no entry is missed."""
+
+    bits: np.ndarray
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        size = np.uint64(self.bits.shape[1] * 8)
+        bit = mixed(keys) % size
+        bucket = (keys >> np.uint64(20)) % np.uint64(len(self.bits))
+        return (self.bits[bucket, bit >> np.uint64(3)] >> (np.uint64(7) - (bit & np.uint64(7))).astype(np.uint8)) & 1 > 0
+
+
+def _filter(gains: DataFrame, buckets: int) -> Filter:
+    bits = np.zeros((buckets, max(8, FILTER_BITS // buckets // 8 * 8) // 8), np.uint8)
+    for row in gains.select("bucket", "bits").toLocalIterator():
+        bits[row["bucket"]] = np.frombuffer(row["bits"], np.uint8)
+    return Filter(bits)
 
 
 @dataclass
@@ -233,58 +441,38 @@ class SuffixTree:
 
 
 def _tree(counted: DataFrame, words: Words) -> SuffixTree:
-    """Keeps the contexts that diverge from their suffix.
+    """The part of the model that is looked up from memory.
 
-    The driver sees at most 2 * CONTEXTS contexts and 2 * SUCCESSORS successors. Shorter
-    contexts first; a context is kept if its count times the divergence of its
-    successors' distribution from the one its suffix predicts reaches DIVERGENCE.
+    The driver sees at most 2 * CONTEXTS contexts and 2 * SUCCESSORS successors.
     """
-    rows = counted.collect()
-    contexts, totals, keys, counts = (
-        np.frombuffer(b"".join(r[name] for r in rows), np.int64)
-        for name in ("contexts", "totals", "keys", "counts"))
-    order = np.argsort(contexts)
-    contexts, totals = contexts[order], totals[order]
-    order = np.argsort(keys)
-    keys, counts = keys[order], counts[order]
-    owner = np.searchsorted(contexts, keys >> _SYMBOL_BITS)
-    symbol_base = np.zeros(int(words.symbols.max(initial=0)) + 1)
-    symbol_base[words.symbols] = words.base(words.counts)
-    symbols = keys & ((1 << 17) - 1)
-    parts = (counts - DISCOUNT) / totals[owner]
-    weights = 1 - np.bincount(owner, parts, minlength=len(contexts))
-    tree = SuffixTree(*(np.empty(0, t) for t in (np.int64, float, np.int64, float)))
-    is_long = contexts >> _SYMBOL_BITS > 0
-    for wanted in (~is_long, is_long):
-        of_wanted = wanted[owner]
-        before = contexts[owner] & ((1 << 17) - 1)  # the suffix of a long context
-        predicted = symbol_base[symbols]
-        if wanted is is_long:
-            predicted = tree.smooth(before, symbols, predicted)
-        own = counts / totals[owner]
-        # What the kept successors leave over is compared as one.
-        gain = np.bincount(owner, own * np.log(own / predicted), minlength=len(contexts))
-        rest = np.clip(1 - np.bincount(owner, own, minlength=len(contexts)), 1e-12, 1)
-        rest_predicted = np.clip(1 - np.bincount(owner, predicted, minlength=len(contexts)), 1e-12, 1)
-        divergence = gain + rest * np.log(rest / rest_predicted)
-        keep = wanted & (totals * divergence >= DIVERGENCE)
-        keep_keys = of_wanted & keep[owner]
-        merged = np.concatenate([tree.contexts, contexts[keep]])
-        order = np.argsort(merged)
-        all_keys = np.concatenate([tree.keys, keys[keep_keys]])
-        key_order = np.argsort(all_keys)
-        tree = SuffixTree(
-            merged[order], np.concatenate([tree.weights, weights[keep]])[order],
-            all_keys[key_order], np.concatenate([tree.parts, parts[keep_keys]])[key_order])
-    return tree
+    shared = counted.sparkSession.sparkContext.broadcast(words)
+
+    def chosen(batches):
+        for batch in batches:
+            rows = _columns(batch)
+            known, contexts, symbols = _in_memory(shared.value, rows)
+            short, after = known & rows["context"], known & ~rows["context"]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([c.tobytes()], pa.binary()) for c in (
+                    contexts[short], rows["own"][short],
+                    (contexts << _SYMBOL_BITS | symbols)[after], rows["own"][after])],
+                ["contexts", "weights", "keys", "parts"])
+
+    rows = counted.mapInArrow(chosen, "contexts binary, weights binary, keys binary, parts binary").collect()
+    contexts, weights, keys, parts = (
+        np.frombuffer(b"".join(r[name] for r in rows), kind)
+        for name, kind in (("contexts", np.int64), ("weights", float), ("keys", np.int64), ("parts", float)))
+    order, key_order = np.argsort(contexts), np.argsort(keys)
+    return SuffixTree(contexts[order], weights[order], keys[key_order], parts[key_order])
 
 
 def _score_known(docs: DataFrame, model: Broadcast, buckets: int) -> DataFrame:
-    """A row for each text with sums over its common words; packed rows of the other words.
+    """A row for each text with sums over what is in memory; packed rows of all else.
 
     Texts: part, place, id, held_out, n_tokens, known, base, score, where the other words
     count as if their base probability were 1. Others: part, bucket, and for each
-    distinct word of a text its hash, the text's place and how often.
+    distinct word or item of a text its key, the text's place and how often; items are in
+    the buckets after those of the words.
     """
     id_type = docs.schema[0].dataType.simpleString()
     names = ["part", "place", "id", "held_out", "n_tokens", "known", "base", "score",
@@ -297,11 +485,11 @@ def _score_known(docs: DataFrame, model: Broadcast, buckets: int) -> DataFrame:
             [columns.get(name, None) if name in columns else pa.nulls(n, columns["id_type"] if t is None else t)
              for name, t in zip(names, types)], names)
 
-    def packed(part, rare, kind):
+    def packed(part, rare, kind, first_bucket):
         keys, places, counts = (np.concatenate(c) for c in zip(*rare))
-        bucket = (keys >> np.uint64(20)) % np.uint64(buckets)
+        bucket = ((keys >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32) + first_bucket
         order = np.argsort(bucket, kind="stable")
-        bucket = bucket[order].astype(np.int32)
+        bucket = bucket[order]
         edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
         cut = {name: pa.array([c[x:y].tobytes() for x, y in zip(edges[:-1], edges[1:])], pa.binary())
                for name, c in (("keys", keys[order]), ("places", places[order].astype(np.uint32)),
@@ -310,9 +498,16 @@ def _score_known(docs: DataFrame, model: Broadcast, buckets: int) -> DataFrame:
         return batch_of(n, id_type=kind, part=pa.array(np.full(n, part, np.int32)),
                         bucket=pa.array(bucket[edges[:-1]]), **cut)
 
+    def gather(found, keys, rows, place):
+        order = np.lexsort((keys, rows))
+        key, row = keys[order], rows[order]
+        if len(key):
+            new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (row[1:] != row[:-1])]))
+            found.append((key[new], place + row[new], np.diff(new, append=len(key))))
+
     def work(batches):
-        words, tree = model.value
-        part, place, rare, waiting, kind = TaskContext.get().partitionId(), 0, [], 0, pa.null()
+        words, tree, listed = model.value
+        part, place, rare, items, kind = TaskContext.get().partitionId(), 0, [], [], pa.null()
         for batch in batches:
             kind = batch.column(0).type
             for a, n, hashes, rows in _tokens(batch.column(2)):
@@ -329,62 +524,66 @@ def _score_known(docs: DataFrame, model: Broadcast, buckets: int) -> DataFrame:
                     n_tokens=pa.array(np.bincount(rows, minlength=n)),
                     known=pa.array(np.bincount(rows, common, minlength=n).astype(np.int64)),
                     **{name: pa.array(x) for name, x in sums.items()})
-                others = ~common
-                order = np.lexsort((hashes[others], rows[others]))
-                key, row = hashes[others][order], rows[others][order]
-                if len(key):
-                    new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (row[1:] != row[:-1])]))
-                    rare.append((key[new], place + row[new], np.diff(new, append=len(key))))
-                    waiting += len(new)
+                gather(rare, hashes[~common], rows[~common], place)
+                before, before_that = _before(hashes, rows)
+                for keys, known in zip(_item_keys(before_that, before, hashes), [before > 0] * 2 + [before_that > 0] * 2):
+                    known = known & listed(keys)
+                    gather(items, keys[known], rows[known], place)
                 place += n
-                if waiting > BUFFER:
-                    yield packed(part, rare, kind)
-                    rare, waiting = [], 0
-        if rare:
-            yield packed(part, rare, kind)
+                for found, first_bucket in ((rare, 0), (items, buckets)):
+                    if sum(len(x[0]) for x in found) > BUFFER:
+                        yield packed(part, found, kind, first_bucket)
+                        found.clear()
+        for found, first_bucket in ((rare, 0), (items, buckets)):
+            if found:
+                yield packed(part, found, kind, first_bucket)
 
     return docs.mapInArrow(
         work, f"part int, place long, id {id_type}, held_out boolean, n_tokens long, known long, "
               "base double, score double, bucket int, keys binary, places binary, counts binary")
 
 
-def _score_rare(rare: DataFrame, counted: DataFrame, model: Broadcast) -> DataFrame:
-    """part, places, known, sums: what the other words of each text add, for one bucket and task."""
+def _score_rare(rare: DataFrame, counted: DataFrame, gains: DataFrame, model: Broadcast, buckets: int) -> DataFrame:
+    """part, places, known, sums: what the other words and items of each text add, for one bucket and task."""
     def work(key, asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        words, _ = model.value
+        words, are_words = model.value[0], key[0] < buckets
         keys = np.frombuffer(b"".join(known["keys"]), np.uint64)
-        counts = np.frombuffer(b"".join(known["counts"]), np.int64)
+        values = np.frombuffer(b"".join(known["numbers"]), np.int64 if are_words else np.float64)
         order = np.argsort(keys)
-        keys, counts = keys[order], counts[order]
+        keys, values = keys[order], values[order]
         out = []
         for part, k, places, times in zip(asked["part"], asked["keys"], asked["places"], asked["counts"]):
             k, places, times = np.frombuffer(k, np.uint64), np.frombuffer(places, np.uint32), np.frombuffer(times, np.uint32)
-            seen = np.zeros(len(k), np.int64)
+            seen = np.zeros(len(k), values.dtype)
             if len(keys):
                 at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
-                seen = np.where(keys[at] == k, counts[at], 0)
+                seen = np.where(keys[at] == k, values[at], 0)
             texts, slot = np.unique(places, return_inverse=True)
-            out.append((part, texts.tobytes(),
-                        np.bincount(slot, np.where(seen > 0, times, 0)).astype(np.int64).tobytes(),
-                        np.bincount(slot, np.log10(words.base(seen)) * times).tobytes()))
-        return pd.DataFrame(out, columns=["part", "places", "known", "sums"])
+            more = np.where(seen > 0, times, 0) if are_words else np.zeros(len(k))
+            out.append((part, texts.tobytes(), np.bincount(slot, more).astype(np.int64).tobytes(),
+                        np.bincount(slot, np.log10(words.base(seen)) * times if are_words else np.zeros(len(k))).tobytes(),
+                        np.bincount(slot, np.log10(words.base(seen)) * times if are_words else seen * times).tobytes()))
+        return pd.DataFrame(out, columns=["part", "places", "known", "bases", "sums"])
 
-    return (rare.groupBy("bucket").cogroup(counted.select("bucket", "keys", "counts").groupBy("bucket"))
-            .applyInPandas(work, "part int, places binary, known binary, sums binary"))
+    tables = counted.select("bucket", "keys", F.col("counts").alias("numbers")).unionByName(
+        gains.select((F.col("bucket") + buckets).alias("bucket"), "keys", F.col("gains").alias("numbers")))
+    return (rare.groupBy("bucket").cogroup(tables.groupBy("bucket"))
+            .applyInPandas(work, "part int, places binary, known binary, bases binary, sums binary"))
 
 
 def _add_up(rare: DataFrame) -> DataFrame:
-    """part, place, known, sum: one row for each text with other words."""
+    """part, place, known, base, sum: one row for each text with other words or items."""
     def work(key, rows: pd.DataFrame) -> pd.DataFrame:
         places = np.frombuffer(b"".join(rows["places"]), np.uint32)
         texts, slot = np.unique(places, return_inverse=True)
         known = np.frombuffer(b"".join(rows["known"]), np.int64)
-        sums = np.frombuffer(b"".join(rows["sums"]), np.float64)
+        bases, sums = (np.frombuffer(b"".join(rows[name]), np.float64) for name in ("bases", "sums"))
         return pd.DataFrame({"part": key[0], "place": texts.astype(np.int64),
                              "more_known": np.bincount(slot, known).astype(np.int64),
-                             "more": np.bincount(slot, sums)})
+                             "more_base": np.bincount(slot, bases), "more": np.bincount(slot, sums)})
 
-    return rare.groupBy("part").applyInPandas(work, "part int, place long, more_known long, more double")
+    return rare.groupBy("part").applyInPandas(
+        work, "part int, place long, more_known long, more_base double, more double")
 
 
 def score_documents(docs: DataFrame, training: Column, id_column: str = "doc_id",
@@ -399,10 +598,11 @@ def score_documents(docs: DataFrame, training: Column, id_column: str = "doc_id"
     true. Repeated rows are learnt from, and scored, one by one; other columns are
     ignored; an empty table gives an empty result. Words are told apart by 64-bit hashes.
 
-    Every word's exact count is found, and shuffled, in proportion to the distinct
-    words of a task; common words, symbols and contexts are those that make up a fixed
-    part of all words, which bounds what is broadcast. Other words meet their counts by
-    bucket of the hash: a text's entries are packed, and come back as sums.
+    Exact counts of words and of triples of words are found, and shuffled, in proportion
+    to the distinct ones of a task. Contexts and successors count from LEAST_COUNT
+    occurrences on. Those that make up a fixed part of all words are broadcast, which
+    bounds that. All others are met by bucket of the hash: a text's entries are packed,
+    and come back as sums.
     """
     spark = docs.sparkSession
     trains = F.coalesce(training, F.lit(True))
@@ -414,16 +614,18 @@ def score_documents(docs: DataFrame, training: Column, id_column: str = "doc_id"
     total, distinct = counted.select(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     words = _common_words(counted, total, distinct)
     shared = spark.sparkContext.broadcast(words)
-    tree = _tree(_count_contexts(learnt, shared, buckets), words)
-    model = spark.sparkContext.broadcast((words, tree))
+    found = _model(counted, cut_lineage(_count_contexts(learnt, buckets)), total, distinct)
+    tree = _tree(found, words)
+    gains = cut_lineage(_pack_gains(found, shared, buckets))
+    model = spark.sparkContext.broadcast((words, tree, _filter(gains, buckets)))
     scored = cut_lineage(_score_known(source, model, buckets))
     texts = scored.where("bucket is null").select(
         "part", "place", "id", "held_out", "n_tokens", "known", "base", "score")
     rare = scored.where("bucket is not null").select("part", "bucket", "keys", "places", "counts")
-    added = _add_up(_score_rare(rare, counted, model))
-    more = F.coalesce("more", F.lit(0.0))
+    added = _add_up(_score_rare(rare, counted, gains, model, buckets))
     return texts.join(added, ["part", "place"], "left").select(
         F.col("id").alias(id_column), "held_out", "n_tokens",
         (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + more).alias("base_score"), (F.col("score") + more).alias("score"))
+        (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
+        (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
