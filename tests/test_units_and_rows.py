@@ -86,6 +86,35 @@ def test_components_of_many_series_with_gaps(spark):
     assert got == pytest.approx(list(sizes[:5] / sizes.sum()))
 
 
+@pytest.mark.parametrize("most", [8192, 16])
+def test_components_of_series_that_each_have_their_own_gaps(spark, monkeypatch, most):
+    import numpy as np
+
+    from trawlframe.operators import pca
+
+    monkeypatch.setattr(pca, "MAX_PATTERN_ROWS", most)  # 16: the matrix stays in blocks
+    monkeypatch.setattr(pca, "COVARIANCE_BLOCK", 150 if most == 8192 else 25, raising=False)
+    n, periods = (300, 40) if most == 8192 else (60, 10)
+    rng = np.random.default_rng(5)
+    values = rng.standard_normal((periods, n)) + 2 * np.outer(np.arange(periods) / 5, rng.standard_normal(n))
+    values += 3 * np.outer(np.sin(np.arange(periods)), rng.standard_normal(n))
+    values[rng.random(values.shape) < 0.3] = np.nan
+    rows = [(k, i, float(values[k, i])) for k in range(periods) for i in range(n) if not np.isnan(values[k, i])]
+    out = pca.gap_pca(spark.createDataFrame(rows, "t int, id int, v double"), "t", "id", "v")
+    values -= np.nanmean(values, axis=1, keepdims=True)
+    cov = np.array([[np.cov(values[k, i], values[k, j])[0, 1] if (k := ~np.isnan(values[:, i] * values[:, j])).sum() > 1
+                     else 0.0 for j in range(n)] for i in range(n)])
+    eigen, vectors = np.linalg.eigh(cov)
+    order = np.argsort(np.abs(eigen))[::-1]
+    sizes = np.abs(eigen[order])
+    shares = out["shares"].orderBy("component").collect()
+    assert [r.eigenvalue for r in shares] == pytest.approx(list(sizes[:5]))
+    assert [r.share for r in shares] == pytest.approx(list(sizes[:5] / sizes.sum()), rel=1e-5)
+    loadings = [r.loading for r in out["loadings"].orderBy("id").collect()]
+    first = vectors[:, order[0]]
+    assert loadings == pytest.approx(list(first * np.sign(first @ loadings)), abs=1e-7)
+
+
 def test_default_origin_and_corner_stations(frame):
     from trawlframe.functions.scalars import project_nm, projection_origin
     from trawlframe.plans.temperature import temperature_indices

@@ -16,12 +16,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trawlframe.functions import safe_div
-from trawlframe.operators.pairs import _matrix, pack_series
+from trawlframe.operators.pairs import _matrix, _meet, _moments, pack_series
 from trawlframe.operators.panel import anomaly, z_score
 from trawlframe.session import attach_groups, cut_lineage, same_keys_join
 
-# Rows of the matrix that stands for the covariances of series with gaps.
+# Rows of a matrix of covariances that the driver decomposes; larger ones stay in blocks.
 MAX_PATTERN_ROWS = 8192
+# Series of a block of that matrix.
+COVARIANCE_BLOCK = 512
 
 
 def _gram(cells: DataFrame, by: list[str], t: str, series: str) -> DataFrame:
@@ -195,27 +197,129 @@ def _pattern_spectrum(products: dict[str, np.ndarray], periods: int, components:
     return values[order], {name: [x[i] for x in w] or [none] for i, name in enumerate(names)}
 
 
-def gap_pca(panel: DataFrame, t: str, series: str, value: str,
-            components: int = 5) -> dict[str, DataFrame]:
-    """PCA of anomalies with missing values, from pairwise covariances.
+def _covariance_blocks(packed: DataFrame, periods: int) -> DataFrame:
+    """i, j, rows, data: the covariances of all series in blocks, by series within a block."""
+    def work(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({"i": [], "j": [], "rows": [], "data": []})
+        cov, _, n = _moments(a.sort_values("series"), b.sort_values("series"), periods)
+        data = np.where(n > 1, cov / np.maximum(n - 1, 1), 0.0)
+        return pd.DataFrame({"i": [a["_i"].iloc[0]], "j": [a["_j"].iloc[0]], "rows": [len(a)],
+                             "data": [data.tobytes()]})
 
-    The covariance of two series is a form in their values whose coefficients depend
-    on the two patterns of periods alone. So the matrix over all series has the
-    eigenvalues of a small one, of (patterns x periods) rows, made from the sums of
-    products between periods within each pattern. Those sums are taken map-side, and
-    series by series the loadings follow; the number of series is not limited.
-    The small matrix is: ``MAX_PATTERN_ROWS`` rows, beyond which the call is refused
-    (many periods with a pattern of gaps for each series). Scores are sums over the
-    values present, standardised.
+    return cut_lineage(_meet(packed, COVARIANCE_BLOCK, ordered=False).applyInPandas(
+        work, "i int, j int, rows int, data binary"))
+
+
+def _block(row) -> np.ndarray:
+    return np.frombuffer(row["data"]).reshape(row["rows"], -1)
+
+
+def _times(blocks: DataFrame, places: dict[int, slice], x: np.ndarray) -> np.ndarray:
+    """The matrix in blocks times ``x``: sums of series x columns."""
+    shared = blocks.sparkSession.sparkContext.broadcast({i: x[at] for i, at in places.items()})
+    parts = blocks.rdd.map(lambda r: (r["i"], _block(r) @ shared.value[r["j"]])).reduceByKey(np.add)
+    out = np.zeros_like(x)
+    for i, part in parts.toLocalIterator():
+        out[places[i]] = part
+    shared.unpersist()
+    return out
+
+
+def _leading(blocks: DataFrame, places: dict[int, slice], size: int, components: int):
+    """The leading eigenvalues by size and their vectors, by a Krylov space of blocks.
+
+    The residuals of the leading vectors extend the space until they vanish; a space
+    grown large is started again from its leading vectors.
     """
-    panel = cut_lineage(panel.select(t, series, value))
-    cells = anomaly(panel, t, value, skip_missing=True, out="_a").select(t, series, "_a").filter(
-        F.col("_a").isNotNull())
-    packed, periods = pack_series(cells, t, series, "_a")
-    packed = cut_lineage(packed.withColumn("pattern", F.array_join(F.array_sort("at"), ",")))
-    patterns = packed.select("pattern").distinct()
-    if patterns.count() * periods > MAX_PATTERN_ROWS:
-        raise ValueError(f"more patterns of gaps than {MAX_PATTERN_ROWS} / {periods} periods")
+    width = min(size, components + 4)
+    space = np.linalg.qr(np.random.default_rng(1).standard_normal((size, width)))[0]
+    image = _times(blocks, places, space)
+    while True:
+        values, inner = np.linalg.eigh((space.T @ image + image.T @ space) / 2)
+        order = np.argsort(np.abs(values))[::-1]
+        values, inner = values[order], inner[:, order]
+        rest = image @ inner[:, :width] - space @ inner[:, :width] * values[:width]
+        left = np.linalg.norm(rest, axis=0)
+        if left[:components].max() <= 1e-11 * max(abs(values[0]), np.finfo(float).tiny) or space.shape[1] >= size:
+            return values[:components], space @ inner[:, :components]
+        if space.shape[1] > 12 * width:
+            space, image = space @ inner[:, :4 * width], image @ inner[:, :4 * width]
+        for _ in range(2):
+            rest = rest / np.maximum(np.linalg.norm(rest, axis=0), np.finfo(float).tiny)
+            rest = rest - space @ (space.T @ rest)
+        u, s, _ = np.linalg.svd(rest, full_matrices=False)
+        more = u[:, s > 1e-10][:, :size - space.shape[1]]
+        if not more.shape[1]:
+            return values[:components], space @ inner[:, :components]
+        space, image = np.hstack([space, more]), np.hstack([image, _times(blocks, places, more)])
+
+
+def _sum_of_sizes(blocks: DataFrame, largest: float) -> float:
+    """Sum of the sizes of all eigenvalues: the trace of A sign(A).
+
+    x (3 - x x) / 2 takes A / largest to its sign, in products of blocks.
+    """
+    spark, columns = blocks.sparkSession, "i int, j int, rows int, data binary"
+    parts = blocks.sparkSession.sparkContext.defaultParallelism
+
+    def product(a, b):
+        left = a.map(lambda x: (x[0][1], (x[0][0], x[1])))
+        right = b.map(lambda x: (x[0][0], (x[0][1], x[1])))
+        return left.join(right, parts).map(lambda x: ((x[1][0][0], x[1][1][0]), x[1][0][1] @ x[1][1][1])).reduceByKey(np.add, parts)
+
+    def stored(rdd):
+        rows = rdd.map(lambda x: (x[0][0], x[0][1], len(x[1]), bytearray(np.ascontiguousarray(x[1]).tobytes())))
+        return cut_lineage(spark.createDataFrame(rows, columns)).rdd.map(lambda r: ((r["i"], r["j"]), _block(r)))
+
+    # A little less than 1, for what rounding adds to the largest.
+    scale = (1 - 1e-9) / largest
+    own = blocks.rdd.map(lambda r: ((r["i"], r["j"]), _block(r)))
+    x, before = own.mapValues(lambda v: v * scale), 0.0
+    while True:
+        total = own.join(x, parts).map(lambda v: float((v[1][0] * v[1][1]).sum())).sum()
+        if total - before <= 1e-11 * total:
+            return total
+        before = total
+        cube = product(stored(product(x, x)), x)
+        x = stored(x.join(cube, parts).mapValues(lambda v: 1.5 * v[0] - 0.5 * v[1]))
+
+
+def _series_spectrum(packed: DataFrame, periods: int, components: int):
+    """(leading eigenvalues, sum of the sizes of all, first loadings) by the covariances of all series."""
+    blocks = _covariance_blocks(packed, periods)
+    places, size = {}, 0
+    for row in blocks.where("i = j").select("i", "rows").orderBy("i").collect():
+        places[row["i"]] = slice(size, size + row["rows"])
+        size += row["rows"]
+    if size <= MAX_PATTERN_ROWS:
+        matrix = np.zeros((size, size))
+        for row in blocks.toLocalIterator():
+            matrix[places[row["i"]], places[row["j"]]] = _block(row)
+        values, vectors = np.linalg.eigh((matrix + matrix.T) / 2)
+        order = np.argsort(np.abs(values))[::-1]
+        values, first, total = values[order], vectors[:, order[0]], float(np.abs(values).sum())
+    else:
+        values, vectors = _leading(blocks, places, size, components)
+        first, total = vectors[:, 0], _sum_of_sizes(blocks, abs(values[0])) if values[0] else 0.0
+    if not total:
+        first = np.zeros(size)
+    n_blocks = max(1, -(-size // COVARIANCE_BLOCK))
+    shared = packed.sparkSession.sparkContext.broadcast({i: first[at] for i, at in places.items()})
+
+    def load(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("series")
+        return pd.DataFrame({"component": 1, "series": frame["series"], "loading": shared.value[frame["_own"].iloc[0]]})
+
+    kind = packed.schema["series"].dataType.simpleString()
+    # The blocks of _meet.
+    loadings = packed.select("series", F.pmod(F.hash("series"), F.lit(n_blocks)).alias("_own")).groupBy("_own").applyInPandas(
+        load, f"component int, series {kind}, loading double")
+    return values[:components], total, loadings
+
+
+def _by_patterns(packed: DataFrame, periods: int, components: int):
+    """(leading eigenvalues, sum of the sizes of all, first loadings) by patterns of gaps."""
     products = {}
     for row in _pattern_products(packed, periods).collect():
         products.setdefault(row["pattern"], np.zeros(periods * periods))[row["place"]] = row["total"]
@@ -225,17 +329,39 @@ def gap_pca(panel: DataFrame, t: str, series: str, value: str,
         for frame in batches:
             x = _matrix(frame, periods)[0]
             w = np.array([weights[p][0] for p in frame["pattern"]]).reshape(len(frame), periods)
-            yield pd.DataFrame({"component": 1, series: frame["series"], "loading": (x * w).sum(axis=1)})
+            yield pd.DataFrame({"component": 1, "series": frame["series"], "loading": (x * w).sum(axis=1)})
 
-    kind = cells.schema[series].dataType
-    schema = T.StructType([
-        T.StructField("component", T.IntegerType()), T.StructField(series, kind),
-        T.StructField("loading", T.DoubleType()),
-    ])
-    first = cut_lineage(packed.mapInPandas(load, schema))
-    total = float(np.abs(eigen).sum())
+    kind = packed.schema["series"].dataType.simpleString()
+    return (eigen[:components], float(np.abs(eigen).sum()),
+            packed.mapInPandas(load, f"component int, series {kind}, loading double"))
+
+
+def gap_pca(panel: DataFrame, t: str, series: str, value: str,
+            components: int = 5) -> dict[str, DataFrame]:
+    """PCA of anomalies with missing values, from pairwise covariances.
+
+    The covariance of two series is a form in their values whose coefficients depend
+    on the two patterns of periods alone. So the matrix over all series has the
+    eigenvalues of one of (patterns x periods) rows, made from the sums of products
+    between periods within each pattern, map-side. Where that is the smaller one and has
+    at most ``MAX_PATTERN_ROWS`` rows, the driver decomposes it; else it decomposes the
+    series x series matrix, and beyond as many series that matrix stays in blocks and the
+    leading components come from products with it. Neither series nor patterns are
+    limited. Scores are sums over the values present, standardised.
+    """
+    panel = cut_lineage(panel.select(t, series, value))
+    cells = anomaly(panel, t, value, skip_missing=True, out="_a").select(t, series, "_a").filter(
+        F.col("_a").isNotNull())
+    packed, periods = pack_series(cells, t, series, "_a")
+    packed = cut_lineage(packed.withColumn("pattern", F.array_join(F.array_sort("at"), ",")))
+    rows = packed.select("pattern").distinct().count() * periods
+    if rows <= min(MAX_PATTERN_ROWS, packed.count()):
+        eigen, total, first = _by_patterns(packed, periods, components)
+    else:
+        eigen, total, first = _series_spectrum(packed, periods, components)
+    first = cut_lineage(first.withColumnRenamed("series", series))
     shares = panel.sparkSession.createDataFrame(
-        [(k + 1, float(abs(v)), float(abs(v)) / total) for k, v in enumerate(eigen[:components])],
+        [(k + 1, float(abs(v)), float(abs(v)) / total if total else float("nan")) for k, v in enumerate(eigen)],
         "component int, eigenvalue double, share double")
     scores = same_keys_join(cells, first, [series], "inner").groupBy("component", t).agg(
         F.sum(F.col("_a") * F.col("loading")).alias("score"))
