@@ -39,6 +39,16 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table made by ``written`` that nothing reads any more."""
+    context = df.sparkSession.sparkContext
+    folder = f"{scratch_folder(df.sparkSession).rstrip('/')}/table-"
+    for parent in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        if parent.rsplit("/", 1)[-1].startswith(folder.rsplit("/", 1)[-1]):
+            path = context._jvm.org.apache.hadoop.fs.Path(parent)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def slices(sizes: list[int], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of neighbouring rows whose sizes add up to ``limit`` or hold one row."""
     start, total = 0, 0
