@@ -41,6 +41,19 @@ def test_urls_against_brute_force(spark):
     assert clash.count() == len(urls) + 1
 
 
+def test_the_rules_of_the_query_as_stated(spark):
+    """Written out once more, so that a slip in RULES shows."""
+    expected = {
+        "http://a.org/x": ("org/", "allow"), "http://example.org/es/x": ("example.org/es/", "block"),
+        "http://www.example.org/en/1": ("example.org/en/1", "block"),
+        "http://example.org/en/12": ("example.org/en/1", "block"), "http://example.org/en/2": ("org/", "allow"),
+        "http://b.com/fr/": ("com/fr/", "allow"), "http://b.com/de/": ("com/de/", "block"),
+        "http://b.com/en/": (None, "allow")}
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(expected)], "page_id long, url string")
+    got = judge_urls(pages, spark.createDataFrame(RULES, RULE_SCHEMA)).orderBy("page_id").collect()
+    assert [(r.rule, r.verdict) for r in got] == list(expected.values())
+
+
 def test_rules_that_fit_nothing_and_empty_tables(spark):
     pages = spark.createDataFrame([(1, "http://a.org/x")], "page_id long, url string")
     odd = spark.createDataFrame([(None, "/", "block"), ("", "/", "block"), ("org", "x", "block"),

@@ -6,7 +6,7 @@ from trawlframe.llm.common import table
 from trawlframe.llm.registry import query
 from trawlframe.llm.url_filter import judge_urls
 
-RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "allow"),
+RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
          ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
 SQL = f"""
