@@ -202,8 +202,9 @@ cloud AS (
 
 
 def _residuals(spark, sf_dir):
-    return series.factor_residuals(
-        station_total(spark, sf_dir), fourth_root("total_cpue"), "year", [])
+    # Read for the means and for the residuals.
+    total = cut_lineage(station_total(spark, sf_dir))
+    return series.factor_residuals(total, fourth_root("total_cpue"), "year", [])
 
 
 @query("variogram_cloud", """

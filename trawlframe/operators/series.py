@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trawlframe.functions import column, safe_div, strict_avg, strict_sd
+from trawlframe.operators import tiles
 from trawlframe.operators.panel import minimum_difference
 from trawlframe.session import attach_groups, same_keys_join
 
@@ -100,47 +101,46 @@ def factor_residuals(df: DataFrame, y, factor: str, by: list[str]) -> DataFrame:
 
 # -- pairs of positions -----------------------------------------------------------
 
+def _spots(df: DataFrame, value: str, by: list[str], x: str, y: str) -> DataFrame:
+    """Count, mean and sum of squares about it of the rows at each position of a group."""
+    clean = df.filter(F.col(value).isNotNull() & F.col(x).isNotNull() & F.col(y).isNotNull())
+    return clean.groupBy(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).agg(
+        F.count(F.lit(1)).cast("double").alias("n"), F.avg(value).alias("m"),
+        (F.var_pop(value) * F.count(F.lit(1))).alias("ss"),
+    )
+
+
 def location_pairs(df: DataFrame, value: str, by: list[str], max_dist: float,
-                   x: str = "lon", y: str = "lat") -> DataFrame:
+                   x: str = "lon", y: str = "lat", most: int = tiles.TILE_POSITIONS) -> DataFrame:
     """Pairs of positions up to ``max_dist`` apart within a group.
 
     One row for each pair of distinct positions (and one for each position
     with itself, if it has several rows): the distance, the number of row
     pairs and their mean half squared difference. Rows at one position are
-    summed first, which gives the same as listing the row pairs, and the
-    plane is tiled by the limit so that only neighbouring tiles meet.
+    summed first, which gives the same as listing the row pairs. Positions lie in squares as
+    wide as the limit, quartered until none has more than ``most`` of them,
+    and only leaves that reach each other meet.
     """
-    clean = df.filter(F.col(value).isNotNull() & F.col(x).isNotNull() & F.col(y).isNotNull())
-    spots = clean.groupBy(*by, F.col(x).alias("x"), F.col(y).alias("y")).agg(
-        F.count(F.lit(1)).cast("double").alias("_n"), F.avg(value).alias("_m"),
-        (F.var_pop(value) * F.count(F.lit(1))).alias("_ss"),
-    ).withColumns({"_tx": F.floor(F.col("x") / max_dist), "_ty": F.floor(F.col("y") / max_dist)})
-    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    left = spots.withColumn("_i", F.explode(around)).withColumn("_j", F.explode(around)).select(
-        *by, (F.col("_tx") + F.col("_i")).alias("_tx"), (F.col("_ty") + F.col("_j")).alias("_ty"),
-        *[F.col(c).alias(f"{c}_a") for c in ("x", "y", "_n", "_m", "_ss")],
-    )
-    pairs = same_keys_join(left, spots, [*by, "_tx", "_ty"], "inner")
-    later = (F.col("x_a") < F.col("x")) | ((F.col("x_a") == F.col("x")) & (F.col("y_a") < F.col("y")))
-    distance = F.sqrt(F.pow(F.col("x") - F.col("x_a"), 2) + F.pow(F.col("y") - F.col("y_a"), 2))
-    gap = F.col("_m") - F.col("_m_a")
-    # Sum over row pairs of (a - b)^2 / 2 from the two groups' moments.
-    halves = (F.col("_n") * F.col("_ss_a") + F.col("_n_a") * F.col("_ss")
-              + F.col("_n") * F.col("_n_a") * gap * gap) / 2.0
-    apart = pairs.filter(later).select(
-        *by, "x_a", "y_a", F.col("x").alias("x_b"), F.col("y").alias("y_b"),
-        distance.alias("distance"), (F.col("_n") * F.col("_n_a")).alias("n_pairs"),
-        halves.alias("_sum"),
-    ).filter(F.col("distance") <= max_dist)
-    same = spots.filter(F.col("_n") > 1).select(
-        *by, F.col("x").alias("x_a"), F.col("y").alias("y_a"), F.col("x").alias("x_b"),
-        F.col("y").alias("y_b"), F.lit(0.0).alias("distance"),
-        (F.col("_n") * (F.col("_n") - 1) / 2.0).alias("n_pairs"),
-        (F.col("_n") * F.col("_ss") / 2.0).alias("_sum"),
-    )
-    return apart.unionByName(same).withColumns({
-        "semivariance": F.col("_sum") / F.col("n_pairs"), "n_pairs": F.col("n_pairs").cast("bigint"),
-    }).drop("_sum")
+    rows = tiles.paired_tiles(_spots(df, value, by, x, y), by, max_dist, most=most).rows
+    met = rows.select(*by, "own", F.explode("left").alias("p"), "right").select(
+        *by, "own", "p", F.explode("right").alias("q"))
+    later = (F.col("p.x") < F.col("q.x")) | ((F.col("p.x") == F.col("q.x")) & (F.col("p.y") < F.col("q.y")))
+    met = met.filter(~F.col("own") | later | (F.col("p") == F.col("q"))).select(
+        *by, F.when(later, F.col("p")).otherwise(F.col("q")).alias("a"),
+        F.when(later, F.col("q")).otherwise(F.col("p")).alias("b"))
+    same = (F.col("a.x") == F.col("b.x")) & (F.col("a.y") == F.col("b.y"))
+    distance = F.sqrt(F.pow(F.col("b.x") - F.col("a.x"), 2) + F.pow(F.col("b.y") - F.col("a.y"), 2))
+    gap = F.col("b.m") - F.col("a.m")
+    # Sum over row pairs of (a - b)^2 / 2 from the two positions' moments.
+    halves = (F.col("b.n") * F.col("a.ss") + F.col("a.n") * F.col("b.ss")
+              + F.col("b.n") * F.col("a.n") * gap * gap) / 2.0
+    n_pairs = F.when(same, F.col("a.n") * (F.col("a.n") - 1) / 2.0).otherwise(F.col("a.n") * F.col("b.n"))
+    return met.select(
+        *by, F.col("a.x").alias("x_a"), F.col("a.y").alias("y_a"), F.col("b.x").alias("x_b"),
+        F.col("b.y").alias("y_b"), distance.alias("distance"), n_pairs.cast("bigint").alias("n_pairs"),
+        F.when(same, F.col("a.n") * F.col("a.ss") / 2.0).otherwise(halves).alias("_sum"),
+    ).filter((F.col("distance") <= max_dist) & (F.col("n_pairs") > 0)).withColumn(
+        "semivariance", F.col("_sum") / F.col("n_pairs")).drop("_sum")
 
 
 def variogram_cloud(residuals: DataFrame, value: str, by: list[str], max_dist: float,
@@ -151,16 +151,23 @@ def variogram_cloud(residuals: DataFrame, value: str, by: list[str], max_dist: f
 
 
 def variogram_binned(residuals: DataFrame, value: str, by: list[str], max_dist: float,
-                     bins: int = 10, x: str = "lon", y: str = "lat") -> DataFrame:
-    """Mean half squared difference and distance in equal distance classes."""
+                     bins: int = 10, x: str = "lon", y: str = "lat",
+                     most: int = tiles.TILE_POSITIONS) -> DataFrame:
+    """Mean half squared difference and distance in equal distance classes.
+
+    No pairs are listed. Squares of positions are opened in pairs, the crowded ones
+    level by level; a pair of squares whose distances all lie in one class adds its sum from
+    the squares' counts, means, sums of squares and moments of place (the distances
+    to 1e-10), others are opened, and at the leaves the pairs are summed within
+    the tasks, so that only sums by group and class are shuffled.
+    """
     width = max_dist / bins
-    cloud = variogram_cloud(residuals, value, by, max_dist, x, y)
-    n = F.col("n_pairs")
-    number = F.greatest(F.ceil(F.round(F.col("distance") / width, 9)), F.lit(1)).cast("int")
-    return cloud.groupBy(*by, number.alias("bin")).agg(
-        F.sum("n_pairs").alias("n_pairs"),
-        (F.sum(n * F.col("distance")) / F.sum("n_pairs")).alias("distance"),
-        (F.sum(n * F.col("semivariance")) / F.sum("n_pairs")).alias("semivariance"),
+    paired = tiles.paired_tiles(_spots(residuals, value, by, x, y), by, max_dist, width, most)
+    sums = tiles.binned_sums(paired, max_dist, width)
+    return sums.select(
+        *by, "bin", F.round("pairs").cast("bigint").alias("n_pairs"),
+        (F.col("distances") / F.col("pairs")).alias("distance"),
+        (F.col("halves") / F.col("pairs")).alias("semivariance"),
     )
 
 
