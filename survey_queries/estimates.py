@@ -297,6 +297,13 @@ def abundance_bootstrap_poisson(spark, sf_dir):
         frame, estimate.abundance_naive(frame), REPS, SEED, "poisson"))
 
 
+@query("abundance_bootstrap_multinomial")
+def abundance_bootstrap_multinomial(spark, sf_dir):
+    frame = cpue_frame(spark, sf_dir)
+    return rounded(bootstrap.abundance_bootstrap(
+        frame, estimate.abundance_naive(frame), REPS, SEED, "multinomial"))
+
+
 @query("cpue_bootstrap", BOOT_CPUE_SQL, INDEX_CTE)
 def cpue_bootstrap(spark, sf_dir):
     frame = cpue_frame(spark, sf_dir)

@@ -1,15 +1,17 @@
 """Bootstrap limits: stations resampled within (year, district, class).
 
 ``method='index'`` is the plain bootstrap: n draws with replacement from the n
-stations of a group, for each replicate. ``method='poisson'`` gives each
-station an independent Poisson(1) count in each replicate instead. It is not
-the same resampling (the number of draws varies), but rows are weighted where
-they lie: no row numbers, no join, and only (group, replicate) sums are
-shuffled. Use it for very large groups.
-
-All draws are hashes, so a rerun, a lost executor or another partitioning
-gives the same ones. A row has two md5 numbers a and b; its draw in replicate
-r is (a + r b) mod p. The rows' numbers are independent, so each replicate is
+stations of a group, for each replicate, looked up by position.
+``method='multinomial'`` has the same distribution without a lookup: a group's rows
+lie in slices of bounded size, the n draws are split over the slices by binomials down a
+binary tree, and each slice draws its share from its own rows. Only sums are
+shuffled, so this is the form for very large groups. ``method='poisson'`` gives each
+station an independent Poisson(1) count in each replicate instead; it is not
+the same resampling (the number of draws varies), but needs no order of the rows.
+
+All draws follow from hashes, so a rerun, a lost executor or another partitioning
+gives the same ones. In the plain and the Poisson form a row has two md5 numbers a and b; its
+draw in replicate r is (a + r b) mod p. The rows' numbers are independent, so each replicate is
 a plain resample, and any two replicates are independent too; md5 is taken
 once for a row, not once for a draw.
 """
@@ -17,7 +19,12 @@ once for a row, not once for a draw.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import partial
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,12 +49,17 @@ def hash_numbers(*parts) -> tuple[Column, Column]:
     )
 
 
-def _replicated(rows: DataFrame, reps: int, seed: int, by: list[str], row: str) -> DataFrame:
-    """Each row once for every replicate, with its random number ``_x``."""
+def _hashed(rows: DataFrame, reps: int, seed: int, by: list[str], row: str) -> DataFrame:
+    """Each row once for every ROUND replicates (``_round``), with its numbers ``_a`` and ``_b``."""
     last = (reps - 1) // ROUND
     many = rows.withColumn("_round", F.explode(F.sequence(F.lit(0), F.lit(last))))
     a, b = hash_numbers(seed, *[F.col(c) for c in by], F.col(row), F.col("_round"))
-    many = many.withColumns({"_a": a, "_b": b}).withColumn(
+    return many.withColumns({"_a": a, "_b": b})
+
+
+def _replicated(rows: DataFrame, reps: int, seed: int, by: list[str], row: str) -> DataFrame:
+    """Each row once for every replicate, with its random number ``_x``."""
+    many = _hashed(rows, reps, seed, by, row).withColumn(
         "_r", F.explode(F.sequence(F.lit(0), F.least(F.lit(ROUND), reps - F.col("_round") * ROUND) - 1)))
     return many.withColumns({
         "rep": (F.col("_round") * ROUND + F.col("_r") + 1).cast("int"),
@@ -66,13 +78,34 @@ def resampled_means(cpue: DataFrame, reps: int = 1000, seed: int = 1, by=GROUP,
     by = list(by)
     rows = cpue.select(*by, station, "cpue", "total_area")
     if method == "poisson":
-        weighted = _replicated(rows, reps, seed, by, station).withColumn("_k", _poisson(F.col("_x")))
-        return weighted.groupBy(*by, "rep").agg(
-            safe_div(F.sum(F.col("_k") * F.col("cpue")), F.sum("_k")).alias("mean_cpue"),
-            safe_div(F.sum(F.col("_k") * F.col("total_area")), F.sum("_k")).alias("mean_area"),
-        )
+        sums = _hashed(rows, reps, seed, by, station).select(*by, "_round", "_a", "_b", "cpue", "total_area").mapInArrow(
+            partial(_poisson_sums, by=by, reps=reps), _sums_schema(rows, by, "start int, "))
+        totals = _total(sums.select(*by, "start", F.posexplode(F.arrays_zip("k", "cpue", "area")).alias("i", "s"),
+                                    "cpues", "areas"), by)
+        # A mean is NULL where all values of the group are.
+        return totals.select(
+            *by, "rep", F.when(F.col("cpues") > 0, safe_div("cpue", "k")).alias("mean_cpue"),
+            F.when(F.col("areas") > 0, safe_div("area", "k")).alias("mean_area"))
+    if method == "multinomial":
+        order = [F.col(station), F.col("cpue"), F.col("total_area")]
+        placed = running_totals(rows, by, order, {"_pos": F.lit(1).cast("bigint")})
+        sliced = placed.select(
+            *by, F.xxhash64(*by).alias("_g") if by else F.lit(0).cast("bigint").alias("_g"),
+            F.expr(f"(_pos - 1) div {SLICE_ROWS}").alias("_slice"), F.col("_pos").alias("_at"),
+            F.col("_pos_total").alias("_n"), F.col("cpue").cast("double"), F.col("total_area").cast("double"))
+        rows_of_slice = SLICE_ROWS
+
+        def work(own: pd.DataFrame) -> pd.DataFrame:
+            return _multinomial_sums(own, by, reps, seed, rows_of_slice)
+
+        sums = sliced.groupBy(*by, "_slice").applyInPandas(work, _sums_schema(rows, by, ""))
+        totals = _total(sums.select(*by, F.lit(1).alias("start"), F.posexplode(F.arrays_zip("k", "cpue", "area")).alias("i", "s"),
+                                    "cpues", "areas"), by)
+        # One missing value among the draws makes the mean missing.
+        return totals.select(*by, "rep", *[F.nanvl(safe_div(v, "k"), F.lit(None)).alias(f"mean_{v}")
+                                           for v in ("cpue", "area")])
     if method != "index":
-        raise ValueError("method is 'index' or 'poisson'")
+        raise ValueError("method is 'index', 'multinomial' or 'poisson'")
     # One position for each row of the table, group after group. A draw is then
     # a single number to look up, and a group is known by its first position.
     order = [*[F.col(c) for c in by], F.col(station), F.col("cpue")]
@@ -99,16 +132,108 @@ def resampled_means(cpue: DataFrame, reps: int = 1000, seed: int = 1, by=GROUP,
 
 # A Poisson(1) count beyond this has less room than one step of the hash.
 MOST = 18
+# Draws a task holds at once, and groups whose sums it holds before it hands them on.
+DRAWS_AT_ONCE, GROUPS_AT_ONCE = 1_000_000, 2000
+# Rows of one slice of a group.
+SLICE_ROWS = 8192
+
+
+def _sums_schema(rows: DataFrame, by: list[str], more: str) -> str:
+    kinds = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in by)
+    return f"{kinds}{more}k array<double>, cpue array<double>, area array<double>, cpues long, areas long"
+
+
+def _total(sums: DataFrame, by: list[str]) -> DataFrame:
+    """The tasks' sums of each replicate added up."""
+    return sums.groupBy(*by, (F.col("start") + F.col("i")).cast("int").alias("rep")).agg(
+        *[F.sum(f"s.{c}").alias(c) for c in ("k", "cpue", "area")], F.sum("cpues").alias("cpues"),
+        F.sum("areas").alias("areas"))
+
+
+def _poisson_sums(batches: Iterator[pa.RecordBatch], by: list[str], reps: int) -> Iterator[pa.RecordBatch]:
+    """Poisson(1) weights of a task's rows in every replicate, summed by group as arrays.
+
+    A weight is the number of steps of the distribution function at or below the row's
+    hash, so it does not depend on where the row lies.
+    """
+    steps = np.array([sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(MOST)])
+    held: dict[tuple, list] = {}
+
+    def told() -> pa.RecordBatch:
+        keys, values = list(held), list(held.values())
+        columns = [pa.array([k[j] for k in keys], kinds[j]) for j in range(len(by))]
+        columns += [pa.array([k[-1] * ROUND + 1 for k in keys], pa.int32())]
+        columns += [pa.array([v[0][c].tolist() for v in values], pa.list_(pa.float64())) for c in range(3)]
+        columns += [pa.array([v[c] for v in values], pa.int64()) for c in (1, 2)]
+        held.clear()
+        return pa.RecordBatch.from_arrays(columns, [*by, "start", "k", "cpue", "area", "cpues", "areas"])
+
+    for batch in batches:
+        kinds = [batch.schema.field(c).type for c in by]
+        if not batch.num_rows:
+            continue
+        keys = list(zip(*[batch.column(c).to_pylist() for c in (*by, "_round")]))
+        known: dict[tuple, int] = {}
+        code = np.array([known.setdefault(k, len(known)) for k in keys])
+        order = np.argsort(code, kind="stable")
+        names = list(known)
+        a, b = (np.asarray(batch.column(c), np.int64)[order] for c in ("_a", "_b"))
+        values = [np.asarray(batch.column(c).cast(pa.float64()).fill_null(0.0))[order] for c in ("cpue", "total_area")]
+        there = [~np.asarray(batch.column(c).is_null())[order] for c in ("cpue", "total_area")]
+        code = code[order]
+        for first in range(0, len(code), max(1, DRAWS_AT_ONCE // min(reps, ROUND))):
+            rows = slice(first, first + max(1, DRAWS_AT_ONCE // min(reps, ROUND)))
+            x = (a[rows, None] + np.arange(min(reps, ROUND)) * b[rows, None]) % PRIME
+            k = np.searchsorted(steps, x / float(PRIME), side="right").astype(float)
+            starts = np.flatnonzero(np.diff(code[rows], prepend=-1))
+            parts = [np.add.reduceat(w, starts, axis=0) for w in
+                     (k, k * values[0][rows, None], k * values[1][rows, None])]
+            found = [np.add.reduceat(t[rows].astype(np.int64), starts) for t in there]
+            for i, c in enumerate(code[rows][starts]):
+                own = held.setdefault(names[c], [np.zeros((3, min(reps - names[c][-1] * ROUND, ROUND))), 0, 0])
+                own[0] += [p[i, :own[0].shape[1]] for p in parts]
+                own[1] += int(found[0][i])
+                own[2] += int(found[1][i])
+        if len(held) > GROUPS_AT_ONCE:
+            yield told()
+    if held:
+        yield told()
+
+
+def _share_of_draws(n: int, own: int, reps: int, seeds: list[int], slice_rows: int) -> np.ndarray:
+    """How many of a group's n draws fall in slice ``own`` in each replicate.
+
+    Slices are the leaves of a binary tree. At every node from the top to the leaf the draws
+    are split by a binomial seeded by the node, so all slices of a node see the same split.
+    """
+    low, high = 0, -(-n // slice_rows)
+    draws = np.full(reps, n, np.int64)
+    while high - low > 1:
+        middle = (low + high) // 2
+        left, rows = (middle - low) * slice_rows, min(high * slice_rows, n) - low * slice_rows
+        split = np.random.Generator(np.random.PCG64([*seeds, low, high])).binomial(draws, left / rows)
+        low, high, draws = (low, middle, split) if own < middle else (middle, high, draws - split)
+    return draws
 
 
-def _poisson(hashed: Column, most: int = MOST) -> Column:
-    """A Poisson(1) count from a uniform hash by its distribution function."""
-    u = hashed.cast("double") / float(PRIME)
-    count = F.lit(most)
-    for k in reversed(range(most)):
-        below = sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))
-        count = F.when(u < below, F.lit(k)).otherwise(count)
-    return count
+def _multinomial_sums(rows: pd.DataFrame, by: list[str], reps: int, seed: int, slice_rows: int) -> pd.DataFrame:
+    """One slice's draws of every replicate, summed."""
+    rows = rows.sort_values("_at")
+    own, n = int(rows["_slice"].iloc[0]), int(rows["_n"].iloc[0])
+    seeds = [seed, int(rows["_g"].iloc[0]) % 2 ** 63]
+    draws = _share_of_draws(n, own, reps, seeds, slice_rows)
+    cpue, area = rows["cpue"].to_numpy(float), rows["total_area"].to_numpy(float)
+    generator = np.random.Generator(np.random.PCG64([*seeds, own, own + 1, 1]))
+    sums = np.zeros((2, reps))
+    step = max(1, DRAWS_AT_ONCE // len(rows))
+    for first in range(0, reps, step):
+        part = draws[first:first + step]
+        pick = generator.integers(0, len(rows), part.sum())
+        rep = np.repeat(np.arange(len(part)), part)
+        for s, values in zip(sums, (cpue, area)):
+            s[first:first + step] = np.bincount(rep, values[pick], len(part))
+    return pd.DataFrame({**{c: [rows[c].iloc[0]] for c in by}, "k": [draws.astype(float)], "cpue": [sums[0]],
+                         "area": [sums[1]], "cpues": [len(rows)], "areas": [len(rows)]})
 
 
 def _limits(means: DataFrame, value: Column, by) -> DataFrame:
