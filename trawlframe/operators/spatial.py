@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import add
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trawlframe.functions import (
@@ -13,7 +13,7 @@ from trawlframe.functions import (
     zero_to_null,
 )
 from trawlframe.operators.ordered import running_totals
-from trawlframe.session import attach_single, same_keys_join
+from trawlframe.session import attach_single, cut_lineage, same_keys_join
 
 
 # -- area holding 95 % of the catch --------------------------------------------
@@ -44,7 +44,7 @@ def d95_area(members: DataFrame, by: list[str], area: float = STATION_AREA_NM2)
 
 # -- centre, inertia, axes -------------------------------------------------------
 
-# Squares along the larger extent of the data, and the part of a sum's terms that is rounding.
+# Squares from a power of two to the next, and the part of a sum's terms that is rounding.
 SQUARES = 1024
 ROUNDING = 1e-15
 
@@ -74,6 +74,12 @@ def center_of_gravity(df: DataFrame, x: str, y: str, z: str | None, w: str | Non
     return _centre(_points(df, x, y, z, w, by), by)
 
 
+def _middle(value: Column) -> Column:
+    """Middle of the value's interval, a SQUARES-th of the power of two below it wide; 0 for 0."""
+    width = F.pow(F.lit(2.0), F.floor(F.log2(F.abs(value)))) / SQUARES
+    return F.when(value == 0, F.lit(0.0)).otherwise((F.floor(value / width) + 0.5) * width)
+
+
 def _moments(df: DataFrame, x, y, z, w, by) -> DataFrame:
     """Centre, and second moments about it divided by the total weight.
 
@@ -81,23 +87,21 @@ def _moments(df: DataFrame, x, y, z, w, by) -> DataFrame:
     longitudes near -180. The points are summed about the middle of a square
     first, and the squares' sums (one row for each occupied square) are then
     moved to the centre of their group, which is joined back to the squares
-    alone. Squares are a small part of the data's extent, so the unit of x and
-    y does not matter. A moment that only rounding keeps from zero, measured
-    by the sum of its terms' sizes, is zero.
+    alone. A square's sides are a 1024th of the power of two below the
+    coordinate, so they follow from the point itself, in any unit, and the data are read
+    once; what its sums lose is no more than what the coordinates' own digits hold
+    back. A moment that only rounding keeps from zero, measured by the sum of its
+    terms' sizes, is zero.
     """
     points = _points(df, x, y, z, w, by)
-    extent = points.agg(F.greatest(F.max("_x") - F.min("_x"), F.max("_y") - F.min("_y"))).first()[0]
-    width = F.lit(float(extent or SQUARES) / SQUARES)
     tx, ty = F.col("_tx"), F.col("_ty")
-    near = points.withColumns({
-        "_tx": (F.floor(F.col("_x") / width) + 0.5) * width,
-        "_ty": (F.floor(F.col("_y") / width) + 0.5) * width})
+    near = points.withColumns({"_tx": _middle(F.col("_x")), "_ty": _middle(F.col("_y"))})
     dx, dy, q = F.col("_x") - tx, F.col("_y") - ty, F.col("_q")
-    squares = near.groupBy(*by, "_tx", "_ty").agg(
+    squares = cut_lineage(near.groupBy(*by, "_tx", "_ty").agg(
         F.sum(q).alias("_n"), F.sum(q * dx).alias("_dx"), F.sum(q * dy).alias("_dy"),
         F.sum(q * dx * dx).alias("_dxx"), F.sum(q * dy * dy).alias("_dyy"),
         F.sum(q * dx * dy).alias("_dxy"),
-    )
+    ))
     n = F.col("_n")
     centres = squares.groupBy(*by).agg(
         safe_div(F.sum(n * tx + F.col("_dx")), F.sum(n)).alias("xcg"),
