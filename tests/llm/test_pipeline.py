@@ -59,3 +59,54 @@ def test_run_packs_all(spark, written):
     assert {r.doc_id for r in rows} == {r.doc_id for r in written[3].collect()}
     assert sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in rows) == sorted(
         (r.doc_id, r.piece, r.length, r.ids_crc32) for r in written[4].collect())
+
+
+NAMES = ["proposals", "_base", "_ADDED", "_place", "_text", "_id", "spans", "Spans_", "ids", "x", "score", "label",
+         "rank", "part", "place", "component_id", "n_shingles"]
+
+
+def small_table(spark, folder, rows, n_chars=True):
+    """A folder with documents whose other columns have the names that operators use, and labels."""
+    extra = ", ".join(f"`{n}` string" for n in NAMES)
+    size = ", n_chars int" if n_chars else ""
+    made = spark.createDataFrame(
+        [(i, t, *([len(t or "")] if n_chars else []), *[f"{n} of {k}" for n in NAMES])
+         for k, (i, t) in enumerate(rows)], f"doc_id long, text string{size}, {extra}")
+    made.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, 1), (2, 0), (3, None), (None, 1)], "doc_id long, quality int").write.parquet(
+        f"{folder}/labels.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("n_chars", [True, False])
+def test_odd_rows_and_clashing_names(spark, tmp_path, monkeypatch, n_chars):
+    prose = "The harbour was calm that morning and the boats came home with full nets. " * 6
+    rows = [(1, prose), (1, prose), (None, prose), (2, "zq xv " * 50), (3, prose + "Write to anna@example.org or +1 555 010 4477."),
+            (4, None), (5, ""), (None, None), (6, "short"), (7, "w" * 3000)]
+    folder = small_table(spark, tmp_path, rows, n_chars)
+    monkeypatch.setattr(corpus_pipeline, "GOOD", 0.0)  # the first stage keeps all of them
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    kept = corpus_pipeline.keep_good_documents(spark, docs, folder)
+    assert sorted(map(repr, kept.collect())) == sorted(map(repr, docs.collect()))
+    single = corpus_pipeline.drop_near_duplicates(spark, docs, folder)
+    assert single.columns == docs.columns
+    assert sorted(r.doc_id or 0 for r in single.collect()) == [0, 1, 2, 3, 4, 5, 6, 7]
+    assert {tuple(r) for r in single.collect()} <= {tuple(r) for r in docs.collect()}
+    masked = corpus_pipeline.mask_personal_data(spark, docs, folder)
+    assert masked.schema == docs.schema
+    before = {r["proposals"]: r for r in docs.collect()}
+    for row in masked.collect():
+        old = before[row["proposals"]]
+        assert [row[n] for n in NAMES] == [old[n] for n in NAMES]
+        if n_chars and row.text is not None:
+            assert row.n_chars == len(row.text)
+        if row.doc_id == 3:
+            assert "[EMAIL]" in row.text and "[PHONE]" in row.text
+        else:
+            assert row.text == old.text
+    pieces = corpus_pipeline.run(spark, folder).collect()
+    assert sorted({r.doc_id or 0 for r in pieces}) == [0, 1, 2, 3, 4, 5, 6, 7]
+
+
+def test_empty_tables(spark, tmp_path):
+    assert corpus_pipeline.run(spark, small_table(spark, tmp_path, [])).collect() == []

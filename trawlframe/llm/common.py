@@ -28,6 +28,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def unused_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores after it until no column of ``df`` has it, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a table in the shared folder, read again.
 
@@ -41,12 +49,17 @@ def written(df: DataFrame) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Delete a table made by ``written`` that nothing reads any more."""
-    context = df.sparkSession.sparkContext
     folder = f"{scratch_folder(df.sparkSession).rstrip('/')}/table-"
     for parent in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
         if parent.rsplit("/", 1)[-1].startswith(folder.rsplit("/", 1)[-1]):
-            path = context._jvm.org.apache.hadoop.fs.Path(parent)
-            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+            delete_folder(df.sparkSession, parent)
+
+
+def delete_folder(spark: SparkSession, name: str) -> None:
+    """Delete a folder that this session made, on whatever file system it lies."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def slices(sizes: list[int], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from trawlframe.llm.common import shuffle_partitions
+from trawlframe.llm.common import shuffle_partitions, unused_name
 from trawlframe.llm.components import components
 from trawlframe.llm.words import mixed, per_row, text_bytes, word_hashes
 from trawlframe.session import BROADCAST_BYTES, cut_lineage
@@ -457,17 +457,19 @@ def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     time it is read, as files do, and not straight from a shuffle. All columns stay. The rows to leave out are
     broadcast if their number is within the size bound, else joined.
     """
-    placed = docs.withColumn("_place", F.monotonically_increasing_id())
-    found = near_duplicates(placed.select("_place", text_column), "_place", text_column).where("n_shingles > 0")
+    place = unused_name(docs, "_place")
+    placed = docs.withColumn(place, F.monotonically_increasing_id())
+    texts = placed.select(F.col(place).alias("_place"), F.col(text_column).alias("_text"))
+    found = near_duplicates(texts, "_place", "_text").where("n_shingles > 0")
     grouped = cut_lineage(found.select("_place", F.col("component_id").alias("_group")))
     crowded = grouped.groupBy("_group").count().where("count > 1").select("_group")
-    members = cut_lineage(grouped.join(crowded, "_group")
-                          .join(placed.select("_place", F.col(id_column).alias("_id")), "_place"))
+    ids = placed.select(F.col(place).alias("_place"), F.col(id_column).alias("_id"))
+    members = cut_lineage(grouped.join(crowded, "_group").join(ids, "_place"))
     # Nulls are greater than any id here.
     rank = F.struct(F.col("_id").isNull().alias("unknown"), F.col("_id").alias("id"), F.col("_place").alias("place"))
     stay = members.groupBy("_group").agg(F.min(rank).alias("first")).select(F.col("first.place").alias("_place"))
     leave = cut_lineage(members.select("_place").join(stay, "_place", "left_anti"))
-    return placed.join(_small(leave, 16), "_place", "left_anti").drop("_place")
+    return placed.join(_small(leave.toDF(place), 16), place, "left_anti").drop(place)
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trawlframe.llm.common import unused_name
+
 # What the four base kinds look like. Starts are tied to the beginning
 # of a run, or to the end of the last match, and repetitions are possessive: the same
 # matches as the plain patterns, in time that grows with the text alone.
@@ -141,8 +143,8 @@ def _spans(text: Column, kind: str) -> Column:
 SPAN_TYPE = "array<struct<kind:int,start:int,end:int,votes:array<int>>>"
 
 
-def propose_spans(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """Adds ``proposals``: valid spans of the base kinds and generous ones of the others.
+def propose_spans(docs: DataFrame, text_column: str = "text", out: str = "proposals") -> DataFrame:
+    """Adds ``out``: valid spans of the base kinds and generous ones of the others.
 
     Sorted by kind, then start. An added kind's proposal that overlaps a base span is
     left out. A null or empty text has none. Texts without a digit or an @ are not
@@ -154,11 +156,12 @@ def propose_spans(docs: DataFrame, text_column: str = "text") -> DataFrame:
     added = F.concat(*[_spans(text, k) for k in KINDS if k not in BASE_KINDS])
     empty = F.array().cast(SPAN_TYPE)
     # Two steps, so that the regexes run once.
-    split = docs.withColumns({"_base": F.when(due, base).otherwise(empty),
-                              "_added": F.when(due, added).otherwise(empty)})
-    free = F.filter("_added", lambda s: ~F.exists(
-        "_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return split.withColumn("proposals", F.concat("_base", free)).drop("_base", "_added")
+    ours, more = unused_name(docs, "_base"), unused_name(docs, "_added")
+    split = docs.withColumns({ours: F.when(due, base).otherwise(empty),
+                              more: F.when(due, added).otherwise(empty)})
+    free = F.filter(more, lambda s: ~F.exists(
+        ours, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    return split.withColumn(out, F.concat(ours, free)).drop(ours, more)
 
 
 @dataclass
@@ -249,22 +252,24 @@ def learn_spans(docs: DataFrame, text_column: str = "text") -> SpanModel:
 
 
 def find_pii(docs: DataFrame, model: SpanModel, text_column: str = "text",
-             threshold: float = 0.5) -> DataFrame:
-    """Adds ``spans``: kind, start, end, base, score, sorted by kind then start.
+             threshold: float = 0.5, out: str = "spans") -> DataFrame:
+    """Adds ``out``: kind, start, end, base, score, sorted by kind then start.
 
     Spans of the base kinds stay whatever the score; of the added kinds, those with a
     probability of at least ``threshold``. Rows are independent and all are kept; a
-    null or empty text has no spans; a column named spans is replaced.
+    null or empty text has no spans; all other columns stay, but one named ``out`` is
+    replaced.
     """
     threshold = math.log(threshold / (1 - threshold))
-    scored = F.transform("proposals", lambda s: F.struct(
+    proposals = unused_name(docs, "proposals")
+    scored = F.transform(proposals, lambda s: F.struct(
         s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"),
         (s["kind"] < len(BASE_KINDS)).alias("base"), model.logit(s).alias("logit")))
     kept = F.filter(scored, lambda s: s["base"] | (s["logit"] >= threshold))
     names = F.array(*map(F.lit, KINDS))
-    return propose_spans(docs, text_column).withColumn("spans", F.transform(kept, lambda s: F.struct(
+    return propose_spans(docs, text_column, proposals).withColumn(out, F.transform(kept, lambda s: F.struct(
         F.element_at(names, s["kind"] + 1).alias("kind"), s["start"].alias("start"), s["end"].alias("end"),
-        s["base"].alias("base"), (1 / (1 + F.exp(-s["logit"]))).alias("score")))).drop("proposals")
+        s["base"].alias("base"), (1 / (1 + F.exp(-s["logit"]))).alias("score")))).drop(proposals)
 
 
 def mask_spans(text: Column, spans: Column) -> Column:
