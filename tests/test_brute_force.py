@@ -228,6 +228,24 @@ def test_spatial_pca_keeps_groups_apart(spark):
     assert out["shares"].filter("component = 1").select(F.round("share", 9)).distinct().count() == 1
 
 
+def test_spatial_pca_of_mixed_groups_in_small_batches(spark):
+    """Groups of one batch stay apart, batches of one group add up; NULL is a group."""
+    df, _ = panel_frame(spark, gaps=0.0, t=6, s=40)
+    copies = [df.withColumns({"g": F.lit(g).cast("int"), "v": F.col("v") + 1e4 * (g or 0)}) for g in (1, 2, None)]
+    both = copies[0].unionByName(copies[1]).unionByName(copies[2])
+    alone = pca.spatial_pca(df, "t", "s", "v")
+    want = [r.pc for r in alone["scores"].orderBy("t").collect()]
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "7")
+    try:
+        rows = pca.spatial_pca(both, "t", "s", "v", ["g"])["scores"].collect()
+    finally:
+        spark.conf.set(size, before)
+    for g in (1, 2, None):
+        assert [r.pc for r in sorted(rows, key=lambda r: r.t) if r.g == g] == pytest.approx(want, abs=1e-7)
+
+
 def test_gap_pca_equals_pairwise_covariances(spark):
     df, values = panel_frame(spark, t=15, s=8)
     frame = pd.DataFrame(values)

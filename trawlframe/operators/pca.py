@@ -2,9 +2,9 @@
 
 With s series and T periods (T small), the s x s covariance matrix is never
 formed: its non-zero eigenvalues are those of the T x T matrix of products
-between periods. Each series contributes its T x T products, summed map-side;
-the eigenvectors of the small matrix are taken in one task for each group, and
-the loadings and scores are distributed sums again.
+between periods, which one pass over the series sums within the tasks. The
+eigenvectors of the small matrix are taken in one task for each group, the scores
+follow from the same sums, and the loadings are distributed sums again.
 """
 
 from __future__ import annotations
@@ -26,47 +26,80 @@ MAX_PATTERN_ROWS = 8192
 COVARIANCE_BLOCK = 512
 
 
-def _gram(cells: DataFrame, by: list[str], t: str, series: str) -> DataFrame:
-    """Products between periods of the series' deviations from their own means."""
-    one = cells.groupBy(*by, series).agg(
-        F.sort_array(F.collect_list(F.struct(F.col(t).alias("t"), F.col("_a").alias("a")))).alias("_row"),
-        F.avg("_a").alias("_m"),
-    )
-    left = one.select(*by, "_m", "_row", F.explode("_row").alias("_l"))
-    both = left.select(*by, "_m", "_l", F.explode("_row").alias("_r")).filter("_l.t <= _r.t")
-    return both.groupBy(*by, F.col("_l.t").alias("_t1"), F.col("_r.t").alias("_t2")).agg(
-        F.sum((F.col("_l.a") - F.col("_m")) * (F.col("_r.a") - F.col("_m"))).alias("_g"))
+def _products(cells: DataFrame, by: list[str], t: str, series: str) -> DataFrame:
+    """For each two periods, sums over the series of two products of their values:
 
+    ``_g`` of the deviations from the series' own mean, ``_h`` of the value in the first
+    period and the deviation in the second. A task multiplies the series of one Arrow
+    batch at a time as a matrix, so that what is shuffled grows with the batches, not
+    with series x periods squared. Missing values (NULL or NaN) take no part.
+    """
+    known = cells.filter(F.col("_a").isNotNull() & F.col(t).isNotNull())
+    packed = known.groupBy(*by, series).agg(
+        F.collect_list(F.struct(F.col(t).alias("t"), F.col("_a").alias("a"))).alias("_row"),
+    ).select(*by, F.col("_row.t").alias("_t"), F.col("_row.a").alias("_a"))
+    schema = T.StructType([
+        *[cells.schema[c] for c in by],
+        *[T.StructField(c, cells.schema[t].dataType) for c in ("_t1", "_t2")],
+        *[T.StructField(c, T.DoubleType()) for c in ("_g", "_h")],
+    ])
 
-def _eigen_of(gram: DataFrame, by: list[str], t_type, components: int) -> DataFrame:
-    """Leading eigenvalues and eigenvectors of each group's period matrix."""
+    def work(batches):
+        for frame in batches:
+            group = frame.groupby(by, dropna=False, sort=False).ngroup() if by else 0 * frame.index
+            for rows in pd.Series(np.arange(len(frame))).groupby(np.asarray(group)).indices.values():
+                own = frame.iloc[rows]
+                times, place = np.unique(np.concatenate(own["_t"].to_list()), return_inverse=True)
+                x = np.full((len(own), len(times)), np.nan)
+                x[np.repeat(np.arange(len(own)), own["_t"].map(len)), place] = np.concatenate(own["_a"].to_list())
+                seen = ~np.isnan(x)
+                x[~seen] = 0.0
+                mean = x.sum(axis=1) / np.maximum(seen.sum(axis=1), 1)
+                deviation = np.where(seen, x - mean[:, None], 0.0)
+                n = len(times)
+                yield pd.DataFrame({
+                    **{c: [own[c].iloc[0]] * (n * n) for c in by},
+                    "_t1": np.repeat(times, n), "_t2": np.tile(times, n),
+                    "_g": (deviation.T @ deviation).ravel(), "_h": (x.T @ deviation).ravel(),
+                })
+
+    return packed.mapInPandas(work, schema).groupBy(*by, "_t1", "_t2").agg(
+        F.sum("_g").alias("_g"), F.sum("_h").alias("_h"))
+
+
+def _eigen_of(products: DataFrame, by: list[str], t_type, components: int) -> DataFrame:
+    """Leading eigenvalues of each group's period matrix; by period, what a value
+    weighs in the loading (``_w``), and the score that the loadings lead to."""
     schema = T.StructType([
-        *[gram.schema[c] for c in by],
+        *[products.schema[c] for c in by],
         T.StructField("component", T.IntegerType()), T.StructField("eigenvalue", T.DoubleType()),
         T.StructField("share", T.DoubleType()), T.StructField("_t", t_type),
-        T.StructField("_u", T.DoubleType()),
+        T.StructField("_w", T.DoubleType()), T.StructField("score", T.DoubleType()),
     ])
 
     def work(frame: pd.DataFrame) -> pd.DataFrame:
         times = np.unique(frame["_t1"])
         i, j = np.searchsorted(times, frame["_t1"]), np.searchsorted(times, frame["_t2"])
-        g = np.zeros((len(times), len(times)))
-        g[i, j] = g[j, i] = frame["_g"]
-        values, vectors = np.linalg.eigh(g / (len(times) - 1))
+        g, h = np.zeros((2, len(times), len(times)))
+        g[i, j], h[i, j] = frame["_g"], frame["_h"]
+        values, vectors = np.linalg.eigh((g + g.T) / 2 / (len(times) - 1))
         order = np.argsort(values)[::-1][:components]
         total = np.trace(g) / (len(times) - 1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            weights = vectors / np.sqrt(np.maximum(values, 0.0) * (len(times) - 1))
+            scores = h @ weights
         parts = [
             pd.DataFrame({
                 **{c: [frame[c].iloc[0]] * len(times) for c in by},
                 "component": c0 + 1, "eigenvalue": max(values[c], 0.0),
                 "share": max(values[c], 0.0) / total if total > 0 else np.nan,
-                "_t": times, "_u": vectors[:, c],
+                "_t": times, "_w": weights[:, c], "score": scores[:, c],
             })
             for c0, c in enumerate(order)
         ]
         return pd.concat(parts)[[f.name for f in schema]]
 
-    grouped = gram.groupBy(*by) if by else gram.withColumn("_one", F.lit(1)).groupBy("_one")
+    grouped = products.groupBy(*by) if by else products.withColumn("_one", F.lit(1)).groupBy("_one")
     return grouped.applyInPandas(work, schema)
 
 
@@ -76,24 +109,19 @@ def _components(cells: DataFrame, by, t, series, components: int, placed: int):
     Loadings and scores are worked out for the first ``placed`` components.
     """
     t_type = cells.schema[t].dataType
-    eigen = cut_lineage(_eigen_of(_gram(cells, by, t, series), by, t_type, components))
+    eigen = cut_lineage(_eigen_of(_products(cells, by, t, series), by, t_type, components))
     shares = eigen.select(*by, "component", "eigenvalue", "share").distinct()
-    n = eigen.groupBy(*by).agg(F.count_distinct("_t").alias("_n"))
-    real = (F.col("component") <= placed) & (F.col("share") > 1e-12)
-    u = attach_groups(eigen.filter(real), n, by).select(
-        *by, F.col("_t").alias(t), "component",
-        (F.col("_u") / F.sqrt(F.col("eigenvalue") * (F.col("_n") - 1))).alias("_w"))
-    # Every row meets the few components of its period; u sums to zero over
-    # the periods of a component, so the series mean drops out by itself.
-    weights = u.groupBy(*by, t).agg(F.collect_list(F.struct("component", "_w")).alias("_ws"))
+    placed = eigen.filter((F.col("component") <= placed) & (F.col("share") > 1e-12))
+    # Weights sum to zero over the periods of a component, so the series mean drops out
+    # of the loadings by itself, and the scores follow from products between periods.
+    scores = placed.select(*by, "component", F.col("_t").alias(t), "score")
+    # Every row meets the few components of its period.
+    weights = placed.groupBy(*by, F.col("_t").alias(t)).agg(
+        F.collect_list(F.struct("component", "_w")).alias("_ws"))
     spread = attach_groups(cells, weights, [*by, t]).select(
         *by, t, series, "_a", F.explode("_ws").alias("_e"))
     loadings = spread.groupBy(*by, "_e.component", series).agg(
         F.sum(F.col("_a") * F.col("_e._w")).alias("loading"))
-    pairs = same_keys_join(cells.select(*by, t, series, "_a"), loadings, [*by, series], "inner")
-    # One row for each component and period, behind a pass over all cells.
-    scores = cut_lineage(pairs.groupBy(*by, "component", t).agg(
-        F.sum(F.col("_a") * F.col("loading")).alias("score")))
     return shares, loadings, scores
 
 
