@@ -4,8 +4,12 @@ By definition the positive points are taken one after the other, richest
 first, because each moves the centre of the patch it joins. Three things keep
 that from being one big task for each group:
 
-* blocks of a group that lie farther apart than the limit cannot influence
-  each other, so each block is worked on its own;
+* blocks of a group, the connected components of its occupied tiles, lie farther
+  apart than the limit and are worked on their own. A centre can leave the tiles of
+  its block (that of a bent patch lies in the bend), so it is looked up afterwards
+  whether any centre came within the limit of another block's tiles; such blocks are
+  put together and worked again. If none did, no point met a centre of another block
+  that it could have joined, and the result is that of the whole group in order;
 * a block is streamed in sorted order and only the centres are held in
   memory, so its size does not matter to the worker;
 * points without density move no centre. They are the bulk of a survey, and
@@ -26,17 +30,68 @@ from trawlframe.functions import safe_div, strict_sum
 from trawlframe.session import attach_groups, cut_lineage, same_keys_join
 
 
-def _gap_blocks(tiles: DataFrame, keys: list[str], axis: str, name: str) -> DataFrame:
-    """Number the runs of neighbouring tiles along one axis.
+def _components(edges: DataFrame) -> DataFrame:
+    """node and label, the smallest node it is connected with, of all ends of edges (a, b).
 
-    Tiles are as wide as the limit, so an empty tile between two runs keeps
-    their points farther apart than the limit.
+    Alternates two steps until nothing changes: neighbours above a node are tied to its
+    smallest neighbour, then those below it and itself are. The number of rounds grows
+    with the logarithm of the nodes, not with the length of a chain.
     """
-    steps = tiles.select(*keys, axis).distinct()
-    w = Window.partitionBy(*keys).orderBy(axis)
-    opens = F.when(F.col(axis) - F.lag(axis).over(w) > 1, 1).otherwise(0)
-    runs = steps.withColumn("_open", opens).withColumn(name, F.sum("_open").over(w)).drop("_open")
-    return same_keys_join(tiles, runs, [*keys, axis])
+    edges, mark = cut_lineage(edges.select("a", "b").filter("a <> b").distinct()), None
+    while True:
+        both = edges.union(edges.select("b", "a"))
+        least = both.groupBy("a").agg(F.min("b").alias("_m"))
+        large = attach_groups(both, least, ["a"]).filter("b > a").select(
+            F.col("b").alias("a"), F.least("a", "_m").alias("b")).distinct()
+        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        least = down.groupBy("a").agg(F.min("b").alias("_m"))
+        small = attach_groups(down, least, ["a"]).select(F.col("b").alias("a"), F.col("_m").alias("b"))
+        edges = cut_lineage(small.union(least.select("a", "_m")).filter("a <> b").distinct())
+        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if now == mark:
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).union(
+                edges.select("b", "b").distinct())
+        mark = now
+
+
+def _relabelled(tiles: DataFrame, edges: DataFrame) -> DataFrame:
+    """Tiles with the blocks that edges connect put together."""
+    labels = _components(edges).withColumnRenamed("node", "_block")
+    return cut_lineage(attach_groups(tiles, labels, ["_block"]).withColumn(
+        "_block", F.coalesce("label", "_block")).drop("label"))
+
+
+def _tile_blocks(tiles: DataFrame, by: list[str]) -> DataFrame:
+    """Tiles with ``_block``, the same for tiles connected by sides or corners.
+
+    Tiles are as wide as the limit, so points of different blocks lie farther apart.
+    Rows of neighbouring tiles are numbered first; only these are nodes.
+    """
+    line = Window.partitionBy(*by, "_ty").orderBy("_tx")
+    opens = F.when(F.col("_tx") - F.lag("_tx").over(line) == 1, 0).otherwise(1)
+    runs = cut_lineage(tiles.withColumn("_open", opens).withColumn("_run", F.sum("_open").over(line)).drop("_open"))
+    nodes = cut_lineage(runs.select(*by, "_ty", "_run").distinct().withColumn(
+        "_block", F.monotonically_increasing_id()))
+    numbered = cut_lineage(attach_groups(runs, nodes, [*by, "_ty", "_run"]).drop("_run"))
+    above = numbered.select(
+        *by, F.explode(F.array(*[F.col("_tx") + i for i in (-1, 0, 1)])).alias("_tx"),
+        (F.col("_ty") + 1).alias("_ty"), F.col("_block").alias("b"))
+    meet = same_keys_join(numbered, above, [*by, "_tx", "_ty"], "inner")
+    return _relabelled(numbered, meet.select(F.col("_block").alias("a"), "b"))
+
+
+def _met_blocks(grown: DataFrame, tiles: DataFrame, by: list[str], limit: float) -> DataFrame:
+    """Pairs of blocks (a, b) where a centre of a came within the limit of a tile of b."""
+    boxes = grown.groupBy(*by, "_block", "_local").agg(
+        *[f(c).alias(f"{n}{c}") for c in ("_cx", "_cy") for n, f in (("lo", F.min), ("hi", F.max))])
+
+    def reached(c):
+        return F.explode(F.sequence(F.floor(F.col(f"lo{c}") / limit) - 1, F.floor(F.col(f"hi{c}") / limit) + 1))
+
+    near = boxes.withColumn("_tx", reached("_cx")).withColumn("_ty", reached("_cy")).select(
+        *by, "_tx", "_ty", F.col("_block").alias("a")).distinct()
+    return cut_lineage(same_keys_join(near, tiles, [*by, "_tx", "_ty"], "inner").select(
+        "a", F.col("_block").alias("b")).filter("a <> b").distinct())
 
 
 def spatial_patches(df: DataFrame, x: str, y: str, z: str, w: str, by: list[str],
@@ -47,8 +102,8 @@ def spatial_patches(df: DataFrame, x: str, y: str, z: str, w: str, by: list[str]
     Rows with anything missing are left out; every other row is returned, equal
     ones too. Equal densities go by station. Points with a density but no area
     weigh nothing, so they move no centre and are placed last, like those
-    without density. A block without a gap as wide as the limit is worked in
-    order by one task, since each point depends on those before it.
+    without density. A block (see above) is worked in order by one task, since each
+    point depends on those before it.
     """
     points = cut_lineage(df.select(
         *by, station, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"),
@@ -60,18 +115,22 @@ def spatial_patches(df: DataFrame, x: str, y: str, z: str, w: str, by: list[str]
     positive = points.filter(F.col("z") * F.col("w") > 0)
     null = points.filter(F.col("z") * F.col("w") <= 0)
 
-    tiles = positive.select(*by, "_tx", "_ty").distinct()
-    tiles = _gap_blocks(tiles, by, "_tx", "_bx")
-    tiles = _gap_blocks(tiles, [*by, "_bx"], "_ty", "_by")
-    block = [*by, "_bx", "_by"]
-    blocked = attach_groups(positive, tiles, [*by, "_tx", "_ty"])
-    ordered = blocked.repartition(*block).sortWithinPartitions(
-        *block, F.col("z").desc(), F.col(station))
-    schema = T.StructType([*ordered.schema.fields, T.StructField("_local", T.IntegerType())])
-    # The numbering below and the result must see the same run.
-    grown = cut_lineage(ordered.mapInPandas(_grower(block, limit), schema))
-
-    local = [*block, "_local"]
+    tiles = _tile_blocks(positive.select(*by, "_tx", "_ty").distinct(), by)
+    while True:
+        blocked = attach_groups(positive, tiles, [*by, "_tx", "_ty"])
+        ordered = blocked.repartition("_block").sortWithinPartitions(
+            "_block", F.col("z").desc(), F.col(station))
+        schema = T.StructType([
+            *ordered.schema.fields, T.StructField("_local", T.IntegerType()),
+            *[T.StructField(c, T.DoubleType()) for c in ("_cx", "_cy")]])
+        # The numbering below and the result must see the same run.
+        grown = cut_lineage(ordered.mapInPandas(_grower(["_block"], limit), schema))
+        met = _met_blocks(grown, tiles, by, limit)
+        if met.isEmpty():
+            break
+        tiles = _relabelled(tiles, met)
+
+    local = [*by, "_block", "_local"]
     q = F.col("z") * F.col("w")
     centres = grown.groupBy(*local).agg(
         safe_div(F.sum(q * F.col("x")), F.sum(q)).alias("cx"),
@@ -119,7 +178,7 @@ def _grower(keys: list[str], limit: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, sums, n = None, np.zeros((16, 3)), 0
         for batch in batches:
-            labels = np.zeros(len(batch), dtype=np.int32)
+            labels, centres = np.zeros(len(batch), dtype=np.int32), np.zeros((len(batch), 2))
             marks = list(zip(*[batch[k].tolist() for k in keys]))
             xs, ys = batch["x"].to_numpy(), batch["y"].to_numpy()
             qs = batch["z"].to_numpy() * batch["w"].to_numpy()
@@ -140,7 +199,8 @@ def _grower(keys: list[str], limit: float):
                     n += 1
                 sums[chosen] += (qs[i], qs[i] * xs[i], qs[i] * ys[i])
                 labels[i] = chosen + 1
-            yield batch.assign(_local=labels)
+                centres[i] = sums[chosen, 1:] / sums[chosen, 0]
+            yield batch.assign(_local=labels, _cx=centres[:, 0], _cy=centres[:, 1])
 
     return run
 
