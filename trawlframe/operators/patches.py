@@ -35,17 +35,18 @@ def _components(edges: DataFrame) -> DataFrame:
 
     Alternates two steps until nothing changes: neighbours above a node are tied to its
     smallest neighbour, then those below it and itself are. The number of rounds grows
-    with the logarithm of the nodes, not with the length of a chain.
+    with the logarithm of the nodes, not with the length of a chain. Adaptive execution
+    broadcasts the small sides of its joins and splits a node with very many neighbours.
     """
     edges, mark = cut_lineage(edges.select("a", "b").filter("a <> b").distinct()), None
     while True:
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("_m"))
-        large = attach_groups(both, least, ["a"]).filter("b > a").select(
+        large = both.join(least, "a").filter("b > a").select(
             F.col("b").alias("a"), F.least("a", "_m").alias("b")).distinct()
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = down.groupBy("a").agg(F.min("b").alias("_m"))
-        small = attach_groups(down, least, ["a"]).select(F.col("b").alias("a"), F.col("_m").alias("b"))
+        small = down.join(least, "a").select(F.col("b").alias("a"), F.col("_m").alias("b"))
         edges = cut_lineage(small.union(least.select("a", "_m")).filter("a <> b").distinct())
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
@@ -57,7 +58,7 @@ def _components(edges: DataFrame) -> DataFrame:
 def _relabelled(tiles: DataFrame, edges: DataFrame) -> DataFrame:
     """Tiles with the blocks that edges connect put together."""
     labels = _components(edges).withColumnRenamed("node", "_block")
-    return cut_lineage(attach_groups(tiles, labels, ["_block"]).withColumn(
+    return cut_lineage(tiles.join(labels, "_block", "left").withColumn(
         "_block", F.coalesce("label", "_block")).drop("label"))
 
 
@@ -69,10 +70,10 @@ def _tile_blocks(tiles: DataFrame, by: list[str]) -> DataFrame:
     """
     line = Window.partitionBy(*by, "_ty").orderBy("_tx")
     opens = F.when(F.col("_tx") - F.lag("_tx").over(line) == 1, 0).otherwise(1)
-    runs = cut_lineage(tiles.withColumn("_open", opens).withColumn("_run", F.sum("_open").over(line)).drop("_open"))
+    runs = tiles.withColumn("_open", opens).withColumn("_run", F.sum("_open").over(line)).drop("_open")
     nodes = cut_lineage(runs.select(*by, "_ty", "_run").distinct().withColumn(
         "_block", F.monotonically_increasing_id()))
-    numbered = cut_lineage(attach_groups(runs, nodes, [*by, "_ty", "_run"]).drop("_run"))
+    numbered = cut_lineage(same_keys_join(runs, nodes, [*by, "_ty", "_run"]).drop("_run"))
     above = numbered.select(
         *by, F.explode(F.array(*[F.col("_tx") + i for i in (-1, 0, 1)])).alias("_tx"),
         (F.col("_ty") + 1).alias("_ty"), F.col("_block").alias("b"))
