@@ -129,3 +129,31 @@ def test_default_origin_and_corner_stations(frame):
     hauls = frame("year int, station string, lat double, haul_type int, performance double",
                   (2000, "QP2625", 60.0, 3, 0.0), (2000, "A-01", 58.0, 3, 0.0))
     assert temperature_indices(pooled, hauls).first().cpa == 401
+
+
+@pytest.mark.parametrize("n", [7, 70])
+def test_components_with_vectors_in_tables_equal_numpy(spark, monkeypatch, n):
+    """Several tiles of blocks, a start-over of the space, and fewer series than columns of it."""
+    import numpy as np
+
+    from trawlframe.operators import pca
+
+    monkeypatch.setattr(pca, "MAX_PATTERN_ROWS", 4)
+    monkeypatch.setattr(pca, "COVARIANCE_BLOCK", 8)
+    periods, rng = 12, np.random.default_rng(11)
+    values = rng.standard_normal((periods, n)) + 4 * np.outer(np.arange(periods), rng.standard_normal(n))
+    values[rng.random(values.shape) < 0.25] = np.nan
+    rows = [(k, i, float(values[k, i])) for k in range(periods) for i in range(n) if not np.isnan(values[k, i])]
+    out = pca.gap_pca(spark.createDataFrame(rows, "t int, id int, v double"), "t", "id", "v", 2, all_sizes=False)
+    values -= np.nanmean(values, axis=1, keepdims=True)
+    cov = np.array([[np.cov(values[k, i], values[k, j])[0, 1] if (k := ~np.isnan(values[:, i] * values[:, j])).sum() > 1
+                     else 0.0 for j in range(n)] for i in range(n)])
+    eigen, vectors = np.linalg.eigh(cov)
+    order = np.argsort(np.abs(eigen))[::-1][:2]
+    shares = out["shares"].orderBy("component").collect()
+    assert [r.eigenvalue for r in shares] == pytest.approx(list(np.abs(eigen[order])), rel=1e-9)
+    assert [r.trace_share for r in shares] == pytest.approx(list(np.abs(eigen[order]) / np.trace(cov)), rel=1e-9)
+    assert [r.share for r in shares] == [None, None]
+    loadings = [r.loading for r in out["loadings"].orderBy("id").collect()]
+    first = vectors[:, order[0]]
+    assert loadings == pytest.approx(list(first * np.sign(first @ loadings)), abs=1e-9)

@@ -24,6 +24,8 @@ from trawlframe.session import attach_groups, cut_lineage, same_keys_join
 MAX_PATTERN_ROWS = 8192
 # Series of a block of that matrix.
 COVARIANCE_BLOCK = 512
+# Blocks along each side of a tile, which one task multiplies at once.
+TILE_BLOCKS = 4
 
 
 def _products(cells: DataFrame, by: list[str], t: str, series: str) -> DataFrame:
@@ -235,52 +237,176 @@ def _covariance_blocks(packed: DataFrame, periods: int) -> DataFrame:
         return pd.DataFrame({"i": [a["_i"].iloc[0]], "j": [a["_j"].iloc[0]], "rows": [len(a)],
                              "data": [data.tobytes()]})
 
-    return cut_lineage(_meet(packed, COVARIANCE_BLOCK, ordered=False).applyInPandas(
-        work, "i int, j int, rows int, data binary"))
+    return _meet(packed, COVARIANCE_BLOCK, ordered=False).applyInPandas(
+        work, "i int, j int, rows int, data binary")
 
 
 def _block(row) -> np.ndarray:
     return np.frombuffer(row["data"]).reshape(row["rows"], -1)
 
 
-def _times(blocks: DataFrame, places: dict[int, slice], x: np.ndarray) -> np.ndarray:
-    """The matrix in blocks times ``x``: sums of series x columns."""
-    shared = blocks.sparkSession.sparkContext.broadcast({i: x[at] for i, at in places.items()})
-    parts = blocks.rdd.map(lambda r: (r["i"], _block(r) @ shared.value[r["j"]])).reduceByKey(np.add)
-    out = np.zeros_like(x)
-    for i, part in parts.toLocalIterator():
-        out[places[i]] = part
-    shared.unpersist()
+def _tiled(blocks: DataFrame, n_blocks: int) -> DataFrame:
+    """The blocks with the tile (_gi, _gj) each lies in, stored by tile: products shuffle vectors only."""
+    tiles = -(-n_blocks // TILE_BLOCKS) ** 2
+    parts = max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), tiles // 8)
+    tile = [F.floor(F.col(c) / TILE_BLOCKS).cast("int").alias(f"_g{c}") for c in "ij"]
+    return cut_lineage(blocks.select("*", *tile).repartition(parts, "_gi", "_gj").sortWithinPartitions("_gi", "_gj"))
+
+
+def _times(tiles: DataFrame, vectors: DataFrame, n_blocks: int, width: int) -> DataFrame:
+    """b, tile, part: the matrix times ``vectors`` (b, v), in a part for each tile of the row.
+
+    A vector is sent once to each tile of its column, so vectors and parts together are
+    width / (TILE_BLOCKS x COVARIANCE_BLOCK) of the matrix.
+    """
+    last = -(-n_blocks // TILE_BLOCKS) - 1
+    sent = vectors.select(F.explode(F.sequence(F.lit(0), F.lit(last))).alias("_gi"),
+                          F.floor(F.col("b") / TILE_BLOCKS).cast("int").alias("_gj"), "b", "v")
+
+    def work(matrix: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        v = {b: np.frombuffer(x).reshape(-1, width) for b, x in zip(right["b"], right["v"])}
+        sums: dict[int, np.ndarray] = {}
+        for row in matrix.sort_values(["i", "j"]).to_dict("records"):
+            sums[row["i"]] = sums.get(row["i"], 0.0) + _block(row) @ v[row["j"]]
+        return pd.DataFrame({"b": list(sums), "tile": right["_gj"].iloc[0] if len(right) else 0,
+                             "part": [x.tobytes() for x in sums.values()]})
+
+    return tiles.groupBy("_gi", "_gj").cogroup(sent.groupBy("_gi", "_gj")).applyInPandas(
+        work, "b int, tile int, part binary")
+
+
+def _pair(frame: pd.DataFrame, at: int) -> tuple[np.ndarray, np.ndarray]:
+    """A block's rows of the space and of its image."""
+    rows = frame["rows"].iloc[at]
+    return (np.frombuffer(frame["space"].iloc[at]).reshape(rows, -1),
+            np.frombuffer(frame["image"].iloc[at]).reshape(rows, -1))
+
+
+def _gram(state: DataFrame, of) -> np.ndarray:
+    """The sum over the blocks of x'y for (x, y) = of(space, image), a few columns each."""
+    def work(batches):
+        total = None
+        for frame in batches:
+            for at in range(len(frame)):
+                x, y = of(*_pair(frame, at))
+                total = x.T @ y if total is None else total + x.T @ y
+        if total is not None:
+            yield pd.DataFrame({"i": np.repeat(np.arange(total.shape[0]), total.shape[1]),
+                                "j": np.tile(np.arange(total.shape[1]), total.shape[0]), "v": total.ravel()})
+
+    sums = state.mapInPandas(work, "i int, j int, v double").groupBy("i", "j").agg(
+        F.sum("v").alias("v")).toPandas()
+    out = np.zeros((sums["i"].max() + 1, sums["j"].max() + 1))
+    out[sums["i"], sums["j"]] = sums["v"]
     return out
 
 
-def _leading(blocks: DataFrame, places: dict[int, slice], size: int, components: int):
-    """The leading eigenvalues by size and their vectors, by a Krylov space of blocks.
+def _changed(state: DataFrame, of) -> DataFrame:
+    """Each block's space and image replaced by of(space, image)."""
+    def work(batches):
+        for frame in batches:
+            pairs = [of(*_pair(frame, at)) for at in range(len(frame))]
+            for k, name in enumerate(("space", "image")):
+                frame[name] = [np.ascontiguousarray(p[k]).tobytes() for p in pairs]
+            yield frame
+
+    return state.mapInPandas(work, state.schema)
 
-    The residuals of the leading vectors extend the space until they vanish; a space
-    grown large is started again from its leading vectors.
+
+def _extended(state: DataFrame, tiles: DataFrame, n_blocks: int, width: int, more) -> DataFrame:
+    """``state`` with the ``width`` columns more(space, image) and their images added."""
+    def add(own: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
+        space, image = _pair(own, 0)
+        new = sum(np.frombuffer(p).reshape(len(space), width) for p in parts.sort_values("tile")["part"])
+        return own.assign(space=[np.hstack([space, more(space, image)]).tobytes()],
+                          image=[np.hstack([image, new]).tobytes()])
+
+    added = _changed(state, lambda s, a: (more(s, a), a)).select("b", F.col("space").alias("v"))
+    parts = _times(tiles, added, n_blocks, width)
+    return cut_lineage(state.groupBy("b").cogroup(parts.groupBy("b")).applyInPandas(add, state.schema))
+
+
+def _whitener(gram: np.ndarray) -> np.ndarray:
+    """T with T' gram T = 1, without the directions that rounding leaves empty."""
+    values, vectors = np.linalg.eigh((gram + gram.T) / 2)
+    kept = values > 1e-10 * max(values[-1], np.finfo(float).tiny)
+    return vectors[:, kept] / np.sqrt(values[kept])
+
+
+def _leading(tiles: DataFrame, n_blocks: int, size: int, components: int):
+    """The leading eigenvalues by size, and a table (b, space, image, rows) with the first vector.
+
+    The residuals of the leading vectors extend a Krylov space until they vanish; a space
+    grown large is started again from its leading vectors. Columns as long as the series
+    are rows of the table, one for each block of series; the driver sees products of
+    columns alone, at most 13 x (components + 4) squared of them.
     """
     width = min(size, components + 4)
-    space = np.linalg.qr(np.random.default_rng(1).standard_normal((size, width)))[0]
-    image = _times(blocks, places, space)
+
+    def random(batches):
+        for frame in batches:
+            yield frame.assign(image=[
+                np.random.default_rng([1, b]).standard_normal((n, width)).tobytes()
+                for b, n in zip(frame["b"], frame["rows"])])
+
+    state = tiles.where("i = j").select(
+        F.col("i").alias("b"), "rows", F.lit(b"").alias("space"), F.lit(b"").alias("image"))
+    state = cut_lineage(state.mapInPandas(random, state.schema))
+    first = _whitener(_gram(state, lambda s, a: (a, a)))
+    first = first @ _whitener(_gram(state, lambda s, a: (a @ first,) * 2))
+    state = _extended(state, tiles, n_blocks, first.shape[1], lambda s, a: a @ first)
+    state = _changed(state, lambda s, a: (s, a[:, width:]))
     while True:
-        values, inner = np.linalg.eigh((space.T @ image + image.T @ space) / 2)
+        product = _gram(state, lambda s, a: (s, a))
+        values, inner = np.linalg.eigh((product + product.T) / 2)
         order = np.argsort(np.abs(values))[::-1]
         values, inner = values[order], inner[:, order]
-        rest = image @ inner[:, :width] - space @ inner[:, :width] * values[:width]
-        left = np.linalg.norm(rest, axis=0)
-        if left[:components].max() <= 1e-11 * max(abs(values[0]), np.finfo(float).tiny) or space.shape[1] >= size:
-            return values[:components], space @ inner[:, :components]
-        if space.shape[1] > 12 * width:
-            space, image = space @ inner[:, :4 * width], image @ inner[:, :4 * width]
-        for _ in range(2):
-            rest = rest / np.maximum(np.linalg.norm(rest, axis=0), np.finfo(float).tiny)
-            rest = rest - space @ (space.T @ rest)
-        u, s, _ = np.linalg.svd(rest, full_matrices=False)
-        more = u[:, s > 1e-10][:, :size - space.shape[1]]
-        if not more.shape[1]:
-            return values[:components], space @ inner[:, :components]
-        space, image = np.hstack([space, more]), np.hstack([image, _times(blocks, places, more)])
+        more, norms = _residuals(state, inner[:, :width], values[:width])
+        limit = 1e-11 * max(abs(values[0]), np.finfo(float).tiny)
+        if norms[:components].max() <= limit or len(values) >= size:
+            break
+        if len(values) > 12 * width:
+            kept = inner[:, :4 * width]
+            state = cut_lineage(_changed(state, lambda s, a, kept=kept: (s @ kept, a @ kept)))
+            more, norms = _residuals(state, np.eye(kept.shape[1], width), values[:width])
+        count = min(len(norms), size - len(values))
+        more, count = _orthogonal(state, more, norms, count)
+        if not count:
+            break
+        state = _extended(state, tiles, n_blocks, count, more)
+    lead = inner[:, :1]
+    return values[:components], _changed(state, lambda s, a: (s @ lead, a[:, :0]))
+
+
+def _residuals(state: DataFrame, lead: np.ndarray, values: np.ndarray):
+    """(function giving what the leading vectors' images differ from their multiples, its norms)."""
+    def rest(s, a):
+        return a @ lead - (s @ lead) * values
+
+    return rest, np.sqrt(np.diag(_gram(state, lambda s, a: (rest(s, a),) * 2)))
+
+
+def _orthogonal(state: DataFrame, more, norms: np.ndarray, count: int):
+    """(``more`` with ``count`` columns at most, orthonormal and orthogonal to the space, their number)."""
+    def scaled(s, a):
+        return more(s, a) / np.maximum(norms, np.finfo(float).tiny)
+
+    steps: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def out(s, a):
+        x = scaled(s, a)
+        for inside, turn in steps:
+            x = (x - s @ inside) @ turn
+        return x
+
+    for _ in range(3):
+        both = _gram(state, lambda s, a: (np.hstack([s, out(s, a)]), out(s, a)))
+        inside, own = both[:-both.shape[1]], both[-both.shape[1]:]
+        turn = _whitener(own - inside.T @ inside)[:, -count:]
+        steps.append((inside, turn))
+        if not turn.shape[1]:
+            break
+    return out, steps[-1][1].shape[1]
 
 
 def _sum_of_sizes(blocks: DataFrame, largest: float) -> float:
@@ -313,35 +439,41 @@ def _sum_of_sizes(blocks: DataFrame, largest: float) -> float:
         x = stored(x.join(cube, parts).mapValues(lambda v: 1.5 * v[0] - 0.5 * v[1]))
 
 
-def _series_spectrum(packed: DataFrame, periods: int, components: int):
+def _series_spectrum(packed: DataFrame, periods: int, components: int, all_sizes: bool):
     """(leading eigenvalues, sum of the sizes of all, first loadings) by the covariances of all series."""
-    blocks = _covariance_blocks(packed, periods)
-    places, size = {}, 0
-    for row in blocks.where("i = j").select("i", "rows").orderBy("i").collect():
-        places[row["i"]] = slice(size, size + row["rows"])
-        size += row["rows"]
+    kind = packed.schema["series"].dataType.simpleString()
+    n_blocks = max(1, -(-packed.count() // COVARIANCE_BLOCK))
+    blocks = _tiled(_covariance_blocks(packed, periods), n_blocks)
+    diagonal = blocks.where("i = j").select(F.col("i").alias("b"), "rows")
+    size = diagonal.agg(F.sum("rows")).first()[0] or 0
     if size <= MAX_PATTERN_ROWS:
+        places, at = {}, 0
+        for row in diagonal.orderBy("b").collect():
+            places[row["b"]] = slice(at, at + row["rows"])
+            at += row["rows"]
         matrix = np.zeros((size, size))
         for row in blocks.toLocalIterator():
             matrix[places[row["i"]], places[row["j"]]] = _block(row)
         values, vectors = np.linalg.eigh((matrix + matrix.T) / 2)
         order = np.argsort(np.abs(values))[::-1]
-        values, first, total = values[order], vectors[:, order[0]], float(np.abs(values).sum())
+        values, total = values[order], float(np.abs(values).sum())
+        first = packed.sparkSession.createDataFrame(
+            [(b, bytearray(vectors[at, order[0]].tobytes())) for b, at in places.items()], "b int, space binary")
     else:
-        values, vectors = _leading(blocks, places, size, components)
-        first, total = vectors[:, 0], _sum_of_sizes(blocks, abs(values[0])) if values[0] else 0.0
-    if not total:
-        first = np.zeros(size)
-    n_blocks = max(1, -(-size // COVARIANCE_BLOCK))
-    shared = packed.sparkSession.sparkContext.broadcast({i: first[at] for i, at in places.items()})
-
-    def load(frame: pd.DataFrame) -> pd.DataFrame:
+        values, first = _leading(blocks, n_blocks, size, components)
+        total = None
+        if all_sizes:
+            total = _sum_of_sizes(blocks.select("i", "j", "rows", "data"), abs(values[0])) if values[0] else 0.0
+    flat = not np.abs(values).max(initial=0.0)
+
+    def load(frame: pd.DataFrame, vector: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("series")
-        return pd.DataFrame({"component": 1, "series": frame["series"], "loading": shared.value[frame["_own"].iloc[0]]})
+        loading = np.zeros(len(frame)) if flat else np.frombuffer(vector["space"].iloc[0])
+        return pd.DataFrame({"component": 1, "series": frame["series"], "loading": loading})
 
-    kind = packed.schema["series"].dataType.simpleString()
     # The blocks of _meet.
-    loadings = packed.select("series", F.pmod(F.hash("series"), F.lit(n_blocks)).alias("_own")).groupBy("_own").applyInPandas(
+    own = packed.select("series", F.pmod(F.hash("series"), F.lit(n_blocks)).alias("b"))
+    loadings = own.groupBy("b").cogroup(first.groupBy("b")).applyInPandas(
         load, f"component int, series {kind}, loading double")
     return values[:components], total, loadings
 
@@ -364,8 +496,15 @@ def _by_patterns(packed: DataFrame, periods: int, components: int):
             packed.mapInPandas(load, f"component int, series {kind}, loading double"))
 
 
+def _trace(packed: DataFrame) -> float:
+    """The sum of the series' variances."""
+    variances = packed.select("series", F.explode("v").alias("_v")).groupBy("series").agg(
+        F.var_samp("_v").alias("_v"))
+    return variances.agg(F.sum("_v")).first()[0] or 0.0
+
+
 def gap_pca(panel: DataFrame, t: str, series: str, value: str,
-            components: int = 5) -> dict[str, DataFrame]:
+            components: int = 5, all_sizes: bool = True) -> dict[str, DataFrame]:
     """PCA of anomalies with missing values, from pairwise covariances.
 
     The covariance of two series is a form in their values whose coefficients depend
@@ -373,9 +512,15 @@ def gap_pca(panel: DataFrame, t: str, series: str, value: str,
     eigenvalues of one of (patterns x periods) rows, made from the sums of products
     between periods within each pattern, map-side. Where that is the smaller one and has
     at most ``MAX_PATTERN_ROWS`` rows, the driver decomposes it; else it decomposes the
-    series x series matrix, and beyond as many series that matrix stays in blocks and the
-    leading components come from products with it. Neither series nor patterns are
-    limited. Scores are sums over the values present, standardised.
+    series x series matrix, and beyond as many series that matrix stays in blocks, the
+    leading components come from products with it, and vectors as long as the series are
+    tables too. Neither series nor patterns are limited. Scores are sums over the values
+    present, standardised.
+
+    ``share`` is a component's part of the sum of the sizes of all eigenvalues (pairwise
+    covariances may have negative ones), ``trace_share`` its part of the sum of the series'
+    variances. For a matrix in blocks the first sum takes products of whole matrices,
+    cubic in the series; with ``all_sizes=False`` ``share`` is NULL there.
     """
     panel = cut_lineage(panel.select(t, series, value))
     cells = anomaly(panel, t, value, skip_missing=True, out="_a").select(t, series, "_a").filter(
@@ -386,11 +531,12 @@ def gap_pca(panel: DataFrame, t: str, series: str, value: str,
     if rows <= min(MAX_PATTERN_ROWS, packed.count()):
         eigen, total, first = _by_patterns(packed, periods, components)
     else:
-        eigen, total, first = _series_spectrum(packed, periods, components)
-    first = cut_lineage(first.withColumnRenamed("series", series))
+        eigen, total, first = _series_spectrum(packed, periods, components, all_sizes)
+    first, trace = cut_lineage(first.withColumnRenamed("series", series)), _trace(packed)
     shares = panel.sparkSession.createDataFrame(
-        [(k + 1, float(abs(v)), float(abs(v)) / total if total else float("nan")) for k, v in enumerate(eigen)],
-        "component int, eigenvalue double, share double")
+        [(k + 1, float(abs(v)), None if total is None else float(abs(v)) / total if total else float("nan"),
+          float(abs(v)) / trace if trace else float("nan")) for k, v in enumerate(eigen)],
+        "component int, eigenvalue double, share double, trace_share double")
     scores = same_keys_join(cells, first, [series], "inner").groupBy("component", t).agg(
         F.sum(F.col("_a") * F.col("loading")).alias("score"))
     loadings, scores = _oriented(first, scores, [], t)
