@@ -300,6 +300,32 @@ turn AS (SELECT size_sex, CASE WHEN regr_slope(score, year) < 0 THEN -1 ELSE 1 E
 """
 
 
+def eigen_ctes(source: str, key: str, count: int) -> str:
+    """Leading eigenvectors by size of the symmetric matrices ``m`` of ``source``, one by ``key``.
+
+    A matrix squared 45 times over is the projector on its leading vector; the matrix
+    less that part goes on. ``eigen`` holds component, u and value for each key.
+    """
+    parts = []
+    for k in range(1, count + 1):
+        parts.append(f"""sq{k} AS (
+  SELECT {key}, m AS p, 0 AS i FROM {source if k == 1 else f"left{k - 1}"}
+  UNION ALL
+  SELECT {key}, list_transform(q, lambda r: list_transform(r, lambda e: e / scale)), i + 1 FROM (
+    SELECT {key}, i, q, sqrt(list_sum(list_transform(q, lambda r: list_dot_product(r, r)))) AS scale FROM (
+      SELECT {key}, i, list_transform(p, lambda r: list_transform(p, lambda c: list_dot_product(r, c))) AS q
+      FROM sq{k} WHERE i < 45))),
+unit{k} AS (SELECT {key}, list_transform(r, lambda e: e / sqrt(list_dot_product(r, r))) AS u FROM (
+  SELECT {key}, p[list_position(d, list_max(d))] AS r FROM (
+    SELECT {key}, p, list_transform(range(1, len(p) + 1), lambda k: p[k][k]) AS d FROM sq{k} WHERE i = 45))),
+value{k} AS (SELECT s.{key}, m, u, list_dot_product(u, list_transform(m, lambda r: list_dot_product(r, u))) AS value
+  FROM {source if k == 1 else f"left{k - 1}"} s JOIN unit{k} x ON x.{key} = s.{key}),
+left{k} AS (SELECT {key}, list_transform(m, lambda r, k: list_transform(r, lambda e, l: e - value * u[k] * u[l])) AS m
+  FROM value{k})""")
+    union = " UNION ALL ".join(f"SELECT {key}, {k}::INT AS component, u, value FROM value{k}" for k in range(1, count + 1))
+    return ",\n" + ",\n".join(parts) + f",\neigen AS ({union})\n"
+
+
 def _spatial(spark, sf_dir):
     return pca.spatial_pca(complete_cells(spark, sf_dir), "year", "station", "value", ["size_sex"])
 
@@ -313,9 +339,12 @@ def spatial_pca_first_share(spark, sf_dir):
     return rounded(shares.filter(F.col("component") == 1).drop("component"))
 
 
-@query("spatial_pca_shares")
+@query("spatial_pca_shares", """
+SELECT e.size_sex, component, round(value / (n - 1), 5) AS eigenvalue, round(value / trace, 5) AS share FROM eigen e
+JOIN (SELECT size_sex, sum(CASE WHEN t1 = t2 THEN g END) AS trace, count(DISTINCT t1) AS n FROM gram GROUP BY 1) t
+  ON t.size_sex = e.size_sex""", PCA_CTE + eigen_ctes("mat", "size_sex", 5))
 def spatial_pca_shares(spark, sf_dir):
-    return _spatial(spark, sf_dir)["shares"]
+    return rounded(_spatial(spark, sf_dir)["shares"], 5)
 
 
 @query("spatial_pca_loadings", """
@@ -330,19 +359,51 @@ def spatial_pca_scores(spark, sf_dir):
     return rounded(_spatial(spark, sf_dir)["scores"], 5)
 
 
-@query("gap_pca")
+# Covariances over the years two districts share.
+GAP_CTE = """cells AS (SELECT h.year, s.district, avg(h.gear_temp) AS value FROM sv_haul h
+  JOIN sv_strata s ON s.year = h.year AND s.station = h.station GROUP BY 1, 2),
+away AS (SELECT year, district, value - avg(value) OVER (PARTITION BY year) AS a FROM cells WHERE value IS NOT NULL),
+names AS (SELECT DISTINCT district FROM away),
+cov AS (SELECT x.district AS one, y.district AS two, coalesce((
+    SELECT covar_samp(p.a, q.a) FROM away p JOIN away q ON p.year = q.year
+    WHERE p.district = x.district AND q.district = y.district), 0) AS c FROM names x, names y),
+mat AS (SELECT 1 AS one_key, list(r ORDER BY one) AS m FROM (SELECT one, list(c ORDER BY two) AS r FROM cov GROUP BY 1))
+""" + eigen_ctes("mat", "one_key", 1) + """,
+loads AS (SELECT unnest(ns) AS district, unnest(u) AS loading FROM eigen, (SELECT list_sort(list(district)) AS ns FROM names)),
+score AS (SELECT year, sum(a * loading) AS score FROM away JOIN loads USING (district) GROUP BY 1)
+"""
+
+
+@query("gap_pca", """
+SELECT year, round(sign * (score - m) / sd, 5) AS pc FROM score,
+ (SELECT CASE WHEN regr_slope(score, year) < 0 THEN -1 ELSE 1 END AS sign, avg(score) AS m, stddev_samp(score) AS sd FROM score)""", GAP_CTE)
 def gap_pca(spark, sf_dir):
     temps = views.haul(spark, sf_dir).join(
         views.strata(spark, sf_dir).select("year", "station", "district"), ["year", "station"])
     means = temps.groupBy("year", "district").agg(F.avg("gear_temp").alias("value"))
-    return pca.gap_pca(means, "year", "district", "value")["scores"]
+    return rounded(pca.gap_pca(means, "year", "district", "value")["scores"], 5)
+
+
+# Correlations of the strata's yearly means.
+STRATUM_CTE = CPUE_CTE + """,
+cells AS (SELECT year, stratum_crab, avg(cpue) AS value FROM cpue_long WHERE stratum_crab < 20 GROUP BY 1, 2),
+names AS (SELECT stratum_crab FROM cells GROUP BY 1 HAVING stddev_samp(value) > 0),
+cor AS (SELECT x.stratum_crab AS one, y.stratum_crab AS two, corr(x.value, y.value) AS c FROM cells x
+  JOIN cells y ON x.year = y.year WHERE x.stratum_crab IN (FROM names) AND y.stratum_crab IN (FROM names) GROUP BY 1, 2),
+mat AS (SELECT 1 AS one_key, list(r ORDER BY one) AS m FROM (SELECT one, list(c ORDER BY two) AS r FROM cor GROUP BY 1))
+""" + eigen_ctes("mat", "one_key", 3) + """,
+loads AS (SELECT component, unnest(ns) AS stratum_crab, unnest(u) AS loading
+  FROM eigen, (SELECT list_sort(list(stratum_crab)) AS ns FROM names)),
+turned AS (SELECT component, CASE WHEN arg_max(loading, abs(loading)) < 0 THEN -1 ELSE 1 END AS sign FROM loads GROUP BY 1)
+"""
 
 
-@query("stratum_pca")
+@query("stratum_pca", """
+SELECT component, stratum_crab, round(sign * loading, 5) AS loading FROM loads JOIN turned USING (component)""", STRATUM_CTE)
 def stratum_pca(spark, sf_dir):
     means = cpue_frame(spark, sf_dir).filter(F.col("stratum_crab") < 20).groupBy(
         "year", "stratum_crab").agg(F.avg("cpue").alias("value"))
-    return pca.standardized_pca(means, "year", "stratum_crab", "value")["loadings"]
+    return rounded(pca.standardized_pca(means, "year", "stratum_crab", "value")["loadings"], 5)
 
 
 # -- delta models ----------------------------------------------------------------------------
