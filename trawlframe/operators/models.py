@@ -10,6 +10,8 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import (
@@ -17,10 +19,12 @@ from pyspark.ml.regression import (
 )
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trawlframe.functions import presence
 from trawlframe.operators.ordered import quantiles
 from trawlframe.operators.spatial import latitude_center
+from trawlframe.session import BROADCAST_BYTES, attach_groups, cut_lineage, same_keys_join
 
 COVARIATES = ["bottom_temp", "logdepth", "julian"]
 KNOTS = 5
@@ -171,3 +175,171 @@ def model_center_of_gravity(df: DataFrame, taxa: list[str], taxon: str = "taxon"
             latitude_center(predicted, "lat", "pred", "predbin", ["year"])
             .withColumn(taxon, F.lit(name)))
     return reduce(DataFrame.unionByName, results)
+
+
+# -- all groups at once ----------------------------------------------------------------
+
+PARTS = ("presence", "density")
+# Groups whose sums a task holds before it passes them on.
+HELD_GROUPS = 256
+EPSILON = 1e-16
+# A row of a group's coefficients.
+COEFFICIENT_BYTES = 1024
+
+
+def _group_features() -> Column:
+    """The features of ``Design`` from the columns of a design that stands beside the row."""
+    def hats(name: str) -> list[Column]:
+        low = F.col(f"lo_{name}")
+        width = (F.col(f"hi_{name}") - low) / (KNOTS - 1)
+        step = F.when(width > 0, width).otherwise(1.0)
+        return [F.greatest(F.lit(0.0), 1.0 - F.abs(F.col(name) - (low + k * step)) / step) for k in range(KNOTS)]
+
+    tensor = [lat * lon for lat in hats("lat") for lon in hats("lon")]
+    z = [(F.col(c) - F.col(f"m_{c}")) / F.col(f"s_{c}") for c in COVARIATES]
+    years = F.transform(F.slice("years", 2, F.greatest(F.size("years"), F.lit(1))),
+                        lambda y: F.when(F.col("year") == y, 1.0).otherwise(0.0))
+    return F.concat(F.array(F.lit(1.0), *tensor), years, F.array(*[x for v in z for x in (v, v * v)]))
+
+
+def _designs(rows: DataFrame, by: list[str]) -> DataFrame:
+    """One row for each group: ranges, means, deviations and its years in order."""
+    deviation = lambda c: F.coalesce(F.nullif(F.stddev_samp(c), F.lit(0.0)), F.lit(1.0))
+    return rows.groupBy(*by).agg(
+        *[f(c).alias(f"{n}_{c}") for c in ("lat", "lon") for n, f in (("lo", F.min), ("hi", F.max))],
+        *[f(c).alias(f"{n}_{c}") for c in COVARIATES for n, f in (("m", F.avg), ("s", deviation))],
+        F.array_sort(F.collect_set("year")).alias("years"))
+
+
+def _working(part: str, link: str, y: np.ndarray, eta: np.ndarray | None):
+    """(weights, working response) of a step; without ``eta`` those of the first one."""
+    if part == "presence":
+        mu = (y + 0.5) / 2 if eta is None else np.clip(1 / (1 + np.exp(-np.clip(eta, -700, 700))), EPSILON, 1 - EPSILON)
+        spread = mu * (1 - mu)
+        return spread, np.log(mu / (1 - mu)) + (y - mu) / spread
+    if eta is None:
+        mu = y
+    elif link == "inverse":
+        # A negative mean is no mean; such a row has no weight.
+        mu = np.where(eta > EPSILON, 1 / np.maximum(eta, EPSILON), EPSILON)
+    else:
+        mu = np.maximum(np.exp(np.clip(eta, -700, 700)), EPSILON)
+    if link == "inverse":
+        return mu * mu, 1 / mu - (y - mu) / (mu * mu)
+    return np.ones_like(mu), np.log(mu) + (y - mu) / mu
+
+
+def _normal_equations(rows: DataFrame, by: list[str], link: str) -> DataFrame:
+    """by, part, i, j, v: weighted sums of x x', x z (j = -1) and weights (i = j = -1).
+
+    Rows bring ``label``, ``features`` and ``beta`` (NULL before the first step). A task
+    sums the matrices of its groups, so the shuffle holds one for each task and group.
+    """
+    keys = [*by, "part"]
+    schema = T.StructType([*[rows.schema[c] for c in keys], T.StructField("i", T.IntegerType()),
+                           T.StructField("j", T.IntegerType()), T.StructField("v", T.DoubleType())])
+
+    def out(held):
+        for key, total in held.items():
+            n = len(total) - 1
+            i, j = np.indices(total.shape)
+            yield pd.DataFrame({**dict(zip(keys, [[k] * total.size for k in key])),
+                                "i": np.where(i < n, i, -1).ravel(), "j": np.where(j < n, j, -1).ravel(),
+                                "v": total.ravel()})
+
+    def work(batches):
+        held: dict[tuple, np.ndarray] = {}
+        for frame in batches:
+            for key, own in frame.groupby(keys, dropna=False, sort=False):
+                x = np.stack(own["features"].to_list())
+                beta = own["beta"].iloc[0]
+                w, z = _working(key[-1], link, own["label"].to_numpy(), None if beta is None else x @ np.asarray(beta))
+                total = np.zeros((x.shape[1] + 1,) * 2)
+                total[:-1, :-1], total[:-1, -1], total[-1, -1] = (x * w[:, None]).T @ x, x.T @ (w * z), w.sum()
+                key = tuple(None if pd.isna(k) else k for k in key)
+                held[key] = held[key] + total if key in held else total
+            if len(held) > HELD_GROUPS:
+                yield from out(held)
+                held = {}
+        yield from out(held)
+
+    return rows.mapInPandas(work, schema).groupBy(*keys, "i", "j").agg(F.sum("v").alias("v"))
+
+
+def _solved(sums: DataFrame, by: list[str], ridge: float) -> DataFrame:
+    """by, part, new: the coefficients that solve each group's penalised equations."""
+    keys = [*by, "part"]
+    schema = T.StructType([*[sums.schema[c] for c in keys], T.StructField("new", T.ArrayType(T.DoubleType()))])
+
+    def work(frame: pd.DataFrame) -> pd.DataFrame:
+        n = frame["i"].max() + 1
+        total = np.zeros((n + 1, n + 1))
+        total[frame["i"], frame["j"]] = frame["v"]
+        weight = total[n, n] or 1.0
+        # The penalty of a mean loss; the intercept, which comes first, is free.
+        matrix = total[:n, :n] / weight + np.diag([0.0] + [ridge] * (n - 1))
+        try:
+            new = np.linalg.solve(matrix, total[:n, n] / weight)
+        except np.linalg.LinAlgError:
+            new = np.linalg.lstsq(matrix, total[:n, n] / weight, rcond=None)[0]
+        return pd.DataFrame({**{c: [frame[c].iloc[0]] for c in keys}, "new": [new]})
+
+    return sums.groupBy(*keys).applyInPandas(work, schema)
+
+
+def fit_delta(df: DataFrame, by: list[str], abundance: str = "abund", ridge: float = 1e-3,
+              max_iter: int = 25, link: str = "inverse", tol: float = 1e-6) -> DataFrame:
+    """Presence and density models of every group, fitted side by side.
+
+    Iteratively reweighted least squares: each step sums the normal equations of all
+    groups and both parts in one pass over the rows, and the small systems are solved one
+    task for each group. Groups that stand still (no coefficient moves by ``tol``) leave the
+    passes. The driver loops over steps, never over groups. Rows with a NULL in what a
+    model reads take no part; a group without positive abundances has no density row.
+    ``link`` of the density is 'inverse' or 'log'.
+
+    Returns a row for each group and ``part``: the design, ``beta`` (intercept first) and
+    ``steps``; ``converged`` tells whether the last step moved less than ``tol``.
+    """
+    if link not in ("inverse", "log"):
+        raise ValueError(f"link {link!r} is neither 'inverse' nor 'log'")
+    keys = [*by, "part"]
+    known = df.select(*by, "lat", "lon", "year", *COVARIATES, F.col(abundance).cast("double").alias("_a"))
+    known = known.dropna(subset=["lat", "lon", "year", *COVARIATES, "_a"])
+    rows = known.select("*", F.explode(F.when(F.col("_a") > 0, F.array(*map(F.lit, PARTS))).otherwise(
+        F.array(F.lit(PARTS[0])))).alias("part"))
+    rows = rows.withColumn("label", F.when(F.col("part") == "density", F.col("_a")).otherwise(
+        (F.col("_a") > 0).cast("double")))
+    # Every step reads the rows again; the joins behind them run once.
+    rows = cut_lineage(rows.select(*keys, "label", "lat", "lon", "year", *COVARIATES))
+    designs = cut_lineage(_designs(rows, keys))
+    rows = cut_lineage(attach_groups(rows, designs, keys).select(*keys, "label", _group_features().alias("features")))
+    empty = F.lit(None).cast("array<double>")
+    left, done = designs.select(*keys, empty.alias("beta")), []
+    count = designs.count()
+    for step in range(max_iter + 1):
+        if not count:
+            break
+        own = F.broadcast(left) if count * COEFFICIENT_BYTES <= BROADCAST_BYTES else left
+        solved = _solved(_normal_equations(same_keys_join(rows, own, keys, "inner"), by, link), by, ridge)
+        moved = F.when(F.col("beta").isNull(), F.lit(float("inf"))).otherwise(
+            F.array_max(F.zip_with("new", "beta", lambda a, b: F.abs(a - b))))
+        solved = cut_lineage(same_keys_join(solved, left, keys).select(
+            *keys, F.col("new").alias("beta"), F.lit(step).alias("steps"), (moved < tol).alias("converged")))
+        last = step == max_iter
+        done.append(solved if last else solved.filter("converged"))
+        left = solved.filter(~F.col("converged")).select(*keys, "beta")
+        count = 0 if last else left.count()
+    if not done:
+        done = [left.select("*", F.lit(0).alias("steps"), F.lit(False).alias("converged"))]
+    return same_keys_join(designs, reduce(DataFrame.unionByName, done), keys, "inner")
+
+
+def delta_coefficients(fits: DataFrame, by: list[str]) -> DataFrame:
+    """by, part, term, estimate of the models of ``fit_delta``."""
+    terms = F.concat(
+        F.array(F.lit("intercept"), *[F.lit(f"te_{i}{j}") for i in range(KNOTS) for j in range(KNOTS)]),
+        F.transform(F.slice("years", 2, F.greatest(F.size("years"), F.lit(1))),
+                    lambda y: F.concat(F.lit("year_"), y.cast("string"))),
+        F.array(*[F.lit(t) for c in COVARIATES for t in (c, f"{c}_squared")]))
+    return fits.select(*by, "part", F.inline(F.arrays_zip(terms.alias("term"), F.col("beta").alias("estimate"))))
