@@ -90,3 +90,26 @@ def test_poisson_weights_equal_those_written_as_columns(spark):
         F.try_divide(F.sum(F.col("w") * F.col("total_area")), F.sum("w")).alias("a")).collect()
     assert len(expected) == len(got) == 3 * reps
     assert all(close(got[r.year, r.district, r.rep], (r.c, r.a)) for r in expected)
+
+
+def test_blocks_of_rows_and_slots_give_the_draws_of_the_plain_form(spark, monkeypatch):
+    rows = groups(100) + groups(40, lambda i: None if i == 7 else float(i * i), "b", None) + groups(1, name="c")
+    rows += groups(20, lambda i: float("nan") if i == 3 else 1.0, "d")
+    df = spark.createDataFrame(rows, SCHEMA)
+    plain = means_of(df, reps=1030)  # more than one round of hashes
+    monkeypatch.setattr(bootstrap, "BROADCAST_VALUES", 0)
+    monkeypatch.setattr(bootstrap, "BLOCK_ROWS", 16)
+    blocks = means_of(df, reps=1030)
+    assert set(plain) == set(blocks) and len(blocks) == 4 * 1030
+    assert all(got == pytest.approx(want, rel=1e-12, nan_ok=True)
+               for k in plain for got, want in zip(blocks[k], plain[k]) if want is not None)
+    assert {k for k, v in plain.items() if v[0] is None} == {k for k, v in blocks.items() if v[0] is None}
+
+
+def test_draws_of_the_plain_form_leave_their_tasks_as_sums(spark):
+    df = spark.createDataFrame([r for i in range(40) for r in groups(20, name=f"g{i}")], SCHEMA).repartition(8)
+    means = bootstrap.resampled_means(df, reps=100, by=BY)
+    plan = means._jdf.queryExecution().executedPlan().toString()
+    # Slots lie by position, so that no group's draws are over all tasks.
+    assert "rangepartitioning(_pos" in plan
+    assert means.count() == 4000

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from trawlframe.functions import region_from_district, safe_div, strict_avg, strict_sum
 from trawlframe.operators.ordered import running_totals
-from trawlframe.session import attach_groups, cut_lineage, spread
+from trawlframe.session import attach_groups, cut_lineage
 
 GROUP = ["year", "district", "size_sex"]
 # Rows of three numbers that are broadcast, after counting: tens of MB.
@@ -113,17 +113,18 @@ def resampled_means(cpue: DataFrame, reps: int = 1000, seed: int = 1, by=GROUP,
         running_totals(rows, [], order, {"_pos": F.lit(1).cast("bigint")}).drop("_pos_total"))
     groups = placed.groupBy(*by).agg(
         F.min("_pos").alias("_start"), F.count(F.lit(1)).alias("_n"))
-    slots = attach_groups(placed.select(*by, "_pos"), groups, by).withColumn(
+    slots = attach_groups(placed.select(*by, "_pos", "cpue", "total_area"), groups, by).withColumn(
         "_row", F.col("_pos") - F.col("_start"))
-    # Few rows become ``reps`` times as many, so they are spread evenly first.
-    draws = _replicated(spread(slots.drop("_pos"), *by, "_row"), reps, seed, by, "_row").select(
+    # Beyond what fits in every executor, rows and slots of a group meet in blocks.
+    if placed.count() > BROADCAST_VALUES:
+        return _means_by_blocks(slots, groups, reps, seed, by)
+    # Few rows become ``reps`` times as many, so they are spread first, by position: a task's
+    # draws are of few groups, and it hands on one sum for each of their replicates.
+    n = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    draws = _replicated(slots.drop("cpue", "total_area").repartitionByRange(n, "_pos").drop("_pos"),
+                        reps, seed, by, "_row").select(
         "_start", "rep", (F.col("_start") + F.col("_x") % F.col("_n")).alias("_pos"))
-    values = placed.select("_pos", "cpue", "total_area")
-    # The draws are reps times as many as the rows. While the rows fit in
-    # every executor the draws stay where they are; beyond, both are shuffled
-    # on the position, which spreads evenly.
-    if placed.count() <= BROADCAST_VALUES:
-        values = F.broadcast(values)
+    values = F.broadcast(placed.select("_pos", "cpue", "total_area"))
     means = draws.join(values, "_pos").groupBy("_start", "rep").agg(
         strict_avg("cpue").alias("mean_cpue"), strict_avg("total_area").alias("mean_area"))
     return means.join(groups.select(*by, "_start"), "_start").select(
@@ -136,6 +137,70 @@ MOST = 18
 DRAWS_AT_ONCE, GROUPS_AT_ONCE = 1_000_000, 2000
 # Rows of one slice of a group.
 SLICE_ROWS = 8192
+# Rows of a group, and slots drawing from them, that meet in one task.
+BLOCK_ROWS = 1 << 18
+# Of each replicate: draws, sums of the values, missing ones among them, and whether a sum is NaN.
+BLOCK_SUMS = ("k", "cpue", "area", "no_cpue", "no_area", "nan_cpue", "nan_area")
+
+
+def _means_by_blocks(slots: DataFrame, groups: DataFrame, reps: int, seed: int, by: list[str]) -> DataFrame:
+    """Means of the plain form where blocks of a group's rows meet blocks of its slots.
+
+    A slot's draws follow from its two numbers, so slots are shuffled, once for each block of
+    the group's rows, and no draw is; what leaves a task is a sum for each replicate.
+    """
+    def blocks(n: Column) -> Column:
+        return F.ceil(n / F.lit(BLOCK_ROWS)).cast("int")
+
+    def every(n: Column) -> Column:
+        return F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+
+    own = F.floor(F.col("_row") / F.lit(BLOCK_ROWS)).cast("int")
+    keys = ["_start", "_round", "_slots", "_rows"]
+    last = F.lit((reps - 1) // ROUND)
+    asking = (_hashed(slots, reps, seed, by, "_row").withColumn("_rows", every(F.col("_n")))
+              .select("_start", "_round", own.alias("_slots"), "_rows", "_n", "_a", "_b"))
+    values = [c for v in ("cpue", "total_area") for c in (
+        F.coalesce(F.col(v).cast("double"), F.lit(0.0)).alias(v), F.col(v).isNull().cast("double").alias(f"no_{v}"))]
+    asked = (slots.withColumns({"_slots": every(F.col("_n")), "_rows": own})
+             .withColumn("_round", F.explode(F.sequence(F.lit(0), last)))
+             # New names for the same columns, so that the two sides can be told apart.
+             .select(*[F.col(c).alias(c) for c in (*keys, "_row")], *values))
+    size = BLOCK_ROWS
+
+    def work(key, ask: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        return _block_sums(key, ask, rows, reps, size)
+
+    sums = asking.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(
+        work, "_start long, start int, " + ", ".join(f"{c} array<double>" for c in BLOCK_SUMS))
+    totals = sums.select("_start", "start", F.posexplode(
+        F.arrays_zip(*BLOCK_SUMS)).alias("i", "s")).groupBy(
+        "_start", (F.col("start") + F.col("i")).cast("int").alias("rep")).agg(
+        *[F.sum(f"s.{c}").alias(c) for c in BLOCK_SUMS])
+    # One missing value among the draws makes the mean missing.
+    return totals.join(groups.select(*by, "_start"), "_start").select(
+        *by, "rep", *[F.when(F.col(f"no_{v}") == 0, F.when(F.col(f"nan_{v}") > 0, F.lit(math.nan)).otherwise(
+            safe_div(v, "k"))).alias(f"mean_{v}") for v in ("cpue", "area")])
+
+
+def _block_sums(key: tuple, ask: pd.DataFrame, rows: pd.DataFrame, reps: int, block: int) -> pd.DataFrame:
+    """What the draws of one block of slots from one block of rows sum to in each replicate."""
+    start, number, _, part = (int(k) for k in key)
+    many, base = min(reps - number * ROUND, ROUND), part * block
+    rows = rows.sort_values("_row")
+    values = [rows[c].to_numpy(float) for c in ("cpue", "total_area", "no_cpue", "no_total_area")]
+    a, b, n = ask["_a"].to_numpy(np.int64), ask["_b"].to_numpy(np.int64), int(ask["_n"].iloc[0])
+    sums = np.zeros((len(BLOCK_SUMS), many))
+    for rep in range(many):
+        at = (a + rep * b) % PRIME % n - base
+        at = at[(at >= 0) & (at < len(rows))]
+        sums[0, rep] = len(at)
+        sums[1:5, rep] = [v[at].sum() for v in values]
+    # NaN in a list would come back as NULL.
+    sums[5:] = np.isnan(sums[1:3])
+    sums[1:3] = np.nan_to_num(sums[1:3], nan=0.0, posinf=np.inf, neginf=-np.inf)
+    return pd.DataFrame({"_start": [start], "start": [number * ROUND + 1],
+                         **{c: [sums[i]] for i, c in enumerate(BLOCK_SUMS)}})
 
 
 def _sums_schema(rows: DataFrame, by: list[str], more: str) -> str:
