@@ -1,5 +1,6 @@
 import collections
 import math
+import os
 import random
 import re
 from zlib import crc32
@@ -147,3 +148,24 @@ def test_rare_contexts_are_kept_whatever_is_in_memory(docs, monkeypatch, bound):
     rows = list(enumerate(ODD + [prose(i) + (f" {phrase} end" if i % 25 == 0 else "") for i in range(150)] + [phrase]))
     got = {r.doc_id: r.score for r in score_documents(docs(*rows).repartition(4), training()).collect()}
     assert got == pytest.approx(tree_scores(rows), abs=1e-6)
+
+
+def test_tables_between_are_gone_when_the_model_is_made(spark):
+    from urllib.parse import urlparse
+
+    from trawlframe.session import cut_lineage, scratch_folder
+
+    docs = spark.createDataFrame(
+        [(i, "a b c a b d " * (1 + i % 3)) for i in range(30)], "doc_id long, text string")
+    cut_lineage(spark.range(1))  # so that there is a checkpoint folder
+
+    def left():
+        folders = (scratch_folder(spark), spark.sparkContext.getCheckpointDir())
+        tables, checkpoints = (os.listdir(urlparse(f).path) if os.path.isdir(urlparse(f).path) else [] for f in folders)
+        return {x for x in tables if x.startswith("table-")}, {x for x in checkpoints if x.startswith("rdd-")}
+
+    tables, checkpoints = left()
+    assert score_documents(docs, F.lit(True)).count() == 30
+    now = left()
+    assert not now[0] - tables
+    assert len(now[1] - checkpoints) <= 3  # words, gains, scored texts

@@ -18,7 +18,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trawlframe.llm.common import shuffle_partitions
+from trawlframe.llm.common import discard, shuffle_partitions, written
 from trawlframe.llm.words import mixed, text_bytes, word_hashes
 from trawlframe.session import cut_lineage
 
@@ -304,17 +304,18 @@ def _model(counted: DataFrame, items: DataFrame, total: int, distinct: int) -> D
     pairs = (items.where("second = 0").drop("second")
              .join(words.select(F.col("hash").alias("word"), base.alias("predicted")), "word")
              .join(words.select(F.col("hash").alias("first"), F.col("count").alias("total")), "first"))
-    pairs = cut_lineage(pairs)
-    short = cut_lineage(_kept_contexts(pairs, ["first"]))
+    pairs = written(pairs)
+    short = written(_kept_contexts(pairs, ["first"]))
     smoothed = F.col("weight") * F.col("predicted") + part
-    pairs = cut_lineage(pairs.join(short.drop("total"), "first", "left").withColumn(
+    unsmoothed, pairs = pairs, written(pairs.join(short.drop("total"), "first", "left").withColumn(
         "smoothed", F.coalesce(smoothed, "predicted")))
+    discard(unsmoothed)
     triples = (items.where("second <> 0")
                .join(pairs.select("first", "word", F.col("smoothed").alias("predicted")), ["first", "word"])
                .join(pairs.select(F.col("first").alias("second"), F.col("word").alias("first"),
                                   F.col("n").alias("total")), ["second", "first"]))
-    triples = cut_lineage(triples)
-    long = cut_lineage(_kept_contexts(triples, ["second", "first"]))
+    followed = triples = written(triples)
+    long = written(_kept_contexts(triples, ["second", "first"]))
     triples = triples.join(long.drop("total"), ["second", "first"]).withColumn("smoothed", smoothed)
 
     def contexts(kept):
@@ -331,7 +332,10 @@ def _model(counted: DataFrame, items: DataFrame, total: int, distinct: int) -> D
     one, *others = (p.select(*names) for p in parts)
     for other in others:
         one = one.unionByName(other)
-    return cut_lineage(one)
+    model = written(one)
+    for table in (pairs, short, followed, long):
+        discard(table)
+    return model
 
 
 def _columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
@@ -614,9 +618,12 @@ def score_documents(docs: DataFrame, training: Column, id_column: str = "doc_id"
     total, distinct = counted.select(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     words = _common_words(counted, total, distinct)
     shared = spark.sparkContext.broadcast(words)
-    found = _model(counted, cut_lineage(_count_contexts(learnt, buckets)), total, distinct)
+    items = written(_count_contexts(learnt, buckets))
+    found = _model(counted, items, total, distinct)
+    discard(items)
     tree = _tree(found, words)
     gains = cut_lineage(_pack_gains(found, shared, buckets))
+    discard(found)
     model = spark.sparkContext.broadcast((words, tree, _filter(gains, buckets)))
     scored = cut_lineage(_score_known(source, model, buckets))
     texts = scored.where("bucket is null").select(
