@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trawlframe.functions import safe_div, strict_sum
-from trawlframe.session import attach_groups, cut_lineage, same_keys_join
+from trawlframe.session import ROW_BYTES, attach_groups, cut_lineage, same_keys_join, spread
 
 
 def _components(edges: DataFrame) -> DataFrame:
@@ -119,7 +119,8 @@ def spatial_patches(df: DataFrame, x: str, y: str, z: str, w: str, by: list[str]
     tiles = _tile_blocks(positive.select(*by, "_tx", "_ty").distinct(), by)
     while True:
         blocked = attach_groups(positive, tiles, [*by, "_tx", "_ty"])
-        ordered = blocked.repartition("_block").sortWithinPartitions(
+        # One block is one task's work, so blocks are not merged into fewer tasks.
+        ordered = spread(blocked, "_block").sortWithinPartitions(
             "_block", F.col("z").desc(), F.col(station))
         schema = T.StructType([
             *ordered.schema.fields, T.StructField("_local", T.IntegerType()),
@@ -156,12 +157,14 @@ def _place_null(null, centres, by, station, limit, merge_single) -> DataFrame:
         *by, "patch", "cx", "cy",
         (F.col("_cx") + F.col("_i")).alias("_tx"), (F.col("_cy") + F.col("_j")).alias("_ty"),
     )
-    point = [*by, station, "x", "y", "z", "w", "_row"]
-    pairs = same_keys_join(null, near, [*by, "_tx", "_ty"])
-    distance = F.sqrt(F.pow(F.col("x") - F.col("cx"), 2) + F.pow(F.col("y") - F.col("cy"), 2))
-    placed = pairs.groupBy(*point).agg(F.min(F.when(
-        distance < limit, F.struct(distance.alias("d"), F.col("patch")))).alias("_best"))
-    placed = placed.select(*point[:-1], F.coalesce(F.col("_best.patch"), F.lit(0)).alias("patch"))
+    # The centres around a tile are one row, so every point finds its nearest by itself.
+    near = near.groupBy(*by, "_tx", "_ty").agg(F.collect_list(F.struct("cx", "cy", "patch")).alias("_near"))
+    pairs = attach_groups(null, near, [*by, "_tx", "_ty"], row_bytes=8 * ROW_BYTES)
+    distances = F.transform("_near", lambda c: F.struct(
+        F.sqrt(F.pow(F.col("x") - c["cx"], 2) + F.pow(F.col("y") - c["cy"], 2)).alias("d"),
+        c["patch"].alias("patch")))
+    best = F.array_min(F.filter(distances, lambda c: c["d"] < limit))
+    placed = pairs.select(*by, station, "x", "y", "z", "w", F.coalesce(best["patch"], F.lit(0)).alias("patch"))
     if merge_single:
         return placed
     alone = placed.groupBy(*by).agg(F.count_if(F.col("patch") == 0).alias("_alone"))
@@ -214,11 +217,12 @@ def patch_summary(patches: DataFrame, by: list[str], min_share: float = 10.0,
     ``max_patch_over`` is the highest number among them.
     """
     q = F.col("z") * F.col("w")
-    each = patches.groupBy(*by, "patch").agg(
+    # One row for each patch, read by both totals and by the result.
+    each = cut_lineage(patches.groupBy(*by, "patch").agg(
         safe_div(F.sum(q * F.col("x")), F.sum(q)).alias("xg"),
         safe_div(F.sum(q * F.col("y")), F.sum(q)).alias("yg"),
         F.sum(q).alias("_q"), F.sum("w").alias("_w"),
-    )
+    ))
     totals = each.groupBy(*by).agg(strict_sum("_q").alias("_tq"), strict_sum("_w").alias("_tw"))
     each = attach_groups(each, totals, by).withColumns({
         "_share": safe_div("_q", "_tq") * 100.0, "parea": safe_div("_w", "_tw"),
