@@ -262,7 +262,7 @@ def histogram(spark, sf_dir):
 def complete_cells(spark, sf_dir):
     """Fourth-root CPUE of the stations present in every year, empty ones dropped."""
     # Read by the count of years, both choices of series and the panel itself.
-    cells = cut_lineage(cpue_frame(spark, sf_dir).groupBy("year", "station", "size_sex").agg(
+    cells = cut_lineage(cpue_frame(spark, sf_dir, spread_out=True).groupBy("year", "station", "size_sex").agg(
         strict_avg("cpue").alias("cpue")))
     full = panel.balanced_panel(cells, "station", "year", "cpue", "every_period")
     return panel.drop_zero_series(full, "station", "cpue", ["size_sex"]).withColumn(
