@@ -151,3 +151,30 @@ def test_frequent_items_are_all_found(monkeypatch):
     whole.settle()
     often = {k for k, n in zip(*np.unique(stream, return_counts=True)) if n > len(stream) / 50}
     assert often and often <= set(whole.keys.tolist()) and len(whole.keys) <= 50
+
+
+def test_a_crowd_near_the_threshold_is_not_asked_pair_by_pair(docs, monkeypatch):
+    # Two changed words in a hundred each: any two texts are alike to 0.66, a few to more.
+    r = random.Random(9)
+    base, texts = r.choices(VOCABULARY, k=100), []
+    for i in range(60):
+        words = list(base)
+        for at in r.sample(range(4, 96), 2):
+            words[at] = f"own{i}x{at}"
+        texts.append(" ".join(words))
+    asked = []
+    questions = ngram_join._open_questions
+
+    def counted(*args):
+        asked.append(questions(*args).count())
+        return questions(*args)
+
+    monkeypatch.setattr(ngram_join, "_open_questions", counted)
+    monkeypatch.setattr(ngram_join, "SHORT_LIST", 2)
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    rows = list(enumerate(texts))
+    got = sorted((tuple(x) for x in near_duplicates(docs(*rows)).collect()), key=str)
+    assert got == expected(rows)
+    assert len({c for _, _, c in got}) > 20
+    # Before, 60 texts asked each other one by one.
+    assert 0 < sum(asked) < 60 * 60 / 5

@@ -3,7 +3,7 @@
 Prefix-filtered inverted lists whose entries carry set size and position. Blocks of a
 list are skipped by size and position; sets that only share passages are told apart
 by how many prefix entries they share; in long lists, sets are compared with one
-pivot first, and what is known of the pivot answers for sets much like it.
+pivot first, and what is still apart meets in parcels of sets much like each other.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ SHINGLE = 5
 COUNTERS, FREQUENT = 1 << 17, 16
 # Lists up to this length are met pair by pair; longer ones through pivots.
 SHORT_LIST = 64
-# Classes of a component, and classes asking for it, that meet in one group.
+# Classes of a parcel, and classes asking for it, that meet in one group.
 BLOCK = 256
 # Entries a task holds before it hands them on.
 BUFFER = 1_000_000
@@ -314,7 +314,9 @@ def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b, size_a, size_b and the overlap of their whole sets."""
     sides = [sets.select(F.col("class").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "ab"]
     pairs = cut_lineage(pairs.select("a", "b").distinct())
-    joined = sides[0].join(_small(pairs, 32), "a").join(sides[1], "b")
+    # Only sets that some pair names travel to it.
+    named = sides[1].join(_small(cut_lineage(pairs.select("b").distinct()), 16), "b", "left_semi")
+    joined = sides[0].join(_small(pairs, 32), "a").join(named, "b")
     return cut_lineage(joined.select(
         "a", "b", (F.octet_length("set_a") / 8).cast("long").alias("size_a"),
         (F.octet_length("set_b") / 8).cast("long").alias("size_b"), _overlap("set_a", "set_b").alias("overlap")))
@@ -333,80 +335,101 @@ def _crossing(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _pivots(entries: DataFrame) -> DataFrame:
-    """Each class of a long list with the list's first class of like size, and how often.
+    """Each class of a long list with the list's first class of like size, how often, and a size.
 
     Classes fall in bands of size a factor 4/3 wide; first classes of neighbouring
     bands are paired too, so whatever can link is joined by a path of pairs.
     """
     banded = entries.withColumn("band", F.floor(F.log(F.col("size").cast("double")) / F.lit(float(np.log(4 / 3)))))
-    firsts = banded.groupBy("shingle", "band").agg(F.min("class").alias("pivot"))
-    own = banded.join(firsts, ["shingle", "band"]).select("class", "pivot")
-    above = firsts.select("shingle", (F.col("band") - 1).alias("band"), F.col("pivot").alias("class"))
-    between = firsts.join(above, ["shingle", "band"]).select("class", "pivot")
+    firsts = banded.groupBy("shingle", "band").agg(F.min("class").alias("pivot"), F.min("size").alias("least"))
+    own = banded.join(firsts, ["shingle", "band"]).select("class", "pivot", "size")
+    above = firsts.select("shingle", (F.col("band") - 1).alias("band"), F.col("pivot").alias("class"),
+                          F.col("least").alias("size"))
+    between = firsts.join(above, ["shingle", "band"]).select("class", "pivot", "size")
     return (own.union(between).where("class != pivot")
-            .groupBy(F.col("class").alias("a"), F.col("pivot").alias("b")).agg(F.count(F.lit(1)).alias("times")))
+            .groupBy(F.col("class").alias("a"), F.col("pivot").alias("b"))
+            .agg(F.count(F.lit(1)).alias("times"), F.min("size").alias("size")))
+
+
+def _hub_pairs(pairs: DataFrame) -> DataFrame:
+    """Of each class's pairs the one with the class that has most of them, as (class, hub)."""
+    both = cut_lineage(pairs.select("a", "b").union(pairs.select("b", "a")))
+    degrees = both.groupBy(F.col("b")).agg(F.count(F.lit(1)).alias("degree"))
+    picked = both.join(degrees, "b").groupBy("a").agg(F.max_by("b", F.struct("degree", "b")).alias("b"))
+    # Two classes may have picked each other.
+    return (picked.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+            .agg(F.min(F.struct("a", "b")).alias("k")).select("k.a", "k.b"))
+
+
+def _parcels(labels: DataFrame, hubs: DataFrame) -> DataFrame:
+    """label, parcel: components of few classes put together, some BLOCK classes to a parcel.
+
+    ``labels`` has class and label, ``hubs`` the pivot a class meets most often. Components
+    around one pivot lie together, as they stand in the same lists; one of more than
+    BLOCK / 2 classes is a parcel of its own.
+    """
+    around = (labels.join(hubs, "class", "left").groupBy("label")
+              .agg(F.count(F.lit(1)).alias("crowd"), F.min(F.coalesce("hub", "class")).alias("hub")))
+    few = around.where(F.col("crowd") <= BLOCK // 2)
+    blocks = few.groupBy("hub").agg(_ceil(F.sum("crowd"), BLOCK).alias("blocks"))
+    number = F.pmod(F.xxhash64("label"), F.col("blocks"))
+    return (few.join(blocks, "hub").select("label", F.xxhash64("hub", number).alias("parcel"))
+            .union(around.where(F.col("crowd") > BLOCK // 2).select("label", F.xxhash64("label").alias("parcel"))))
 
 
 def _open_questions(labelled: DataFrame) -> DataFrame:
-    """class, size, target: classes that may link to a member of a larger component.
+    """class, label, target: classes that may link to a member of a parcel with another label.
 
-    ``labelled`` has the entries of lists that hold more than one label, with the
-    number of classes of each label. A component stands in a list once, with its
-    range of sizes, so a class meets a crowd of copies as one. It must share as many
-    lists with the component as its least demanding member could need.
+    ``labelled`` has the entries of lists that hold more than one label, with the parcel of
+    each label and the number of its classes; the smaller parcel asks. A parcel stands in
+    a list once, with its range of sizes, so a class meets a crowd of others as one. It must
+    share as many lists with the parcel as its least demanding member could need.
     """
-    heads = labelled.groupBy("shingle", F.col("label").alias("target"), F.col("crowd").alias("target_crowd")).agg(
-        F.min("size").alias("low"), F.max("size").alias("high"))
+    heads = labelled.groupBy("shingle", F.col("parcel").alias("target"), F.col("crowd").alias("target_crowd")).agg(
+        F.min("size").alias("low"), F.max("size").alias("high"),
+        F.min("label").alias("first"), F.max("label").alias("last"))
     size = F.col("size")
-    larger = F.struct("crowd", "label") < F.struct("target_crowd", "target")
+    asks = F.struct("crowd", "parcel") <= F.struct("target_crowd", "target")
+    others = (F.col("first") != F.col("label")) | (F.col("last") != F.col("label"))
     met = (labelled.join(heads, "shingle")
-           .where(larger & (4 * F.col("high") >= 3 * size) & (4 * size >= 3 * F.col("low")))
-           .groupBy("class", "size", "target")
+           .where(asks & others & (4 * F.col("high") >= 3 * size) & (4 * size >= 3 * F.col("low")))
+           .groupBy("class", "label", "size", "target")
            .agg(F.count(F.lit(1)).alias("shared"), F.min("low").alias("low"), F.max("high").alias("high")))
     low = F.greatest("low", _ceil(3 * size, 4))
     high = F.least("high", F.floor(4 * size / 3))
     # Between its ends the need is not lower, but for one by rounding.
     return met.where(F.col("shared") >= F.least(_needed(size, low), _needed(size, high)) - 1).select(
-        "class", "size", "target")
+        "class", "label", "target")
 
 
 def _block_links(key, members: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
-    """One link of each asking class to a block of one component's members, if it has any.
+    """One link of each asking class to each other component in a block of members, if it has any.
 
-    The overlap with a pivot that both were compared with answers first: two sets
-    share at most min(p, q) + min(size - p, size - q) and at least p + q - size of
-    the pivot, for overlaps p and q with it. Only then the sets are compared.
+    The members' shingles are one sorted list, with who holds each; a look into it counts what
+    an asking class shares with all of them.
     """
     out = []
+    if not len(members) or not len(asking):
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
     sets = [np.frombuffer(x, np.uint64) for x in members["shingles"]]
+    classes, labels = members["cls"].to_numpy(), members["label"].to_numpy()
     sizes = np.array([len(x) for x in sets], np.int64)
-    pivots, overlaps = members["pivot"].to_numpy(), members["overlap"].to_numpy(float)
+    shingles, holders = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
+    order = np.argsort(shingles, kind="stable")
+    shingles, holders = shingles[order], holders[order]
     for row in asking.itertuples(index=False):
         own = np.frombuffer(row.shingles, np.uint64)
-        n = len(own)
-        alike = np.flatnonzero((4 * sizes >= 3 * n) & (3 * sizes <= 4 * n))
-        if not len(alike):
-            continue
-        both = sizes[alike] + n
-        most, least = np.minimum(sizes[alike], n).astype(float), np.zeros(len(alike))
-        if row.pivot == row.pivot:  # else it was compared with none
-            same = pivots[alike] == row.pivot
-            q = overlaps[alike]
-            most = np.where(same, np.minimum(row.overlap, q) + np.minimum(n - row.overlap, sizes[alike] - q), most)
-            least = np.where(same, row.overlap + q - row.pivot_size, least)
-        certain = alike[100 * least >= 75 * (both - least)]
-        if len(certain):
-            out.append((row.cls, members["cls"].iloc[int(certain[0])]))
-            continue
-        for i in alike[100 * most >= 75 * (both - most)]:
-            common = len(np.intersect1d(own, sets[i], assume_unique=True))
-            if 100 * common >= 75 * (n + sizes[i] - common):
-                out.append((row.cls, members["cls"].iloc[int(i)]))
-                break
+        start = np.searchsorted(shingles, own, "left")
+        times = np.searchsorted(shingles, own, "right") - start
+        at = np.repeat(start - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        common = np.bincount(holders[at], minlength=len(sets))
+        near = np.flatnonzero((100 * common >= 75 * (sizes + len(own) - common)) & (labels != row.label))
+        near = near[np.unique(labels[near], return_index=True)[1]]
+        out.extend((row.cls, int(other)) for other in classes[near])
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def _links_across(entries: DataFrame, labels: DataFrame, compared: DataFrame, sets: DataFrame) -> DataFrame:
+def _links_across(entries: DataFrame, labels: DataFrame, hubs: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) through long lists between components, at least one of each two that link.
 
     Members of the target and the classes that ask meet in blocks of both, so sets
@@ -416,36 +439,34 @@ def _links_across(entries: DataFrame, labels: DataFrame, compared: DataFrame, se
     labelled = (entries.select("shingle", "class", "size")
                 .join(labels.select(F.col("node").alias("class"), "label"), "class", "left")
                 .withColumn("label", F.coalesce("label", "class")))
-    crowds = labelled.select("class", "label").distinct().groupBy("label").agg(F.count(F.lit(1)).alias("crowd"))
     mixed_lists = (labelled.groupBy("shingle").agg(F.min("label").alias("x"), F.max("label").alias("y"))
                    .where("x != y").select("shingle"))
-    labelled = cut_lineage(labelled.join(mixed_lists, "shingle", "left_semi").join(crowds, "label"))
-    asked = cut_lineage(_open_questions(labelled))
+    labelled = cut_lineage(labelled.join(mixed_lists, "shingle", "left_semi"))
+    members = labelled.select("class", "label").distinct()
+    members = cut_lineage(members.join(_parcels(members, hubs), "label"))
+    crowds = members.groupBy("parcel").agg(F.count(F.lit(1)).alias("crowd"))
+    asked = cut_lineage(_open_questions(
+        labelled.join(members.select("class", "parcel"), "class").join(crowds, "parcel")))
     blocks = cut_lineage(
         asked.groupBy("target").agg(F.count(F.lit(1)).alias("asking")).join(
-            crowds.withColumnRenamed("label", "target"), "target")
+            crowds.withColumnRenamed("parcel", "target"), "target")
         .select("target", _ceil(F.col("asking"), BLOCK).cast("int").alias("asking_blocks"),
                 _ceil(F.col("crowd"), BLOCK).cast("int").alias("member_blocks")))
-    best = (compared.groupBy(F.col("a").alias("class"))
-            .agg(F.max_by(F.struct(F.col("b").alias("pivot"), "overlap", F.col("size_b").alias("pivot_size")),
-                          "overlap").alias("k")).select("class", "k.*"))
 
     keys = ["target", "member_block", "asking_block"]
 
     def side(rows: DataFrame, own: str, other: str) -> DataFrame:
-        number = F.pmod(F.xxhash64("cls"), F.col(f"{own}_blocks")).cast("int")
+        number = F.pmod(F.xxhash64("class"), F.col(f"{own}_blocks")).cast("int")
         every = F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1))
-        placed = (rows.join(blocks, "target").join(sets, "class").join(best, "class", "left")
-                  .withColumnRenamed("class", "cls").withColumns({f"{own}_block": number, f"{other}_block": every}))
+        placed = cut_lineage(rows.join(blocks, "target").withColumns(
+            {f"{own}_block": number, f"{other}_block": every}).select("class", "label", *keys))
+        placed = sets.join(_small(placed, 48), "class").withColumnRenamed("class", "cls")
         # New names for the same columns, so that the two sides can be told apart.
-        return placed.select(*[F.col(c).alias(c) for c in (
-            *keys, "cls", "shingles", "pivot", "overlap", "pivot_size")])
+        return placed.select(*[F.col(c).alias(c) for c in (*keys, "cls", "label", "shingles")])
 
-    everyone = entries.select("class").distinct().join(
-        labels.select(F.col("node").alias("class"), "label"), "class", "left").select(
-        "class", F.coalesce("label", "class").alias("target"))
+    everyone = members.select("class", "label", F.col("parcel").alias("target"))
     return (side(everyone, "member", "asking").groupBy(*keys)
-            .cogroup(side(asked.select("class", "target"), "asking", "member").groupBy(*keys))
+            .cogroup(side(asked, "asking", "member").groupBy(*keys))
             .applyInPandas(_block_links, "a long, b long"))
 
 
@@ -517,16 +538,20 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     stars = cut_lineage(_pivots(entries))
     firsts = stars.groupBy("a").agg(F.max_by("b", F.struct("times", "b")).alias("b"))
     # First what is most likely to link; then only pairs whose components still differ.
-    compared = _compare(firsts.union(pairs.where("enough").select("a", "b")), sets)
+    compared = _compare(firsts.union(_hub_pairs(pairs.where("enough"))), sets)
     links = _links(compared)
     labels = components(links)
-    rest = stars.select("a", "b").union(pairs.where("not enough").select("a", "b"))
-    more = _links(_compare(_crossing(rest, labels).join(compared, ["a", "b"], "left_anti"), sets))
+    # Pivots met too seldom to link by that alone are left to the parcels.
+    likely = stars.where(F.col("times") >= _needed(F.col("size"), F.col("size")))
+    rest = likely.select("a", "b").union(pairs.select("a", "b"))
+    seen = compared.select("a", "b").union(compared.select("b", "a"))
+    more = _links(_compare(_crossing(rest, labels).join(seen, ["a", "b"], "left_anti"), sets))
     if not more.isEmpty():
         links = links.union(more)
         labels = components(links)
     if not entries.isEmpty():
-        more = cut_lineage(_links_across(entries, labels, compared, sets))
+        hubs = firsts.select(F.col("a").alias("class"), F.col("b").alias("hub"))
+        more = cut_lineage(_links_across(entries, labels, hubs, sets))
         if not more.isEmpty():
             labels = components(links.union(more))
 
