@@ -13,7 +13,7 @@ from survey_queries.registry import query
 from survey_queries.space import TOTAL_CTE, station_total
 from trawlframe.functions import fourth_root, log_plus_one, strict_avg
 from trawlframe.operators import impute, models, pairs, panel, pca, prep, series
-from trawlframe.session import cut_lineage
+from trawlframe.session import BROADCAST_BYTES, ROW_BYTES, cut_lineage
 
 K = 20
 # Copies of each imputed panel.
@@ -409,17 +409,24 @@ def stratum_pca(spark, sf_dir):
 # -- delta models ----------------------------------------------------------------------------
 
 def taxa_rows(spark, sf_dir):
-    """Catch and covariates by station, year and class; price stands for depth."""
+    """Catch and covariates by station, year and class; price stands for depth.
+
+    Depths meet the temperatures, before a station is a row for each class: broadcast where
+    the counted stations are few, else joined by key, whatever size the planner takes them for.
+    """
     days = views.table(spark, sf_dir, "lineitem").groupBy(
         F.col("l_partkey").alias("station"), F.year("l_shipdate").alias("year")
     ).agg(F.min(F.dayofyear("l_shipdate")).alias("julian"))
     depth = views.table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("station"), F.ln("p_retailprice").alias("logdepth"))
-    temps = views.haul(spark, sf_dir).select("year", "station", F.col("gear_temp").alias("bottom_temp"))
+    few = depth.count() * ROW_BYTES <= BROADCAST_BYTES
+    temps = views.haul(spark, sf_dir).select(
+        "year", "station", F.col("gear_temp").alias("bottom_temp")
+    ).join(F.broadcast(depth) if few else depth.hint("merge"), "station")
     return (
         cpue_frame(spark, sf_dir).select("year", "station", "lat", "lon",
                                          F.col("size_sex").alias("taxon"), F.col("num_crab").alias("abund"))
-        .join(temps, ["year", "station"]).join(days, ["year", "station"]).join(depth, "station")
+        .join(temps, ["year", "station"]).join(days, ["year", "station"])
         .filter(F.col("bottom_temp") > -10)
     )
 

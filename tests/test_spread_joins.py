@@ -1,11 +1,11 @@
-"""Joins of a large catch keep all shuffle partitions."""
+"""Joins of a large catch keep all shuffle partitions, and depths are broadcast only where counted few."""
 
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from survey_queries import estimates
+from survey_queries import estimates, relations
 from trawlframe.operators import cpue
 
 N = 200
@@ -31,3 +31,18 @@ def test_large_catch_is_joined_in_all_partitions(spark, tables, monkeypatch):
     where = many.select(F.spark_partition_id().alias("p")).distinct().count()
     assert where == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert sorted(few.collect(), key=str) == sorted(many.collect(), key=str)
+
+
+def test_many_depths_are_joined_by_key(spark, tables, monkeypatch):
+    def joined():
+        rows = relations.taxa_rows(spark, tables)
+        return rows._jdf.queryExecution().sparkPlan().toString(), sorted(rows.collect(), key=str)
+
+    def depth(plan):
+        return next(line for line in plan.splitlines() if "Join" in line and "year" not in line and "brand" not in line)
+
+    plan, rows = joined()
+    assert "BroadcastHashJoin" in depth(plan)
+    monkeypatch.setattr(relations, "BROADCAST_BYTES", 0)
+    plan, same_rows = joined()
+    assert "SortMergeJoin" in depth(plan) and rows == same_rows and len(rows) > 0
