@@ -35,8 +35,12 @@ FILTER_BITS = 1 << 27
 # occurrences from which a context or a successor counts, in a corpus of any size.
 DIVERGENCE, DISCOUNT, LEAST_COUNT = 20.0, 0.75, 2
 # Distinct items a task gathers before it hands them on.
-BUFFER = 2_000_000
+BUFFER = 1_000_000
 BUCKETS_PER_PARTITION = 4
+# Stands for a word that is not in the table of common words, which has COMMON_WORDS at most.
+UNCOMMON = (1 << 32) - 1
+# Parts of the texts that are scored one after the other.
+TEXT_SLICES = 4
 _SYMBOL_BITS = np.int64(17)
 # Tell the keys of contexts and of the words after them apart.
 _PAIR, _SHORTER, _LONGER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -210,12 +214,30 @@ def _summed_items(seconds, firsts, words, counts):
     return seconds[at], firsts[at], words[at], np.add.reduceat(counts, at), np.flatnonzero(new_pair[at])
 
 
-def _count_contexts(texts: DataFrame, buckets: int) -> DataFrame:
+def _coded(words: Words, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list, list]:
+    """Places of the common words in their table, and the hashes of all others, of each range."""
+    common, at = words.find(hashes)
+    codes = np.where(common, at, UNCOMMON).astype(np.uint32)
+    return ([codes[x:y].tobytes() for x, y in zip(starts, ends)],
+            [hashes[x:y][~common[x:y]].tobytes() for x, y in zip(starts, ends)])
+
+
+def _decoded(words: Words, codes: np.ndarray, others: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(codes), np.uint64)
+    common = codes != UNCOMMON
+    out[common] = words.keys[codes[common]]
+    out[~common] = others
+    return out
+
+
+def _count_contexts(texts: DataFrame, words_of: Broadcast, buckets: int) -> DataFrame:
     """second, first, word, n: words after one (second is 0) and two words, from LEAST_COUNT on.
 
     A pair of words and all triples ending in it are in one bucket, so triples alone are
-    shuffled, each task's distinct ones once.
+    shuffled, each task's distinct ones once, and a common word by its place in their table.
     """
+    names = ["bucket", "firsts", "other_firsts", "words", "other_words", "seconds", "other_seconds", "runs", "counts"]
+
     def packed(parts):
         seconds, firsts, words, counts, starts = _summed_items(
             *(np.concatenate(c) for c in zip(*parts)))
@@ -225,13 +247,13 @@ def _count_contexts(texts: DataFrame, buckets: int) -> DataFrame:
         items = np.argsort(np.repeat(bucket, runs), kind="stable")
         edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket[order])) + 1, [len(order)]])
         ends = np.concatenate([[0], np.cumsum(runs[order])])[edges]
-        cut = [(c, e) for c, e in ((firsts[starts][order], edges), (words[starts][order], edges),
-                                   (runs[order].astype(np.uint32), edges), (seconds[items], ends),
-                                   (counts[items].astype(np.uint32), ends))]
+        columns = []
+        for hashes, e in ((firsts[starts][order], edges), (words[starts][order], edges), (seconds[items], ends)):
+            columns += _coded(words_of.value, hashes, e[:-1], e[1:])
+        for numbers, e in ((runs[order], edges), (counts[items], ends)):
+            columns.append([numbers[x:y].astype(np.uint32).tobytes() for x, y in zip(e[:-1], e[1:])])
         return pa.RecordBatch.from_arrays(
-            [pa.array(bucket[order][edges[:-1]].astype(np.int32)),
-             *(pa.array([c[x:y].tobytes() for x, y in zip(e[:-1], e[1:])], pa.binary()) for c, e in cut)],
-            ["bucket", "firsts", "words", "runs", "seconds", "counts"])
+            [pa.array(bucket[order][edges[:-1]].astype(np.int32)), *(pa.array(c, pa.binary()) for c in columns)], names)
 
     def gather(batches):
         parts, size = [], 0
@@ -251,10 +273,13 @@ def _count_contexts(texts: DataFrame, buckets: int) -> DataFrame:
         def column(name, kind):
             return np.frombuffer(b"".join(rows[name]), kind)
 
+        def decoded(name):
+            return _decoded(words_of.value, column(name, np.uint32), column(f"other_{name}", np.uint64))
+
         runs = column("runs", np.uint32)
         seconds, firsts, words, counts, starts = _summed_items(
-            column("seconds", np.uint64), np.repeat(column("firsts", np.uint64), runs),
-            np.repeat(column("words", np.uint64), runs), column("counts", np.uint32).astype(np.int64))
+            decoded("seconds"), np.repeat(decoded("firsts"), runs),
+            np.repeat(decoded("words"), runs), column("counts", np.uint32).astype(np.int64))
         sums = np.add.reduceat(counts, starts)
         pair, triple = starts[sums >= LEAST_COUNT], (counts >= LEAST_COUNT) & (seconds > 0)
         return pd.DataFrame({
@@ -263,7 +288,7 @@ def _count_contexts(texts: DataFrame, buckets: int) -> DataFrame:
             "word": np.concatenate([words[pair], words[triple]]).view(np.int64),
             "n": np.concatenate([sums[sums >= LEAST_COUNT], counts[triple]])})
 
-    return (texts.mapInArrow(gather, "bucket int, firsts binary, words binary, runs binary, seconds binary, counts binary")
+    return (texts.mapInArrow(gather, "bucket int, " + ", ".join(f"{name} binary" for name in names[1:]))
             .groupBy("bucket").applyInPandas(merge, "second long, first long, word long, n long"))
 
 
@@ -614,25 +639,43 @@ def score_documents(docs: DataFrame, training: Column, id_column: str = "doc_id"
     source = docs.select(F.col(id_column).alias("id"), (~trains).alias("held_out"),
                          F.coalesce(text_column, F.lit("")).alias("text"))
     learnt = source.where("not held_out").select("text")
-    counted = cut_lineage(_count_words(learnt, buckets))
+    counted = written(_count_words(learnt, buckets))
     total, distinct = counted.select(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     words = _common_words(counted, total, distinct)
     shared = spark.sparkContext.broadcast(words)
-    items = written(_count_contexts(learnt, buckets))
+    items = written(_count_contexts(learnt, shared, buckets))
     found = _model(counted, items, total, distinct)
     discard(items)
     tree = _tree(found, words)
-    gains = cut_lineage(_pack_gains(found, shared, buckets))
+    gains = written(_pack_gains(found, shared, buckets))
     discard(found)
     model = spark.sparkContext.broadcast((words, tree, _filter(gains, buckets)))
-    scored = cut_lineage(_score_known(source, model, buckets))
+    # Texts are scored on their own, so a part of them at a time holds the disk their items take.
+    own = F.pmod(F.xxhash64("id", "held_out", "text"), F.lit(TEXT_SLICES))
+    parts = [_scored(source.where(own == i), counted, gains, model, buckets) for i in range(TEXT_SLICES)]
+    discard(counted)
+    discard(gains)
+    one, *others = parts
+    for other in others:
+        one = one.unionByName(other)
+    whole = cut_lineage(one)
+    for part in parts:
+        discard(part)
+    return whole.select(F.col("id").alias(id_column), "held_out", "n_tokens", "n_known",
+                        F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def _scored(source: DataFrame, counted: DataFrame, gains: DataFrame, model: Broadcast, buckets: int) -> DataFrame:
+    """id, held_out, n_tokens, n_known, base_score, score of the texts, in a table."""
+    scored = written(_score_known(source, model, buckets))
     texts = scored.where("bucket is null").select(
         "part", "place", "id", "held_out", "n_tokens", "known", "base", "score")
     rare = scored.where("bucket is not null").select("part", "bucket", "keys", "places", "counts")
     added = _add_up(_score_rare(rare, counted, gains, model, buckets))
-    return texts.join(added, ["part", "place"], "left").select(
-        F.col("id").alias(id_column), "held_out", "n_tokens",
+    whole = written(texts.join(added, ["part", "place"], "left").select(
+        "id", "held_out", "n_tokens",
         (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
+        (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score")))
+    discard(scored)
+    return whole
