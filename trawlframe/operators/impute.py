@@ -6,11 +6,13 @@ import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trawlframe.functions import safe_div
 from trawlframe.operators.bootstrap import PRIME, hash_numbers
-from trawlframe.operators.pairs import BLOCK_SERIES, best_predictors
+from trawlframe.operators.pairs import BLOCK_SERIES, pack_periods
 from trawlframe.operators.panel import gaps
+from trawlframe.operators.strongest import DIGITS, strongest_fits
 from trawlframe.session import cut_lineage
 
 
@@ -39,28 +41,23 @@ def impute_panel(panel: DataFrame, t: str, series: str, value: str, k: int = 20,
     noise of the pooled residual spread, drawn by hash. A cell none of whose
     predictors is known stays NULL.
     """
-    # Five branches read the panel; whatever made it runs once.
+    # Three branches read the panel; whatever made it runs once.
     panel = cut_lineage(panel.select(t, series, value))
-    predictors = best_predictors(panel, t, series, value, k, block_series).select(
-        "series", "predictor")
-    fits = predictor_fits(panel, predictors, t, series, value).filter(F.col("r2").isNotNull())
+    packed, periods = pack_periods(panel, t, series, value)
     missing = gaps(panel, series, t, value).select(
         F.col(t).alias("t"), F.col(series).alias("series"))
-    known = panel.filter(F.col(value).isNotNull()).groupBy(series, t).agg(
-        F.avg(value).alias("_x")).withColumnsRenamed({series: "predictor", t: "t"})
-    parts = missing.join(fits, "series").join(known, ["predictor", "t"])
-    guess = F.col("intercept") + F.col("slope") * F.col("_x")
-    found = parts.groupBy("t", "series").agg(
-        safe_div(F.sum(F.col("r2") * guess), F.sum("r2")).alias("estimate"),
-        F.sqrt(safe_div(F.sum(F.col("r2") * F.col("residual_var")), F.sum("r2"))).alias("_sd"),
-        F.count(F.lit(1)).alias("n_predictors"),
-    )
+    # Fitted where the predictors are found: neither they nor their fits leave a task.
+    times = F.lit(periods).cast(T.ArrayType(panel.schema[t].dataType))
+    found = strongest_fits(packed, len(periods), k, block_series, DIGITS).select(
+        times[F.col("at")].alias("t"), "series", safe_div("guess", "r2").alias("estimate"),
+        F.sqrt(safe_div("left", "r2")).alias("_sd"), "n_predictors")
     cells = missing.join(found, ["t", "series"], "left").withColumn(
         "n_predictors", F.coalesce("n_predictors", F.lit(0)))
     if m == 0:
         out = cells.drop("_sd")
     else:
-        out = cells.withColumn("imputation", F.explode(F.sequence(F.lit(1), F.lit(m)))).withColumn(
+        # The copies are made, and counted, from the estimates.
+        out = cut_lineage(cells).withColumn("imputation", F.explode(F.sequence(F.lit(1), F.lit(m)))).withColumn(
             "estimate", F.col("estimate") + F.coalesce("_sd", F.lit(0.0)) * _normal(seed)
         ).drop("_sd")
     return out.withColumnsRenamed({"t": t, "series": series, "estimate": value})

@@ -3,9 +3,8 @@
 The pairs of s series are s squared, whatever the engine. What can be avoided
 is shuffling a row for each pair and period. Each series becomes one row (its
 values by period), the rows are hashed into blocks of bounded size, and a task
-takes two blocks and gets all their pairs by matrix products. For the best
-predictors a task returns only the leading candidates of each series, so the
-pairs are never written out; the merge of the tasks' candidates is exact.
+takes two blocks and gets all their pairs by matrix products. The best
+predictors are searched for without shuffling blocks (``strongest``).
 """
 
 from __future__ import annotations
@@ -14,31 +13,36 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trawlframe.operators.strongest import DIGITS, rounding, strongest
 from trawlframe.session import cut_lineage
 
 # Series in a block: a task holds a few block x block matrices of doubles.
 BLOCK_SERIES = 1500
-# Blocks of candidates one task of the predictor search goes through in turn.
-CANDIDATE_BLOCKS = 20
 
 
 def pack_series(panel: DataFrame, t: str, series: str, value: str) -> tuple[DataFrame, int]:
-    """(one row for each series with its period numbers and values, number of periods).
+    """(one row for each series with its period numbers and values, number of periods)."""
+    packed, periods = pack_periods(panel, t, series, value)
+    return packed, len(periods)
+
+
+def pack_periods(panel: DataFrame, t: str, series: str, value: str) -> tuple[DataFrame, list]:
+    """(one row for each series with its period numbers and values, the periods).
 
     Periods are years or days, so their list is short; two values for one
     cell are averaged.
     """
-    cells = cut_lineage(panel.filter(F.col(value).isNotNull()).groupBy(series, t).agg(
+    cells = cut_lineage(panel.filter(F.col(value).isNotNull() & F.col(t).isNotNull()).groupBy(series, t).agg(
         F.avg(value).alias("_v")))
     periods = [r[0] for r in cells.select(t).distinct().orderBy(t).collect()]
     index = F.array_position(F.lit(periods).cast(T.ArrayType(panel.schema[t].dataType)), F.col(t))
     packed = cells.groupBy(F.col(series).alias("series")).agg(
         F.collect_list((index - 1).cast("int")).alias("at"), F.collect_list("_v").alias("v"))
-    return packed, len(periods)
+    return packed, periods
 
 
 def _matrix(frame: pd.DataFrame, periods: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -54,12 +58,6 @@ def _matrix(frame: pd.DataFrame, periods: int) -> tuple[np.ndarray, np.ndarray,
     return x, mask, size
 
 
-def _rounding(x: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The variance that rounding alone can leave to a series, whatever its unit."""
-    eps = np.finfo(float).eps
-    return np.maximum(1e-12 * (x * x).sum(1), x.shape[1] * np.square(8 * eps * size))
-
-
 def _moments(a: pd.DataFrame, b: pd.DataFrame, periods: int):
     """Covariance sum, correlation and number of shared periods of all pairs."""
     xa, ma, size_a = _matrix(a, periods)
@@ -71,19 +69,15 @@ def _moments(a: pd.DataFrame, b: pd.DataFrame, periods: int):
         va = (xa * xa) @ mb.T - sa * sa / n
         vb = ma @ (xb * xb).T - sb * sb / n
         # Constant but for rounding: of the sums here, or of the values before centring.
-        flat = ((va <= _rounding(xa, size_a)[:, None]) | (vb <= _rounding(xb, size_b)[None, :]))
+        flat = ((va <= rounding(xa, size_a)[:, None]) | (vb <= rounding(xb, size_b)[None, :]))
         r = np.where(flat | (n < 2), np.nan, cov / np.sqrt(va * vb))
     return cov, np.clip(r, -1.0, 1.0), n
 
 
-def _meet(packed: DataFrame, block_series: int, ordered: bool, per_task: int = 1):
-    """Both sides of every block pair; ``ordered`` keeps only first <= second.
-
-    The second side's blocks hold ``per_task`` times as many series.
-    """
+def _meet(packed: DataFrame, block_series: int, ordered: bool):
+    """Both sides of every block pair; ``ordered`` keeps only first <= second."""
     n = packed.count()
-    firsts = max(1, math.ceil(n / block_series))
-    seconds = max(1, math.ceil(n / (block_series * per_task)))
+    firsts = seconds = max(1, math.ceil(n / block_series))
 
     def own(count):
         return packed.withColumn("_own", F.pmod(F.hash("series"), F.lit(count)))
@@ -139,50 +133,14 @@ def pairwise_cov(panel: DataFrame, t: str, series: str, value: str,
 
 
 def best_predictors(panel: DataFrame, t: str, series: str, value: str, k: int = 20,
-                    block_series: int = BLOCK_SERIES, digits: int = 9) -> DataFrame:
+                    block_series: int = BLOCK_SERIES, digits: int = DIGITS) -> DataFrame:
     """For each series the others of strongest absolute correlation.
 
     The series itself takes part in the ranking and is dropped afterwards;
     equal strengths (to ``digits`` places) share their average rank, and a
     rank up to ``k`` is kept. A kept value is among the first 2k - 1 of its
-    series, and a tie reaching beyond 2k has an average rank above k, so 2k
-    candidates from each task are enough for the exact answer.
+    series, and a tie reaching beyond 2k has an average rank above k, so any 2k
+    leading candidates are enough for the exact answer.
     """
     packed, periods = pack_series(panel, t, series, value)
-    kind = packed.schema["series"].dataType
-    schema = T.StructType([
-        T.StructField("series", kind), T.StructField("predictor", kind),
-        T.StructField("r", T.DoubleType()), T.StructField("_d", T.DoubleType()),
-    ])
-    most = 2 * k
-
-    def work(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({f.name: [] for f in schema})
-        rows = np.arange(len(a))[:, None]
-        best = np.zeros((len(a), 0), dtype=np.int64)
-        best_r, best_d = np.zeros((len(a), 0)), np.zeros((len(a), 0))
-        for start in range(0, len(b), block_series):
-            part = b.iloc[start:start + block_series]
-            _, r, _ = _moments(a, part, periods)
-            d = np.where(np.isnan(r), np.inf, np.round(1.0 - np.abs(r), digits))
-            here = np.broadcast_to(np.arange(start, start + len(part)), d.shape)
-            best, best_r, best_d = (np.hstack(p) for p in ((best, here), (best_r, r), (best_d, d)))
-            if best_d.shape[1] > most:
-                lead = np.argpartition(best_d, most - 1, axis=1)[:, :most]
-                best, best_r, best_d = best[rows, lead], best_r[rows, lead], best_d[rows, lead]
-        keep = np.isfinite(best_d)
-        target = np.broadcast_to(rows, best.shape)[keep]
-        return pd.DataFrame({
-            "series": a["series"].to_numpy()[target], "predictor": b["series"].to_numpy()[best[keep]],
-            "r": best_r[keep], "_d": best_d[keep],
-        })
-
-    candidates = _meet(packed, block_series, False, CANDIDATE_BLOCKS).applyInPandas(work, schema)
-    # At most 2k candidates from each task: a bounded window for each series.
-    own = Window.partitionBy("series")
-    ranked = candidates.withColumn(
-        "_ties", F.count(F.lit(1)).over(Window.partitionBy("series", "_d"))
-    ).withColumn("rank", F.rank().over(own.orderBy("_d")) + (F.col("_ties") - 1) / 2.0)
-    return ranked.filter((F.col("rank") <= k) & (F.col("series") != F.col("predictor"))).select(
-        "series", "predictor", "r", "rank")
+    return strongest(packed, periods, k, block_series, digits)
