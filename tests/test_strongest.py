@@ -37,10 +37,10 @@ def expected(values, k):
             if a != b and 3 not in (a, b) and ranks.iloc[a, b] <= k}
 
 
-@pytest.mark.parametrize("sets", [64, 1])  # 1: so many sets of known periods that all pairs are gone through
+@pytest.mark.parametrize("few", [3, 1000])  # 1000: so few targets with the same known periods that all pairs are gone through
 @pytest.mark.parametrize("seed, missing", [(1, 0.0), (2, 0.15), (3, 0.5)])
-def test_predictors_are_those_of_all_pairs(spark, monkeypatch, sets, seed, missing):
-    for name, small in (("LEAF_SERIES", 4), ("CHUNK_BLOCKS", 3), ("SOURCES_AT_ONCE", 24), ("MOST_SETS", sets)):
+def test_predictors_are_those_of_all_pairs(spark, monkeypatch, few, seed, missing):
+    for name, small in (("LEAF_SERIES", 4), ("CHUNK_BLOCKS", 3), ("SOURCES_AT_ONCE", 24), ("FEW_TARGETS", few)):
         monkeypatch.setattr(strongest, name, small)
     values = made(seed, 150, 6, missing)
     got = {(r.series, r.predictor): r["rank"] for r in
@@ -62,7 +62,8 @@ def test_leaves_that_cannot_lead_are_passed_over(monkeypatch):
     plain = strongest._offer
     monkeypatch.setattr(strongest, "_offer", lambda held, number, at, r: (met.append(r.size), plain(held, number, at, r)))
     held = strongest.Leading(32, 10, 9)
-    strongest._meet_leaf(series.take(slice(0, 32)), 0, np.zeros(20_000, int), np.ones((1, 4)), sources, held)
+    for again in (False, True):
+        strongest._meet_leaf(series.take(slice(0, 32)), 0, np.zeros(20_000, int), np.ones((1, 4)), sources, held, again)
     r = np.corrcoef(values[order[:32]], values[order])[:32, 32:]
     want = np.sort(np.round(1 - np.abs(r), 9), axis=1)[:, :10]
     assert np.array_equal(held.d.reshape(32, 10), want)

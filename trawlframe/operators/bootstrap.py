@@ -138,7 +138,9 @@ DRAWS_AT_ONCE, GROUPS_AT_ONCE = 1_000_000, 2000
 # Rows of one slice of a group.
 SLICE_ROWS = 8192
 # Rows of a group, and slots drawing from them, that meet in one task.
-BLOCK_ROWS = 1 << 18
+BLOCK_ROWS = 1 << 20
+# Slots of a block whose draws are held at once: they stay in a core's cache.
+SLOTS_AT_ONCE = 1 << 14
 # Of each replicate: draws, sums of the values, missing ones among them, and whether a sum is NaN.
 BLOCK_SUMS = ("k", "cpue", "area", "no_cpue", "no_area", "nan_cpue", "nan_area")
 
@@ -187,15 +189,38 @@ def _block_sums(key: tuple, ask: pd.DataFrame, rows: pd.DataFrame, reps: int, bl
     """What the draws of one block of slots from one block of rows sum to in each replicate."""
     start, number, _, part = (int(k) for k in key)
     many, base = min(reps - number * ROUND, ROUND), part * block
-    rows = rows.sort_values("_row")
-    values = [rows[c].to_numpy(float) for c in ("cpue", "total_area", "no_cpue", "no_total_area")]
-    a, b, n = ask["_a"].to_numpy(np.int64), ask["_b"].to_numpy(np.int64), int(ask["_n"].iloc[0])
+    place = rows["_row"].to_numpy(np.int64) - base
+    # Two numbers of a row as one: a draw looks up once for both, and only once more if a value is missing.
+    pairs = [np.empty(len(rows), complex) for _ in range(2)]
+    for pair, names in zip(pairs, (("cpue", "total_area"), ("no_cpue", "no_total_area"))):
+        pair.real[place], pair.imag[place] = (rows[c].to_numpy(float) for c in names)
+    pairs = pairs if pairs[1].any() else pairs[:1]
+    a, b, n = ask["_a"].to_numpy(np.uint64), ask["_b"].to_numpy(np.uint64), np.uint64(ask["_n"].iloc[0])
+    prime, whole = np.uint64(PRIME), len(rows) == n
     sums = np.zeros((len(BLOCK_SUMS), many))
-    for rep in range(many):
-        at = (a + rep * b) % PRIME % n - base
-        at = at[(at >= 0) & (at < len(rows))]
-        sums[0, rep] = len(at)
-        sums[1:5, rep] = [v[at].sum() for v in values]
+    for first in range(0, len(a), SLOTS_AT_ONCE):
+        x, step = a[first:first + SLOTS_AT_ONCE].copy(), b[first:first + SLOTS_AT_ONCE]
+        less, at = np.empty_like(x), np.empty_like(x)
+        for rep in range(many):
+            # x modulo n.
+            np.floor_divide(x, n, out=at)
+            np.multiply(at, n, out=at)
+            np.subtract(x, at, out=at)
+            there = at
+            if not whole:
+                # Below the base it wraps to beyond the end.
+                np.subtract(at, np.uint64(base), out=at)
+                there = at[at < len(rows)]
+            there = there.view(np.int64)
+            sums[0, rep] += len(there)
+            for pair, i in zip(pairs, (1, 3)):
+                total = pair.take(there, mode="clip").sum()
+                sums[i, rep] += total.real
+                sums[i + 1, rep] += total.imag
+            # The next replicate's number: less than twice the prime, and wrapped if below 0.
+            np.add(x, step, out=x)
+            np.subtract(x, prime, out=less)
+            np.minimum(x, less, out=x)
     # NaN in a list would come back as NULL.
     sums[5:] = np.isnan(sums[1:3])
     sums[1:3] = np.nan_to_num(sums[1:3], nan=0.0, posinf=np.inf, neginf=-np.inf)
